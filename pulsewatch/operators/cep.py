@@ -10,6 +10,7 @@ disjunctive form changes nothing.
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsewatch.functions.predicates import compare_or_null, summary_value
 from pulsewatch.functions.times import instant, ordinal
@@ -17,6 +18,7 @@ from pulsewatch.operators.continuous import current_streaks
 from pulsewatch.operators.sizing import keyed_join
 from pulsewatch.operators.views import latest
 from pulsewatch.operators.windows import sliding_sums
+from pulsewatch.sources.rules import small_frame
 
 KEYS = ("resource", "metric")
 CLAUSES = "rule_id string, clause_id long, leaf_id string"
@@ -90,8 +92,9 @@ def clause_rows(expression, rule_id=None):
 
 def leaf_frame(spark, leaves):
     """Leaves given as dicts, as a table; columns not named are null."""
-    names = [c.split()[0] for c in LEAVES.split(", ")]
-    return spark.createDataFrame([tuple(leaf.get(n) for n in names) for leaf in leaves], LEAVES)
+    declared = T.StructType.fromDDL(LEAVES)
+    names = declared.fieldNames()
+    return small_frame(spark, [[leaf.get(n) for n in names] for leaf in leaves], declared)
 
 
 def clause_frame(spark, *expressions):
@@ -99,7 +102,7 @@ def clause_frame(spark, *expressions):
     rows = []
     for e in expressions:
         rows += clause_rows(e[1], e[0]) if isinstance(e, tuple) else clause_rows(e)
-    return spark.createDataFrame(rows, CLAUSES)
+    return small_frame(spark, rows, T.StructType.fromDDL(CLAUSES))
 
 
 def value_leaves(leaves, metrics):

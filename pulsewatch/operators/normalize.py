@@ -6,12 +6,20 @@ from pulsewatch import schema
 
 
 def _parsed(messages, declared):
-    return messages.select("timestamp", "seq", F.from_json("value", declared).alias("data"))
+    """Message fields as columns next to `received` and `seq`.
+
+    The parsed value comes out of a generator, so that filters on its fields stay above
+    the parser; pushed below, they would parse every message a second time.
+    """
+    body = F.inline(F.array(F.from_json("value", declared)))
+    return messages.select(F.col("timestamp").alias("received"), "seq", body)
 
 
 def _numeric(text):
-    # Java number parsing also takes a trailing type letter (12f, 1.5d); JSON does not.
-    return F.when(~text.rlike("^[-+.0-9].*[dDfF]$"), text.try_cast("double"))
+    # Number parsing also takes a trailing type letter (12f, 1.5d), which is no JSON number.
+    typed = F.lower(F.right(text, F.lit(1))).isin("d", "f")
+    infinite = F.lower(text).isin("inf", "+inf", "-inf")
+    return F.when(~typed | infinite, text.try_cast("double"))
 
 
 def metrics(messages, sep=".", resource_tag="host", dc_tag="dc"):
@@ -22,14 +30,14 @@ def metrics(messages, sep=".", resource_tag="host", dc_tag="dc"):
     as a null value. Messages without a name and malformed ones are dropped here and
     are available from `rejected`.
     """
-    data = _parsed(messages, schema.METRIC_MESSAGE).where("data.name is not null")
+    data = _parsed(messages, schema.METRIC_MESSAGE).where("name is not null")
     fields = data.select(
-        F.coalesce("data.timestamp", "timestamp").alias("ts"),
+        F.coalesce("timestamp", "received").alias("ts"),
         "seq",
-        F.col("data.tags")[dc_tag].alias("dc"),
-        F.col("data.tags")[resource_tag].alias("resource"),
-        F.col("data.name").alias("name"),
-        F.explode("data.fields").alias("field", "text"),
+        F.col("tags")[dc_tag].alias("dc"),
+        F.col("tags")[resource_tag].alias("resource"),
+        "name",
+        F.explode("fields").alias("field", "text"),
     )
     number = _numeric(F.col("text"))
     return (
@@ -57,15 +65,15 @@ def flat_metrics(messages):
     """Flat metric messages in the same long form, timed by the message itself."""
     return (
         _parsed(messages, schema.FLAT_MESSAGE)
-        .where("data.metric is not null")
+        .where("metric is not null")
         .select(
-            F.col("timestamp").alias("ts"),
+            F.col("received").alias("ts"),
             "seq",
-            F.col("data.nodegroup").alias("dc"),
-            F.col("data.resource").alias("resource"),
-            F.col("data.metric").alias("name"),
-            F.col("data.metric").alias("metric"),
-            F.col("data.value").alias("value"),
+            F.col("nodegroup").alias("dc"),
+            "resource",
+            F.col("metric").alias("name"),
+            "metric",
+            "value",
         )
     )
 
@@ -73,13 +81,13 @@ def flat_metrics(messages):
 def logs(messages):
     """Event and log messages; a reading that is not a number becomes null."""
     return _parsed(messages, schema.LOG_MESSAGE).select(
-        F.col("timestamp").alias("ts"),
+        F.col("received").alias("ts"),
         "seq",
-        "data.nodegroup",
-        "data.resource",
-        "data.event",
-        _numeric(F.col("data.metric")).alias("metric"),
-        "data.log",
+        "nodegroup",
+        "resource",
+        "event",
+        _numeric(F.col("metric")).alias("metric"),
+        "log",
     )
 
 
@@ -87,14 +95,14 @@ def rules(messages):
     """Rule change messages, without those that name no rule."""
     return (
         _parsed(messages, schema.RULE_MESSAGE)
-        .where("data.id is not null")
+        .where("id is not null")
         .select(
-            F.col("data.id").alias("rule_id"),
-            "data.resource",
-            "data.metric",
-            "data.op",
-            F.col("data.value").alias("threshold"),
-            F.col("timestamp").alias("updated_at"),
+            F.col("id").alias("rule_id"),
+            "resource",
+            "metric",
+            "op",
+            F.col("value").alias("threshold"),
+            F.col("received").alias("updated_at"),
             "seq",
         )
     )
@@ -108,15 +116,15 @@ def alarms(messages):
     """
     return (
         _parsed(messages, schema.ALARM_MESSAGE)
-        .where("data.alarmType is not null")
+        .where("alarmType is not null")
         .select(
-            F.col("timestamp").alias("received"),
+            "received",
             "seq",
-            F.col("data.alarmType").alias("alarm_type"),
-            F.col("data.ruleId").alias("rule_id"),
-            "data.detect",
-            F.col("data.occurCount").alias("occur_count"),
-            F.col("data.occurTimestamp").alias("occur_timestamp"),
-            "data.payload",
+            F.col("alarmType").alias("alarm_type"),
+            F.col("ruleId").alias("rule_id"),
+            "detect",
+            F.col("occurCount").alias("occur_count"),
+            F.col("occurTimestamp").alias("occur_timestamp"),
+            "payload",
         )
     )

@@ -18,118 +18,107 @@ GROUP_ROWS = 5_000_000
 
 
 def slices(df, keys, order, limit=None):
-    """`df` with its key as `_k`, a `_slice` column, and whether any group had to be cut.
+    """`df`, the columns to partition its windows by, and whether groups had to be cut.
 
-    Slices follow `order`; rows of one key in one slice fit a task. The cut is written
-    out before use: range bounds come from a sample, and a recomputed sample after a
-    lost executor must not move rows between slices.
+    Cut rows get their key as one struct `_k`, in which nulls compare like any other
+    value, and a `_slice` that follows `order`; rows of one key in one slice fit a task.
+    The cut is written out before use: range bounds come from a sample, and a sample
+    drawn again after a lost executor must not move rows between slices.
     """
     limit = GROUP_ROWS if limit is None else limit
-    # One struct, so that null keys group and join like any other.
-    df = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
-    sizes = df.groupBy("_k").count().agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all"))
     size = sizes.first()
     if (size["most"] or 0) <= limit:
-        return df.withColumn("_slice", F.lit(0)), False
+        return df, list(keys), False
     n = max(2, math.ceil(2 * size["all"] / limit))
-    ranged = df.repartitionByRange(n, "_k", *order)
-    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id())), True
+    keyed = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
+    ranged = keyed.repartitionByRange(n, "_k", *order)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id())), CUT, True
 
 
-def _within(order):
-    return Window.partitionBy("_k", "_slice").orderBy(*order)
+CUT = ["_k", "_slice"]
 
 
 def _running(spec):
     return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _before():
-    """All earlier slices of the same key."""
-    return Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+def _slice_order():
+    """The slices of one key in order: at most one row per slice."""
+    return Window.partitionBy("_k").orderBy("_slice")
 
 
-def _carried(df, summary):
-    return df.join(summary, ["_k", "_slice"], "left")
+def _before():
+    """All earlier slices of the same key."""
+    return _slice_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def streaks(df, keys, order, flag, limit=None):
     """`streak`: rows in a row, up to and with this one, for which `flag` is true."""
-    cut, split = slices(df, keys, order, limit)
-    spec = _within(order)
+    cut, by, split = slices(df, keys, order, limit)
+    spec = Window.partitionBy(*by).orderBy(*order)
     held = F.coalesce(F.col(flag), F.lit(False))
     numbered = cut.withColumn("_n", F.row_number().over(spec))
     last_break = F.max(F.when(~held, F.col("_n"))).over(_running(spec))
     local = numbered.withColumn("_break", last_break)
     streak = F.col("_n") - F.coalesce("_break", F.lit(0))
     if not split:
-        return local.withColumn("streak", streak.cast("long")).drop("_n", "_break", "_slice", "_k")
+        return local.withColumn("streak", streak.cast("long")).drop("_n", "_break")
 
-    ends = local.groupBy("_k", "_slice").agg(
-        F.max("_n").alias("_rows"), F.max("_break").alias("_break_at")
-    )
-    broken = F.col("_break_at").isNotNull()
+    ends = local.groupBy(*CUT).agg(F.max("_n").alias("_rows"), F.max("_break").alias("_break_at"))
     tail = F.col("_rows") - F.coalesce("_break_at", F.lit(0))
-    by_slice = Window.partitionBy("_k").orderBy("_slice")
+    broken = F.col("_break_at").isNotNull().cast("int")
     runs = ends.withColumn("_tail", tail).withColumn(
-        "_run", F.sum(broken.cast("int")).over(_running(by_slice))
+        "_run", F.sum(broken).over(_running(_slice_order()))
     )
     in_run = _running(Window.partitionBy("_k", "_run").orderBy("_slice"))
     reached = runs.withColumn("_reached", F.sum("_tail").over(in_run))
-    carry = reached.select(
-        "_k", "_slice", F.lag("_reached", 1, 0).over(by_slice).alias("_carry")
-    )
+    carry = reached.select(*CUT, F.lag("_reached", 1, 0).over(_slice_order()).alias("_carry"))
     first_run = F.when(F.col("_break").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0)
     return (
-        _carried(local, carry)
+        local.join(carry, CUT, "left")
         .withColumn("streak", (streak + first_run).cast("long"))
-        .drop("_n", "_break", "_slice", "_carry", "_k")
+        .drop("_n", "_break", "_carry", *CUT)
     )
 
 
 def running_sum(df, keys, order, value, name, limit=None):
     """Sum of `value` over this row and all before it."""
-    cut, split = slices(df, keys, order, limit)
-    local = cut.withColumn(name, F.sum(value).over(_running(_within(order))))
+    cut, by, split = slices(df, keys, order, limit)
+    spec = Window.partitionBy(*by).orderBy(*order)
+    local = cut.withColumn(name, F.sum(value).over(_running(spec)))
     if not split:
-        return local.drop("_slice", "_k")
-    totals = cut.groupBy("_k", "_slice").agg(F.sum(value).alias("_sum"))
-    carry = totals.select("_k", "_slice", F.sum("_sum").over(_before()).alias("_carry"))
+        return local
+    totals = cut.groupBy(*CUT).agg(F.sum(value).alias("_sum"))
+    carry = totals.select(*CUT, F.sum("_sum").over(_before()).alias("_carry"))
     total = F.col(name) + F.coalesce("_carry", F.lit(0))
-    return _carried(local, carry).withColumn(name, total).drop("_slice", "_carry", "_k")
+    return local.join(carry, CUT, "left").withColumn(name, total).drop("_carry", *CUT)
 
 
 def previous(df, keys, order, value, name, limit=None):
     """`value` of the row before this one; NULL at the start."""
-    cut, split = slices(df, keys, order, limit)
-    spec = _within(order)
-    boxed = F.struct(F.col(value).alias("v"))
-    local = cut.withColumn("_prev", F.lag(boxed).over(spec))
-    if split:
-        ends = cut.groupBy("_k", "_slice").agg(
-            F.max(F.struct(*order, F.col(value).alias("v"))).alias("_end")
-        )
-        by_slice = Window.partitionBy("_k").orderBy("_slice")
-        carry = ends.select("_k", "_slice", F.lag("_end.v").over(by_slice).alias("_carry"))
-        local = _carried(local, carry)
-        local = local.withColumn("_prev", F.coalesce("_prev", F.struct(F.col("_carry").alias("v"))))
-    return local.withColumn(name, F.col("_prev.v")).drop("_prev", "_slice", "_carry", "_k")
+    cut, by, split = slices(df, keys, order, limit)
+    spec = Window.partitionBy(*by).orderBy(*order)
+    if not split:
+        return cut.withColumn(name, F.lag(value).over(spec))
+    # Boxed, to tell a null value before this row from no row before it.
+    local = cut.withColumn("_prev", F.lag(F.struct(F.col(value).alias("v"))).over(spec))
+    at_end = F.max(F.struct(*order, F.col(value).alias("v")))
+    ends = cut.groupBy(*CUT).agg(at_end.alias("_end"))
+    carry = ends.select(*CUT, F.lag("_end.v").over(_slice_order()).alias("_carry"))
+    before = F.coalesce("_prev", F.struct(F.col("_carry").alias("v")))["v"]
+    return local.join(carry, CUT, "left").withColumn(name, before).drop("_prev", "_carry", *CUT)
 
 
 def last_known(df, keys, order, value, name, limit=None):
     """Last non-null `value` on this row or before it."""
-    cut, split = slices(df, keys, order, limit)
-    newest = F.last(value, ignorenulls=True)
-    local = cut.withColumn(name, newest.over(_running(_within(order))))
+    cut, by, split = slices(df, keys, order, limit)
+    spec = Window.partitionBy(*by).orderBy(*order)
+    local = cut.withColumn(name, F.last(value, ignorenulls=True).over(_running(spec)))
     if not split:
-        return local.drop("_slice", "_k")
+        return local
     known = F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("v")))
-    ends = cut.groupBy("_k", "_slice").agg(F.max(known).alias("_end"))
-    carry = ends.select(
-        "_k", "_slice", F.last("_end.v", ignorenulls=True).over(_before()).alias("_carry")
-    )
-    return (
-        _carried(local, carry)
-        .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_slice", "_carry", "_k")
-    )
+    ends = cut.groupBy(*CUT).agg(F.max(known).alias("_end"))
+    newest = F.last("_end.v", ignorenulls=True).over(_before())
+    carry = ends.select(*CUT, newest.alias("_carry"))
+    return local.join(carry, CUT, "left").withColumn(name, F.coalesce(name, "_carry")).drop("_carry", *CUT)

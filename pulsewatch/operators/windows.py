@@ -1,5 +1,6 @@
 """Sliding counts, joined windows and trailing time ranges."""
 
+from functools import reduce
 from math import gcd
 
 from pyspark.sql import Window
@@ -81,29 +82,59 @@ def range_stats(metrics, span, as_of=None, keys=KEYS):
     )
 
 
-def _settled(prefix, n, mean, m2, low, high):
-    return [
-        n.alias(f"{prefix}_n"),
-        mean.alias(f"{prefix}_mean"),
-        m2.alias(f"{prefix}_m2"),
-        low.alias(f"{prefix}_min"),
-        high.alias(f"{prefix}_max"),
-    ]
+MOMENTS = ("n", "mean", "m2", "min", "max")
 
 
-def _moments_over(frame, whole, prefix):
-    """Running moments over `frame`, taken around the mean of the `whole` partition."""
-    centre = F.sum(F.col("cnt") * F.col("mean")).over(whole) / F.nullif(
-        F.sum("cnt").over(whole), F.lit(0)
+def _so_far(spec):
+    return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _with_moments(df, prefix, keys, order, frame_of=_so_far):
+    """`df` with the moments of each row's frame, as `prefix_*` columns.
+
+    Deviations are taken from the mean of the whole partition. Its frame names the same
+    order, so one sort serves both.
+    """
+    spec = Window.partitionBy(*keys).orderBy(*order)
+    frame = frame_of(spec)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum(F.col("cnt") * F.col("mean")).over(whole)
+    centred = df.withColumn("_c", total / F.nullif(F.sum("cnt").over(whole), F.lit(0)))
+    gap = F.col("mean") - F.col("_c")
+    summed = centred.withColumns(
+        {
+            f"{prefix}_n": F.sum("cnt").over(frame),
+            "_d": F.sum(F.col("cnt") * gap).over(frame),
+            "_q": F.sum(F.col("m2") + F.col("cnt") * gap * gap).over(frame),
+            f"{prefix}_min": F.min("min").over(frame),
+            f"{prefix}_max": F.max("max").over(frame),
+        }
     )
-    gap = F.col("mean") - centre
-    n = F.sum("cnt").over(frame)
-    shift = F.sum(F.col("cnt") * gap).over(frame) / F.nullif(n, F.lit(0))
-    squares = F.sum(F.col("m2") + F.col("cnt") * gap * gap).over(frame)
-    m2 = F.greatest(squares - n * shift * shift, F.lit(0.0))
-    return _settled(
-        prefix, n, centre + shift, m2, F.min("min").over(frame), F.max("max").over(frame)
+    shift = F.col("_d") / F.nullif(F.col(f"{prefix}_n"), F.lit(0))
+    return summed.withColumns(
+        {
+            f"{prefix}_mean": F.col("_c") + shift,
+            f"{prefix}_m2": F.greatest(F.col("_q") - F.col("_d") * shift, F.lit(0.0)),
+        }
+    ).drop("_c", "_d", "_q")
+
+
+def _combined(pieces):
+    """Count, mean and squared deviations of disjoint pieces, each given as `piece_*`."""
+
+    def known(column, otherwise):
+        return F.coalesce(F.col(column), otherwise)
+
+    n = sum((known(f"{p}_n", F.lit(0)) for p in pieces), F.lit(0))
+    total = sum(
+        (known(f"{p}_n", F.lit(0)) * known(f"{p}_mean", F.lit(0.0)) for p in pieces), F.lit(0.0)
     )
+    mean = total / n
+    m2 = F.lit(0.0)
+    for p in pieces:
+        gap = known(f"{p}_mean", mean) - mean
+        m2 = m2 + known(f"{p}_m2", F.lit(0.0)) + known(f"{p}_n", F.lit(0)) * gap * gap
+    return n, mean, m2
 
 
 def trailing_stats(metrics, span, keys=KEYS, parts=12):
@@ -112,81 +143,69 @@ def trailing_stats(metrics, span, keys=KEYS, parts=12):
     One row per key and instant that has a value: rows of one instant share their
     range. A RANGE frame would sort a whole key in one task and redo the frame for each
     row. Here time is cut into blocks of span/parts, and an instant's range is
-      the part of its own block up to it  (running, oldest first),
-      the parts-1 whole blocks before it  (from one row per key and block),
-      the end of the block span ago       (running, newest first),
+      the part of its own block up to it  (head: running, oldest first),
+      the parts-1 whole blocks before it  (mid: from one row per key and block),
+      the end of the block span ago       (tail: running, newest first),
     so the largest group is one key within one block and work grows with the rows.
+    Each instant asks for its tail, and each block brings its mid, by a row of its own
+    in the block span ago; one window there answers, without a join.
     """
+    keys = list(keys)
     span_us = micros(span)
     if span_us % parts:
         parts = 1
     width = span_us // parts
-    keyed = (
+    timed = (
         metrics.where(F.col("value").isNotNull())
-        .withColumn("_k", F.struct(*keys))
         .withColumn("_t", epoch_micros("ts"))
         .withColumn("_b", F.expr(f"_t div {width} - if(_t % {width} < 0, 1, 0)"))
     )
-    instants = keyed.groupBy("_k", "_b", "_t", "ts").agg(*partial_moments())
-    blocks = keyed.groupBy("_k", "_b").agg(*partial_moments())
+    instants = timed.groupBy(*keys, "_b", "_t", "ts").agg(*partial_moments())
+    blocks = timed.groupBy(*keys, "_b").agg(*partial_moments())
 
-    block = Window.partitionBy("_k", "_b")
-    oldest_first = block.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    data = instants.select("*", *_moments_over(oldest_first, block, "head"))
+    headed = _with_moments(instants, "head", [*keys, "_b"], ["_t"])
 
-    key = Window.partitionBy("_k")
-    if parts > 1:
-        between = key.orderBy("_b").rangeBetween(-(parts - 1), -1)
-        middle = blocks.select("_k", "_b", *_moments_over(between, key, "mid"))
-    else:
-        nothing = F.lit(None).cast("double")
-        middle = blocks.select(
-            "_k", "_b", *_settled("mid", F.lit(0).cast("long"), *[nothing] * 4)
-        )
+    def blocks_between(spec):
+        return spec.rangeBetween(-(parts - 1), -1)
 
-    carried = [
-        f"{p}_{c}" for p in ("head", "mid") for c in ("n", "mean", "m2", "min", "max")
-    ]
-    asked = data.join(middle, ["_k", "_b"]).select(
-        "_k",
-        (F.col("_b") - parts).alias("_b"),
+    asked_block = (F.col("_b") - parts).alias("_b")
+    rows = instants.select(*keys, "_b", "_t", F.lit(1).alias("_kind"), "cnt", "mean", "m2", "min", "max")
+    asks = headed.select(
+        *keys,
+        asked_block,
         (F.col("_t") - span_us).alias("_t"),
-        F.lit(1).alias("_asks"),
+        F.lit(2).alias("_kind"),
         "ts",
-        *carried,
+        *[f"head_{c}" for c in MOMENTS],
     )
-    kept = instants.select("_k", "_b", "_t", F.lit(0).alias("_asks"), "cnt", "mean", "m2", "min", "max")
-    both = kept.unionByName(asked, allowMissingColumns=True)
-    newest_first = block.orderBy(F.desc("_t"), "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    answered = both.select("_k", "_asks", "ts", *carried, *_moments_over(newest_first, block, "tail"))
-
-    pieces = ("head", "mid", "tail")
-
-    def zero(column):
-        return F.coalesce(F.col(column), F.lit(0.0))
-
-    n = sum((F.coalesce(F.col(f"{p}_n"), F.lit(0)) for p in pieces), F.lit(0))
-    mean = sum((zero(f"{p}_n") * zero(f"{p}_mean") for p in pieces), F.lit(0.0)) / F.col("cnt")
-    m2 = sum(
-        (
-            zero(f"{p}_m2")
-            + zero(f"{p}_n") * F.pow(F.coalesce(F.col(f"{p}_mean"), F.col("mean")) - F.col("mean"), 2)
-            for p in pieces
-        ),
-        F.lit(0.0),
-    )
-    return (
-        answered.where("_asks = 1")
-        .withColumn("cnt", n.cast("long"))
-        .withColumn("mean", mean)
-        .withColumn("stddev", F.sqrt(m2 / F.col("cnt")))
-        .select(
-            "_k.*",
-            "ts",
-            "cnt",
-            "mean",
-            F.least(*[f"{p}_min" for p in pieces]).alias("min"),
-            F.greatest(*[f"{p}_max" for p in pieces]).alias("max"),
-            "stddev",
+    parted = [rows, asks]
+    if parts > 1:
+        between = _with_moments(blocks, "mid", keys, ["_b"], blocks_between)
+        # Sorts first in its block, ahead of every instant.
+        parted.append(
+            between.select(
+                *keys,
+                asked_block,
+                F.lit(2**63 - 1).alias("_t"),
+                F.lit(0).alias("_kind"),
+                *[f"mid_{c}" for c in MOMENTS],
+            )
         )
+    gathered = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parted)
+    newest_first = [F.desc("_t"), "_kind"]
+    found = _with_moments(gathered, "tail", [*keys, "_b"], newest_first)
+    pieces = ["head", "tail"]
+    if parts > 1:
+        spec = _so_far(Window.partitionBy(*keys, "_b").orderBy(*newest_first))
+        found = found.withColumns({f"mid_{c}": F.max(f"mid_{c}").over(spec) for c in MOMENTS})
+        pieces.append("mid")
+    n, mean, m2 = _combined(pieces)
+    return found.where("_kind = 2").select(
+        *keys,
+        "ts",
+        n.cast("long").alias("cnt"),
+        mean.alias("mean"),
+        F.least(*[f"{p}_min" for p in pieces]).alias("min"),
+        F.greatest(*[f"{p}_max" for p in pieces]).alias("max"),
+        F.sqrt(m2 / n).alias("stddev"),
     )

@@ -19,7 +19,7 @@ from pulsewatch.plans.tables import (
     rule_rows,
     values_sql,
 )
-from pulsewatch.session import run_dir
+from pulsewatch.session import cut_lineage, run_dir
 from pulsewatch.sources.tables import batch_stream, read_batches
 from pulsewatch.streaming import live, streaks
 
@@ -303,7 +303,7 @@ def rules_per_metric(spark, sf_dir):
     ),
 )
 def dynamic_rule_join(spark, sf_dir):
-    learned = current_rules(rule_changes(spark, sf_dir))
+    learned = cut_lineage(current_rules(rule_changes(spark, sf_dir)))
     rules = detect.both_rule_sets(thresholds(spark), learned)
     checked = detect.check(metrics(spark, sf_dir), rules)
     return checked.select("seq", "resource", "metric", "rule_id", "chk")
@@ -323,7 +323,7 @@ def dynamic_rule_join(spark, sf_dir):
     ),
 )
 def last_rule_lookup(spark, sf_dir):
-    rules = detect.last_rule_per_key(rule_changes(spark, sf_dir))
+    rules = cut_lineage(detect.last_rule_per_key(rule_changes(spark, sf_dir)))
     checked = detect.check(metrics(spark, sf_dir), rules)
     return checked.select("seq", "resource", "metric", "rule_id", "chk")
 

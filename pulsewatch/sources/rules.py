@@ -2,7 +2,9 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulsewatch import schema
 from pulsewatch.operators.rulebook import current_rules, rules_of_kind
@@ -19,8 +21,16 @@ def rules_frame(spark, rules):
         unknown = set(rule) - set(names)
         if unknown:
             raise ValueError(f"unknown rule columns {sorted(unknown)}")
-    rows = [tuple(rule.get(n) for n in names) for rule in rules]
-    return spark.createDataFrame(rows, schema.RULES)
+    return small_frame(spark, [[rule.get(n) for n in names] for rule in rules], schema.RULES)
+
+
+def small_frame(spark, rows, declared):
+    """Rows of the driver as a local relation: no job, whatever the cluster's parallelism."""
+    columns = to_arrow_schema(declared)
+    arrays = [
+        pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(columns)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=columns), declared)
 
 
 def load_rules(spark, path=None, fmt="parquet", json_column=None, **options):

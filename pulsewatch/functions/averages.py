@@ -1,6 +1,7 @@
 """A user-defined average, as a partial aggregate and as a SQL function."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -17,15 +18,13 @@ def user_avg(df, keys, value, name="user_avg"):
     schema = ", ".join([*fields, "_n long", "_s double"])
 
     def update(batches):
-        for pdf in batches:
-            if keys:
-                grouped = pdf.groupby(keys, dropna=False, sort=False)["_v"]
-                buffers = grouped.agg(_n="count", _s="sum").reset_index()
-            else:
-                buffers = pd.DataFrame({"_n": [pdf["_v"].count()], "_s": [pdf["_v"].sum()]})
-            yield buffers
-
-    merged = slim.mapInPandas(update, schema).groupBy(*keys)
+        for batch in batches:
+            grouped = pa.Table.from_batches([batch]).group_by(keys)
+            buffers = grouped.aggregate([("_v", "count"), ("_v", "sum")])
+            columns = [buffers[c] for c in (*keys, "_v_count", "_v_sum")]
+            yield from pa.table(columns, names=[*keys, "_n", "_s"]).combine_chunks().to_batches()
+
+    merged = slim.mapInArrow(update, schema).groupBy(*keys)
     evaluate = F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))
     return merged.agg(evaluate.alias(name))
 

@@ -91,7 +91,7 @@ def running_sum(df, keys, order, value, name, limit=None):
         return local
     totals = cut.groupBy(*CUT).agg(F.sum(value).alias("_sum"))
     carry = totals.select(*CUT, F.sum("_sum").over(_before()).alias("_carry"))
-    total = F.col(name) + F.coalesce("_carry", F.lit(0))
+    total = F.coalesce(F.col(name) + F.col("_carry"), F.col(name), F.col("_carry"))
     return local.join(carry, CUT, "left").withColumn(name, total).drop("_carry", *CUT)
 
 

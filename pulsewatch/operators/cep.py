@@ -111,7 +111,7 @@ def value_leaves(leaves, metrics):
     Rows of other metrics are dropped before the latest value is worked out.
     """
     wanted = leaves.select(*KEYS).distinct()
-    state = latest(keyed_join(metrics, wanted, KEYS, "left_semi"), KEYS)
+    state = latest(keyed_join(metrics, wanted, KEYS, "left_semi", bounded_by=leaves), KEYS)
     state = state.select(*KEYS, F.col("value").alias("_seen"))
     found = F.coalesce("value", "_seen")
     return leaves.join(state, list(KEYS), "left").select(
@@ -122,7 +122,7 @@ def value_leaves(leaves, metrics):
 def streak_leaves(leaves, detections):
     """Leaves on the run a rule is in: at least `mark_count` long. No rows is a run of 0."""
     targets = leaves.select(F.col("target_rule_id").alias("rule_id")).distinct()
-    runs = current_streaks(keyed_join(detections, targets, ["rule_id"], "left_semi"))
+    runs = current_streaks(keyed_join(detections, targets, ["rule_id"], "left_semi", bounded_by=leaves))
     runs = runs.withColumnRenamed("rule_id", "target_rule_id")
     reached = F.coalesce("streak", F.lit(0)) >= F.col("mark_count")
     return leaves.join(runs, "target_rule_id", "left").select("leaf_id", reached.alias("result"))
@@ -140,7 +140,7 @@ def range_leaves(leaves, metrics, as_of=None):
     near = metrics.where(F.col("ts").between(start, now.cast(kind)))
     named = leaves.select("leaf_id", *KEYS, "span")
     own_start = (now - F.make_dt_interval(secs=F.col("span"))).cast(kind)
-    within = keyed_join(near, named, KEYS).where(F.col("ts") >= own_start)
+    within = keyed_join(near, named, KEYS, bounded_by=leaves).where(F.col("ts") >= own_start)
     stats = within.groupBy("leaf_id").agg(
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -158,7 +158,7 @@ def _latest_alarms(leaves, alarms):
     targets = leaves.select(F.col("target_rule_id").alias("rule_id")).distinct()
     position = ordinal("occur_timestamp", "seq")
     return (
-        keyed_join(alarms, targets, ["rule_id"], "left_semi")
+        keyed_join(alarms, targets, ["rule_id"], "left_semi", bounded_by=leaves)
         .groupBy(F.col("rule_id").alias("target_rule_id"))
         .agg(
             F.max_by("detect", position).alias("_alarm"),
@@ -189,7 +189,7 @@ def evaluate(clauses, results, at=()):
     """
     at = list(at)
     sizes = clauses.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_leaves"))
-    judged = keyed_join(results, clauses.join(sizes, "rule_id"), ["leaf_id"])
+    judged = keyed_join(results, clauses.join(sizes, "rule_id"), ["leaf_id"], bounded_by=clauses)
     per_clause = judged.groupBy(*at, "rule_id", "clause_id").agg(
         F.bool_and("result").alias("_holds"),
         F.count("result").alias("_known"),
@@ -208,14 +208,14 @@ def composed_windows(metrics, leaves, clauses, size, step, mark_count=1):
     In each step the rule is judged on the last value every leaf's metric had in it.
     """
     wanted = leaves.select(*KEYS).distinct()
-    seen = keyed_join(metrics, wanted, KEYS, "left_semi")
+    seen = keyed_join(metrics, wanted, KEYS, "left_semi", bounded_by=leaves)
     last = (
         seen.groupBy(*KEYS, F.window("ts", step).alias("_w"))
         .agg(F.max_by("value", ordinal()).alias("_seen"))
         .withColumn("step", F.col("_w.start"))
     )
     named = leaves.select("leaf_id", *KEYS, "op", "threshold")
-    judged = keyed_join(last, named, KEYS).select(
+    judged = keyed_join(last, named, KEYS, bounded_by=leaves).select(
         "step", "leaf_id", compare_or_null(F.col("_seen"), F.col("op"), F.col("threshold")).alias("result")
     )
     held = evaluate(clauses, judged, ["step"]).where("result")

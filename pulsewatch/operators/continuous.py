@@ -22,10 +22,12 @@ def continuous_alarms(detections, rules, ts="ts", seq="seq", limit=None):
     watched by further continuous rules.
     """
     targets = rules.select(F.col("target_rule_id").alias("rule_id")).distinct()
-    watched = keyed_join(detections.select("rule_id", ts, seq, "detect"), targets, ["rule_id"], "left_semi")
+    verdicts = detections.select("rule_id", ts, seq, "detect")
+    watched = keyed_join(verdicts, targets, ["rule_id"], "left_semi", bounded_by=rules)
     counted = streak_rows(watched, ts, seq, limit).withColumnRenamed("rule_id", "target_rule_id")
     named = rules.select("rule_id", "target_rule_id", "mark_count")
-    fired = keyed_join(counted, named, ["target_rule_id"]).where(F.col("streak") >= F.col("mark_count"))
+    paired = keyed_join(counted, named, ["target_rule_id"], bounded_by=rules)
+    fired = paired.where(F.col("streak") >= F.col("mark_count"))
     payload = rule_payload(
         {
             "ruleId": F.col("rule_id"),

@@ -22,7 +22,7 @@ def detect(metrics, rules, keys=KEYS, value="value"):
     Each rule is judged on its own. Rows without a rule on their key are left out; an
     empty rule table gives no rows.
     """
-    matched = keyed_join(metrics, _rule_columns(rules, keys), keys)
+    matched = keyed_join(metrics, _rule_columns(rules, keys), keys, bounded_by=rules)
     return matched.withColumn("detect", compare(F.col(value), F.col("op"), F.col("threshold")))
 
 
@@ -62,7 +62,7 @@ def last_rule_per_key(rules, keys=KEYS):
 
 def has_rule(metrics, rules, keys=KEYS):
     """Metric rows whose key has at least one rule."""
-    return keyed_join(metrics, rules.select(*keys).distinct(), keys, "left_semi")
+    return keyed_join(metrics, rules.select(*keys).distinct(), keys, "left_semi", bounded_by=rules)
 
 
 def _rules_per_key(rules, keys, *order):
@@ -137,7 +137,7 @@ def detect_logs(logs, rules, rules_per_pass=500):
 
 def detect_rollups(rollups, rules, keys=KEYS):
     """Every rollup row with every rollup rule on its key, judged on the rule's summary."""
-    matched = keyed_join(rollups, _rule_columns(rules, keys, "summary"), keys)
+    matched = keyed_join(rollups, _rule_columns(rules, keys, "summary"), keys, bounded_by=rules)
     chosen = summary_value(F.col("summary"))
     return matched.withColumn("detect", compare(chosen, F.col("op"), F.col("threshold")))
 

@@ -13,7 +13,7 @@ KEYS = ("resource", "metric")
 
 def select_metrics(state, wanted, keys=KEYS):
     """Current values of a list of wanted metrics."""
-    return keyed_join(state, wanted.select(*keys), keys)
+    return keyed_join(state, wanted.select(*keys), keys, bounded_by=wanted)
 
 
 def select_rules(state, rules, keys=KEYS):
@@ -43,7 +43,7 @@ def rollup_mean_value(rollups, resource, metric, minutes, as_of=None):
 
 def rollup_rules(rollups, rules, minutes, keys=KEYS, as_of=None):
     """Rollup rules judged on the merged rollups of the last `minutes` of their key."""
-    ruled = keyed_join(rollups, rules.select(*keys).distinct(), keys, "left_semi")
+    ruled = keyed_join(rollups, rules.select(*keys).distinct(), keys, "left_semi", bounded_by=rules)
     age = age_seconds("window_start", as_of)
     kept = recent(ruled, minutes, as_of, "window_start").withColumn("_age", age)
     spread = F.coalesce(F.col("stddev") * F.col("stddev") * (F.col("cnt") - 1), F.lit(0.0))
@@ -54,7 +54,7 @@ def rollup_rules(rollups, rules, minutes, keys=KEYS, as_of=None):
         .withColumn("stddev", sample_stddev())
     )
     named = rules.select("rule_id", *keys, "summary", "op", "threshold")
-    judged = keyed_join(summary, named, keys)
+    judged = keyed_join(summary, named, keys, bounded_by=rules)
     chosen = summary_value(F.col("summary"))
     return judged.select(
         "rule_id",

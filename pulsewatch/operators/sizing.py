@@ -13,7 +13,12 @@ SALTS = 256
 
 
 def fits_broadcast(df, max_rows=None, max_bytes=None):
-    """Whether `df` is within both bounds; reads at most one row past the row bound."""
+    """Whether `df` is within both bounds; reads at most one row past the row bound.
+
+    A local relation, which lives in the query itself, needs no counting.
+    """
+    if max_rows is None and df.isLocal():
+        return BROADCAST_ROWS > 0
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     width = F.octet_length(F.to_json(F.struct("*")))
@@ -21,18 +26,20 @@ def fits_broadcast(df, max_rows=None, max_bytes=None):
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
-def keyed_join(big, small, keys, how="inner", derived=False):
+def keyed_join(big, small, keys, how="inner", derived=False, bounded_by=None):
     """Equi-join of a large frame with a usually small one, on equally named keys.
 
     `small` is broadcast when measured within bounds. Past them both sides shuffle,
     and keys with more than HOT_ROWS rows in `big` are spread over SALTS tasks, the
     matching `small` rows being copied to each. Set `derived` where `small` is the
     outcome of real work, so that it is computed once and not again for the join.
+    `bounded_by` names a frame `small` was projected or reduced from, to be measured in
+    its place.
     """
     keys = list(keys)
     if derived:
         small = cut_lineage(small)
-    if fits_broadcast(small):
+    if fits_broadcast(small if bounded_by is None else bounded_by):
         return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how)
 

@@ -119,22 +119,21 @@ def _with_moments(df, prefix, keys, order, frame_of=_so_far):
     ).drop("_c", "_d", "_q")
 
 
-def _combined(pieces):
-    """Count, mean and squared deviations of disjoint pieces, each given as `piece_*`."""
+def _combine(df, pieces):
+    """`cnt`, `mean` and `m2` of disjoint pieces, each given as `piece_*` columns."""
 
     def known(column, otherwise):
         return F.coalesce(F.col(column), otherwise)
 
-    n = sum((known(f"{p}_n", F.lit(0)) for p in pieces), F.lit(0))
-    total = sum(
-        (known(f"{p}_n", F.lit(0)) * known(f"{p}_mean", F.lit(0.0)) for p in pieces), F.lit(0.0)
-    )
-    mean = total / n
-    m2 = F.lit(0.0)
+    none, zero = F.lit(0), F.lit(0.0)
+    n = sum((known(f"{p}_n", none) for p in pieces), none)
+    total = sum((known(f"{p}_n", none) * known(f"{p}_mean", zero) for p in pieces), zero)
+    merged = df.withColumn("cnt", n.cast("long")).withColumn("mean", total / F.col("cnt"))
+    m2 = zero
     for p in pieces:
-        gap = known(f"{p}_mean", mean) - mean
-        m2 = m2 + known(f"{p}_m2", F.lit(0.0)) + known(f"{p}_n", F.lit(0)) * gap * gap
-    return n, mean, m2
+        gap = known(f"{p}_mean", F.col("mean")) - F.col("mean")
+        m2 = m2 + known(f"{p}_m2", zero) + known(f"{p}_n", none) * F.pow(gap, F.lit(2))
+    return merged.withColumn("m2", m2)
 
 
 def trailing_stats(metrics, span, keys=KEYS, parts=12):
@@ -160,10 +159,14 @@ def trailing_stats(metrics, span, keys=KEYS, parts=12):
         .withColumn("_t", epoch_micros("ts"))
         .withColumn("_b", F.expr(f"_t div {width} - if(_t % {width} < 0, 1, 0)"))
     )
-    instants = timed.groupBy(*keys, "_b", "_t", "ts").agg(*partial_moments())
-    blocks = timed.groupBy(*keys, "_b").agg(*partial_moments())
-
+    instants = timed.groupBy(*keys, "_b", "_t").agg(*partial_moments())
     headed = _with_moments(instants, "head", [*keys, "_b"], ["_t"])
+    # A block as a whole is what its last instant has seen of it.
+    closing = F.lead("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t")).isNull()
+    seen = {"cnt": "n", "mean": "mean", "m2": "m2", "min": "min", "max": "max"}
+    blocks = headed.withColumn("_closes", closing).where("_closes").select(
+        *keys, "_b", *[F.col(f"head_{c}").alias(name) for name, c in seen.items()]
+    )
 
     def blocks_between(spec):
         return spec.rangeBetween(-(parts - 1), -1)
@@ -175,7 +178,6 @@ def trailing_stats(metrics, span, keys=KEYS, parts=12):
         asked_block,
         (F.col("_t") - span_us).alias("_t"),
         F.lit(2).alias("_kind"),
-        "ts",
         *[f"head_{c}" for c in MOMENTS],
     )
     parted = [rows, asks]
@@ -199,13 +201,13 @@ def trailing_stats(metrics, span, keys=KEYS, parts=12):
         spec = _so_far(Window.partitionBy(*keys, "_b").orderBy(*newest_first))
         found = found.withColumns({f"mid_{c}": F.max(f"mid_{c}").over(spec) for c in MOMENTS})
         pieces.append("mid")
-    n, mean, m2 = _combined(pieces)
-    return found.where("_kind = 2").select(
+    asked_at = F.timestamp_micros(F.col("_t") + span_us).cast(metrics.schema["ts"].dataType)
+    return _combine(found.where("_kind = 2"), pieces).select(
         *keys,
-        "ts",
-        n.cast("long").alias("cnt"),
-        mean.alias("mean"),
+        asked_at.alias("ts"),
+        "cnt",
+        "mean",
         F.least(*[f"{p}_min" for p in pieces]).alias("min"),
         F.greatest(*[f"{p}_max" for p in pieces]).alias("max"),
-        F.sqrt(m2 / n).alias("stddev"),
+        F.sqrt(F.col("m2") / F.col("cnt")).alias("stddev"),
     )

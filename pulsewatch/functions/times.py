@@ -36,17 +36,25 @@ def epoch_micros(ts):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _major(ts):
+    """Time as the leading part of an `ordinal`; its factor exceeds the width of a long."""
+    return epoch_micros(ts).cast("decimal(18,0)") * F.expr("20000000000000000000BD")
+
+
 def ordinal(ts="ts", seq="seq"):
     """(ts, seq) packed into one DECIMAL(38, 0) that sorts the same way.
 
     `max_by(v, struct(ts, seq))` keeps a struct in its buffer, which forces a
-    sort-based aggregate; a decimal keeps the aggregate hash-based. The factor
-    exceeds the width of a 64-bit `seq`, and years 1-9999 stay below 38 digits.
+    sort-based aggregate; a decimal keeps the aggregate hash-based. Years 1-9999 stay
+    below 38 digits.
     """
-    factor = F.expr("20000000000000000000BD")
-    major = epoch_micros(ts).cast("decimal(18,0)") * factor
     minor = F.coalesce(F.col(seq), F.lit(0)).cast("decimal(20,0)")
-    return (major + minor).cast("decimal(38,0)")
+    return (_major(ts) + minor).cast("decimal(38,0)")
+
+
+def sequence_of(position, ts="ts"):
+    """The `seq` inside an `ordinal`, given its time."""
+    return (F.col(position) - _major(ts)).cast("long")
 
 
 def instant(as_of=None):

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pulsewatch.functions.times import ordinal, recent, since
+from pulsewatch.functions.predicates import key_match
+from pulsewatch.functions.times import ordinal, recent, sequence_of
 
 KEYS = ("resource", "metric")
 
@@ -10,11 +11,12 @@ KEYS = ("resource", "metric")
 def latest(metrics, keys=KEYS):
     """Last value per key by (ts, seq), with the time and sequence it was seen at."""
     position = ordinal()
-    return metrics.groupBy(*keys).agg(
+    newest = metrics.groupBy(*keys).agg(
         F.max_by("value", position).alias("value"),
         F.max("ts").alias("ts"),
-        F.max_by("seq", position).alias("seq"),
+        F.max(position).alias("_at"),
     )
+    return newest.withColumn("seq", sequence_of("_at")).drop("_at")
 
 
 def state_view(metrics, keys=KEYS, minutes=5, as_of=None):
@@ -80,8 +82,6 @@ def newest_windows(rollups, n=5):
 
 def current_value(state, resource, metric):
     """Latest value of one metric, or None."""
-    from pulsewatch.functions.predicates import key_match
-
     found = state.where(key_match(resource, metric)).select("value").take(1)
     return found[0]["value"] if found else None
 
@@ -101,19 +101,3 @@ def run_rule(latest_metrics, condition, handle):
     """Hand the latest metrics that meet a condition to the caller's function."""
     return handle(latest_metrics.where(condition).select("resource", "metric", "value"))
 
-
-__all__ = [
-    "current_value",
-    "current_value_sql",
-    "last_in_window",
-    "latest",
-    "newest_windows",
-    "recent",
-    "rollup",
-    "rule_holds",
-    "run_rule",
-    "since",
-    "sorted_rollups",
-    "sorted_state",
-    "state_view",
-]

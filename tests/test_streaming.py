@@ -73,6 +73,36 @@ def test_a_changed_rule_takes_effect_without_a_restart(spark, feed, tmp_path):
     ]
 
 
+def test_rules_learned_from_one_stream_are_used_by_another(spark, feed, tmp_path):
+    changes = Feed(
+        spark,
+        tmp_path / "changes",
+        "rule_id string, resource string, metric string, op string, threshold double, updated_at timestamp, seq long",
+    )
+    learned = live.rule_change_table(spark, str(tmp_path / "learned"))
+    static = rules_frame(spark, [threshold("r1", 50.0)])
+
+    def learn(*rows_):
+        changes.send(list(rows_))
+        live.start_rule_changes(changes.stream(), learned, str(tmp_path / "cp1"), available_now=True).awaitTermination()
+
+    out = str(tmp_path / "alarms")
+    both = lambda: rule.both_rule_sets(static, learned.read())
+    query = live.start_detection(feed.stream(), both, out, str(tmp_path / "cp2"))
+    try:
+        for second, limit in enumerate([None, 40.0, 80.0]):
+            if limit is not None:
+                learn(("d1", "s1", "cpu", ">", limit, T0 + dt.timedelta(seconds=second), second))
+            feed.send([metric(second, second, 60.0)])
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    found = tables.read_batches(spark, out, live.ALARMS)
+    assert rows(found, "seq", "rule_id", "detect") == [
+        (0, "r1", True), (1, "d1", True), (1, "r1", True), (2, "d1", False), (2, "r1", True),
+    ]
+
+
 def test_stop_and_start_again_loses_and_repeats_nothing(spark, feed, tmp_path):
     rules = rules_frame(spark, [threshold("r1", 50.0)])
     out, cp = str(tmp_path / "alarms"), str(tmp_path / "cp")

@@ -111,28 +111,34 @@ def first_match(metrics, rules, keys=KEYS, value="value", order="rule_order"):
 def detect_logs(logs, rules, rules_per_pass=500):
     """Log rows with each log rule they meet.
 
-    A rule that names no resource looks at all of them. Rules are carried to the rows
-    as literals, `rules_per_pass` of them for one pass over the log, so that a line is
-    read once for many rules and only hits are emitted.
+    Rules of a resource travel as one list to the rows of that resource. Rules that name
+    no resource look at all rows and are carried as literals, `rules_per_pass` of them
+    for one pass over the log. Lines are tested in place and only hits are emitted.
     """
-    listed = rules.select("rule_id", "resource", "op", "keyword").collect()
-    passes = [listed[i : i + rules_per_pass] for i in range(0, len(listed), rules_per_pass)]
+    own = (
+        rules.where("resource is not null")
+        .groupBy("resource")
+        .agg(F.collect_list(F.struct("rule_id", "op", "keyword")).alias("_own"))
+    )
+    listed = rules.where("resource is null").select("rule_id", "op", "keyword").collect()
+    passes = [listed[i : i + rules_per_pass] for i in range(0, len(listed), rules_per_pass)] or [[]]
+    none = F.array().cast("array<struct<rule_id:string,op:string,keyword:string>>")
 
-    def one_pass(chunk):
-        packed = F.array(
+    def carried(chunk):
+        return F.array(
             *[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in r.asDict().items()]) for r in chunk]
-        )
+        ) if chunk else none
 
-        def meets(r):
-            covered = r["resource"].isNull() | r["resource"].eqNullSafe(F.col("resource"))
-            return covered & log_condition(F.col("log"), r["op"], r["keyword"])
+    def hits(lines, tests):
+        met = F.filter(tests, lambda r: log_condition(F.col("log"), r["op"], r["keyword"]))
+        found = lines.withColumn("_hit", F.explode(met))
+        return found.select(F.col("_hit.rule_id").alias("rule_id"), *logs.columns)
 
-        hits = logs.withColumn("_r", F.explode(F.filter(packed, meets)))
-        return hits.select(F.col("_r.rule_id").alias("rule_id"), *logs.columns)
-
-    if not passes:
-        return logs.where(F.lit(False)).select(F.lit("").alias("rule_id"), *logs.columns)
-    return reduce(lambda a, b: a.unionByName(b), [one_pass(chunk) for chunk in passes])
+    joined = keyed_join(logs, own, ["resource"], "left", bounded_by=rules)
+    first = hits(joined, F.concat(F.coalesce("_own", none), carried(passes[0])))
+    return reduce(
+        lambda a, b: a.unionByName(b), [hits(logs, carried(chunk)) for chunk in passes[1:]], first
+    )
 
 
 def detect_rollups(rollups, rules, keys=KEYS):

@@ -7,6 +7,7 @@ same associative aggregate. `compact` folds finished batches into one base folde
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class PartialTable:
@@ -22,30 +23,32 @@ class PartialTable:
         """Store one batch's partials; a retried batch replaces its own."""
         partials.write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
 
-    def _numbers(self, folder, label):
-        """Numbers of the finished folders `label=N` below `folder`."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+    def _folder(self, *below):
+        """A folder of the table and the file system it is on."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *below]))
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _numbers(self, label, above=-1):
+        """Numbers over `above` of the finished folders `label=N`."""
+        kind = {"upto": "base", "batch_id": "delta"}[label]
+        root, fs = self._folder(kind)
         if not fs.exists(root):
             return []
-        done = [
-            status.getPath().getName()
-            for status in fs.listStatus(root)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{label}="))
+        return [
+            n for n in numbers if n > above and fs.exists(self._folder(kind, f"{label}={n}", "_SUCCESS")[0])
         ]
-        return sorted(int(name.split("=")[1]) for name in done if name.startswith(f"{label}="))
 
     def _partials(self):
-        bases = self._numbers("base", "upto")
-        upto = bases[-1] if bases else -1
-        deltas = [n for n in self._numbers("delta", "batch_id") if n > upto]
+        upto = max(self._numbers("upto"), default=-1)
+        deltas = self._numbers("batch_id", upto)
         paths = [f"{self.path}/delta/batch_id={n}" for n in deltas]
-        if bases:
+        if upto >= 0:
             paths.append(f"{self.path}/base/upto={upto}")
         reader = self.spark.read.schema(self.schema)
         found = reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-        return found, (deltas[-1] if deltas else upto)
+        return found, max(deltas, default=upto)
 
     def read(self):
         """The view: one row per key."""
@@ -54,16 +57,28 @@ class PartialTable:
     def compact(self):
         """Fold all finished batches into a new base; returns the last batch it holds.
 
-        Folded folders stay: a reader may have listed them just before.
+        Folded folders stay until `clean`: a reader may have listed them just before.
         """
         found, last = self._partials()
-        if last >= 0 and last not in self._numbers("base", "upto"):
-            names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        if last >= 0 and last not in self._numbers("upto"):
+            names = T.StructType.fromDDL(self.schema).fieldNames()
             self.merge(found).select(*names).write.mode("overwrite").parquet(
                 f"{self.path}/base/upto={last}"
             )
         return last
 
+    def clean(self):
+        """Remove what the base before the newest one already held, and bases before that."""
+        bases = self._numbers("upto")
+        if len(bases) < 2:
+            return
+        kept = bases[-2]
+        old = [("base", f"upto={n}") for n in bases[:-2]]
+        old += [("delta", f"batch_id={n}") for n in self._numbers("batch_id") if n <= kept]
+        for below in old:
+            path, fs = self._folder(*below)
+            fs.delete(path, True)
+
 
 def batch_folder(df, path, batch_id):
     """Write one micro-batch under its number, over an earlier try of the same batch."""

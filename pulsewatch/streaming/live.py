@@ -6,6 +6,8 @@ and gives the same view as one batch over all rows. Windows that must close and
 emitted once use a watermark instead.
 """
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from pulsewatch.functions.encode import encode_alarm
@@ -39,6 +41,16 @@ def per_batch(df, handle, checkpoint, **options):
     return _writer(df, checkpoint, **options).foreachBatch(handle).start()
 
 
+@contextmanager
+def version(load_rules):
+    """One reading of the rules, for everything a micro-batch does with them."""
+    rules = load_rules().persist()
+    try:
+        yield rules
+    finally:
+        rules.unpersist()
+
+
 def start_detection(metrics, load_rules, alarms_path, checkpoint, **options):
     """Threshold alarms with rules that may change while the query runs.
 
@@ -47,8 +59,9 @@ def start_detection(metrics, load_rules, alarms_path, checkpoint, **options):
     """
 
     def handle(batch, batch_id):
-        found = rule.detect(batch, load_rules())
-        batch_folder(rule.simple_alarms(found), alarms_path, batch_id)
+        with version(load_rules) as rules:
+            found = rule.detect(batch, rules)
+            batch_folder(rule.simple_alarms(found), alarms_path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
 
@@ -57,7 +70,8 @@ def start_rule_verdicts(metrics, load_rules, path, checkpoint, **options):
     """Every rule's verdict on every batch, with the rule's text and processing time."""
 
     def handle(batch, batch_id):
-        batch_folder(rule.evaluate_batch(batch, load_rules()), path, batch_id)
+        with version(load_rules) as rules:
+            batch_folder(rule.evaluate_batch(batch, rules), path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
 
@@ -139,8 +153,9 @@ def start_counts(metrics, load_rules, path, checkpoint, **options):
     """Per batch and metric: rows not detected, detected, and all, kept by batch number."""
 
     def handle(batch, batch_id):
-        numbered = rule.check(batch, load_rules()).withColumn("_b", F.lit(batch_id))
-        batch_folder(counting.batch_counts(numbered, "_b").drop("_b"), path, batch_id)
+        with version(load_rules) as rules:
+            numbered = rule.check(batch, rules).withColumn("_b", F.lit(batch_id))
+            batch_folder(counting.batch_counts(numbered, "_b").drop("_b"), path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
 

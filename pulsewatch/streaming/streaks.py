@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from pulsewatch.operators.sizing import keyed_join
 from pulsewatch.sources.tables import batch_folder
-from pulsewatch.streaming.live import per_batch
+from pulsewatch.streaming.live import per_batch, version
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -91,18 +91,19 @@ def start_continuous_alarms(detections, load_rules, alarms_path, checkpoint, **o
     def handle(batch, batch_id):
         # The runs come out of the state store: work them out once for all that follows.
         counted = batch.where("not late").withColumnRenamed("rule_id", "target_rule_id").persist()
-        named = load_rules().select("rule_id", "target_rule_id", "mark_count")
-        fired = keyed_join(counted, named, ["target_rule_id"]).where("streak >= mark_count")
-        alarms = fired.select(
-            F.lit("continuous").alias("alarm_type"),
-            "rule_id",
-            "target_rule_id",
-            F.lit(True).alias("detect"),
-            F.col("streak").alias("occur_count"),
-            "occur_timestamp",
-            "seq",
-        )
-        batch_folder(alarms, alarms_path, batch_id)
+        with version(load_rules) as rules:
+            named = rules.select("rule_id", "target_rule_id", "mark_count")
+            paired = keyed_join(counted, named, ["target_rule_id"], bounded_by=rules)
+            alarms = paired.where("streak >= mark_count").select(
+                F.lit("continuous").alias("alarm_type"),
+                "rule_id",
+                "target_rule_id",
+                F.lit(True).alias("detect"),
+                F.col("streak").alias("occur_count"),
+                "occur_timestamp",
+                "seq",
+            )
+            batch_folder(alarms, alarms_path, batch_id)
         counted.unpersist()
 
     return per_batch(streaks(detections), handle, checkpoint, **options)

@@ -157,6 +157,13 @@ def test_views_equal_one_batch_over_all_rows_late_ones_too(spark, feed, tmp_path
     assert state.compact() == 3 and state.compact() == 3
     rolled.compact()
     check()
+    before = state.read()
+    state.clean()
+    rolled.clean()
+    check()
+    assert before.count() == state.read().count()
+    assert os.listdir(tmp_path / "state" / "delta") == ["batch_id=3"]
+    assert sorted(os.listdir(tmp_path / "state" / "base")) == ["upto=2", "upto=3"]
 
 
 def test_a_batch_tried_twice_counts_once(spark, tmp_path, make):

@@ -48,7 +48,8 @@ def compare(spark, con, name, sf_dir):
     types = dict(zip(rel.columns, map(str, rel.types)))
     note = {c: (t, types[c]) for c, t in df.dtypes if PAIRS.get(t) != types[c]}
     if got != want:
-        only = [x for x in got if x not in set(want)][:2], [x for x in want if x not in set(got)][:2]
+        have, need = set(got), set(want)
+        only = [x for x in got if x not in need][:2], [x for x in want if x not in have][:2]
         return False, len(got), f"{len(want)} rows wanted; {only} {note}"
     return True, len(got), str(note or "")
 

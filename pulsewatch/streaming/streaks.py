@@ -1,6 +1,9 @@
 """Continuous alarms on a stream, with the run of every rule kept in the state store."""
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -58,8 +61,12 @@ class RunLength(StatefulProcessor):
 
 
 def use_state_store(spark):
-    """Keyed state needs the RocksDB store."""
+    """Keyed state needs the RocksDB store, and its processor has to reach the workers.
+
+    The processor is sent by value: workers need not have this package installed.
+    """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def streaks(detections):

@@ -312,7 +312,10 @@ def test_a_killed_process_is_taken_over(spark, tmp_path):
     repo = os.path.abspath(os.path.join(os.path.dirname(__file__), ".."))
     script = KILLED.format(repo=repo, schema=DETECTIONS, path=feed.path, out=out, cp=cp, shared=str(tmp_path / "shared"))
     with open(tmp_path / "log", "w") as log:
-        child = subprocess.Popen([sys.executable, "-c", script], stdout=log, stderr=log, start_new_session=True)
+        # Run from elsewhere: the child's workers cannot import the package.
+        child = subprocess.Popen(
+            [sys.executable, "-c", script], stdout=log, stderr=log, cwd=tmp_path, start_new_session=True
+        )
         try:
             for _ in range(600):
                 if os.path.exists(f"{out}/batch_id=2") or child.poll() is not None:

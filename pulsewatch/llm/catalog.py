@@ -1,9 +1,10 @@
 """The registered queries of the dealt operators and their SQL, where SQL can say it."""
 
-from pulsewatch.llm import substrings, suffixes
+from pulsewatch.llm import jaccard, substrings, suffixes
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
 }
 

@@ -1,10 +1,13 @@
 """The registered queries of the dealt operators and their SQL, where SQL can say it."""
 
-from pulsewatch.llm import jaccard, substrings, suffixes
+from pulsewatch.llm import decontaminate, jaccard, secrets, sharding, substrings, suffixes
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_sharding": sharding.op3_sharding,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
 }
 

@@ -12,15 +12,18 @@ the first few of both:
   ones in the extended prefix, two shared ones stand side by side in both texts.
 
 A text with more unique shingles than may differ links with nothing and goes no further.
-Candidates under common signatures form families. A family meets once, in tiles where it
-is large, and its sets are compared there; only each set's number of links and a spanning
-tree leave the task.
+Sizes of texts that link differ by a limited factor, so signatures bind only sets of one
+size class or two neighbouring ones. Candidates under common signatures form families. The
+sets of a family meet class by class, in tiles where there are many, and are compared
+there; only each set's number of links and a spanning tree leave the task.
 """
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -152,7 +155,7 @@ def shingled(docs, width, num, den, frequent, id_col, text_col):
         order = np.argsort(keys)
         keys, kinds = np.r_[keys[order], np.int64(-1)], np.r_[kinds[order], np.uint8(0)]
         sent, out = set(), []
-        for i, name, tokens in zip(ids, names, sets):
+        for i, text, name, tokens in zip(ids, whole, names, sets):
             signs = None
             if name and name not in sent:
                 sent.add(name)
@@ -161,11 +164,14 @@ def shingled(docs, width, num, den, frequent, id_col, text_col):
                 at = np.searchsorted(keys[:-1], key)
                 signs = signatures(tokens, np.where(keys[at] == key, kinds[at], 0), num, den)
             shown = signs is not None and len(signs) > 0
-            out.append((i, len(tokens), name, tokens.view(np.int64) if shown else None, signs.view(np.int64) if shown else None))
+            # The same number as Spark's xxhash64 of the text.
+            key = np.uint64(xxhash.xxh64_intdigest(text, 42)).astype(np.int64)
+            sides = (tokens.view(np.int64), signs.view(np.int64)) if shown else (None, None)
+            out.append((i, key, len(tokens), name, *sides))
         return made(out)
 
     kinds = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string())]
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.string())]
         + [(n, pa.list_(pa.int64())) for n in ("shingles", "signatures")]
     )
 
@@ -175,7 +181,7 @@ def shingled(docs, width, num, den, frequent, id_col, text_col):
 
     sent = dealt.groupBy("block").applyInArrow(count, "block int, range int, packed binary")
     classes = sent.groupBy("range").applyInArrow(classify, "block int, range int, packed binary")
-    schema = "doc_id long, n_shingles long, digest string, shingles array<long>, signatures array<long>"
+    schema = "doc_id long, text_key long, n_shingles long, digest string, shingles array<long>, signatures array<long>"
     return dealt.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(finish, schema)
 
 
@@ -226,15 +232,19 @@ def linked_tiles(names, sets, copies, left, right, num, den):
 
 
 def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, id_col="doc_id", text_col="text"):
-    """doc_id, n_shingles, component_id and n_links of every row: the Jaccard join of all texts.
+    """doc_id, n_shingles, component_id, n_links, component and text_key of every row.
+
+    The Jaccard join of all texts.
 
     Two texts link when `den` * common shingles >= `num` * all shingles of both, a shingle
     being `width` consecutive words (runs of anything but ASCII white space, A-Z as a-z),
     or the whole text where it has fewer words. Null, empty and blank texts have no
     shingles and link with nothing: their component is their own id. component_id is the
     smallest id that links lead to; null ids stay null and count only where a component has
-    no other. n_links counts other rows, equal rows included. Further columns are ignored;
-    an empty table gives an empty result. num / den has to be 0.7 or more.
+    no other. n_links counts other rows, equal rows included. `component` names the
+    component (null without shingles) and `text_key` is the 64-bit hash of the row's text, to
+    tell rows of one id apart. Further columns are ignored; an empty table gives an empty
+    result. num / den has to be 0.7 or more.
     """
     spark = docs.sparkSession
     rows = stored(shingled(docs, width, num, den, frequent, id_col, text_col), "shingles")
@@ -243,55 +253,75 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, i
     sets = rows.where("signatures is not null").select("digest", "shingles", "signatures").dropDuplicates(["digest"])
     sets = stored(sets.join(classes.select("digest", "copies"), "digest"), "sets")
 
-    signed = sets.select("digest", F.explode("signatures").alias("sign"))
-    first = signed.groupBy("sign").agg(F.min("digest").alias("dst"), F.max("digest").alias("last")).where("dst <> last")
-    star = signed.join(first, "sign").select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
+    # A hair wider than the factor, so that rounding cannot part sets by two classes.
+    unit = math.log(den / num) * (1 + 1e-9) if num < den else 1.0
+    sets = sets.withColumn("size_class", F.floor(F.log(F.size("shingles").cast("double")) / unit))
+    either = F.array("size_class", F.col("size_class") + 1)
+    signed = sets.select("digest", F.explode("signatures").alias("sign"), either.alias("either"))
+    signed = signed.select("digest", "sign", F.explode("either").alias("size_class"))
+    key = ["sign", "size_class"]
+    first = signed.groupBy(*key).agg(F.min("digest").alias("dst"), F.max("digest").alias("last")).where("dst <> last")
+    star = signed.join(first, key).select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
     family = components(star, "families").withColumnRenamed("node", "digest").withColumnRenamed("component", "family")
-    family = stored(family, "family")
-    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    # Families of up to a tile share buckets; larger ones meet tile by tile.
-    member = family.join(size, "family").join(sets.select("digest", "shingles", "copies"), "digest")
-    tiles = F.ceil(F.col("size") / tile)
+    # In the meeting of a class, its own sets (lower) meet each other and those of the next (upper).
+    member = family.join(sets.select("digest", "shingles", "copies", "size_class"), "digest")
+    role = F.explode(F.array(F.struct(F.lit(True).alias("lower"), F.col("size_class").alias("at")), F.struct(F.lit(False).alias("lower"), (F.col("size_class") - 1).alias("at"))))
+    member = stored(member.withColumn("role", role).select("family", "digest", "copies", "shingles", "role.lower", "role.at"), "members")
+    meeting = ["family", "at"]
+    n = member.groupBy(*meeting).agg(F.count_if("lower").alias("low"), F.count_if(~F.col("lower")).alias("up")).where("low > 0")
+    tiles_low, tiles_up = (F.ceil(F.greatest(F.col(c), F.lit(1)) / tile) for c in ("low", "up"))
+    own = F.pmod(F.xxhash64("digest"), F.when(F.col("lower"), tiles_low).otherwise(tiles_up))
+    whole = F.col("low") + F.col("up") <= tile
     buckets = 8 * parallelism(spark)
-    cut = member.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    met = cut.withColumn("with", other).withColumn(
-        "task",
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets)).cast("string")).otherwise(
-            F.concat_ws(":", "family", F.least("tile", "with"), F.greatest("tile", "with"))
-        ),
-    )
+    met = member.join(n, meeting).withColumn("tile", F.when(whole, F.lit(0).cast("long")).otherwise(own))
+    with_low, with_up = (F.sequence(F.lit(0).cast("long"), t - 1) for t in (tiles_low, tiles_up))
+    place = [F.col("family"), F.col("at").cast("string")]
+    among = F.transform(with_low, lambda t: F.concat_ws(":", *place, F.lit("same"), F.least("tile", t), F.greatest("tile", t)))
+    across = F.when(
+        F.col("lower"), F.transform(with_up, lambda t: F.concat_ws(":", *place, F.lit("next"), "tile", t))
+    ).otherwise(F.transform(with_low, lambda t: F.concat_ws(":", *place, F.lit("next"), t, "tile")))
+    bucket = F.concat(F.lit("all:"), F.pmod(F.xxhash64(*meeting), F.lit(buckets)).cast("string"))
+    tasks = F.when(whole, F.array(bucket)).when(F.col("lower"), F.concat(among, across)).otherwise(across)
+    met = met.withColumn("task", F.explode(tasks))
 
     def compare(table):
-        cols = {c: table.column(c).to_pylist() for c in ("family", "digest", "copies", "tile")}
-        of_two = table.column("task")[0].as_py().split(":")[1:]
+        cols = {c: table.column(c).to_pylist() for c in ("family", "at", "digest", "copies", "lower", "tile")}
+        task = table.column("task")[0].as_py().split(":")
         chunked = table.column("shingles").combine_chunks()
         offsets, values = chunked.offsets.to_numpy(), chunked.values.to_numpy().view(np.uint64)
         of = {}
         for i in sorted(range(table.num_rows), key=lambda i: cols["digest"][i]):
-            of.setdefault(cols["family"][i], []).append(i)
+            of.setdefault((cols["family"][i], cols["at"][i]), []).append(i)
         out = []
         for own in of.values():
-            left = right = list(range(len(own)))
-            if len(set(of_two)) == 2:
-                left, right = ([k for k, i in enumerate(own) if cols["tile"][i] == int(t)] for t in of_two)
-            if left and right:
-                own_sets = [values[offsets[i] : offsets[i + 1]] for i in own]
-                names, copies = ([cols[c][i] for i in own] for c in ("digest", "copies"))
-                out += linked_tiles(names, own_sets, copies, left, right, num, den)
+            low = [k for k, i in enumerate(own) if cols["lower"][i]]
+            up = [k for k, i in enumerate(own) if not cols["lower"][i]]
+            if task[0] == "all":
+                meetings = [(low, low), (low, up)]
+            elif task[-3] == "next":
+                meetings = [(low, up)]
+            elif task[-2] == task[-1]:
+                meetings = [(low, low)]
+            else:
+                meetings = [[[k for k in low if cols["tile"][own[k]] == int(t)] for t in task[-2:]]]
+            sets = [values[offsets[i] : offsets[i + 1]] for i in own]
+            names, copies = ([cols[c][i] for i in own] for c in ("digest", "copies"))
+            for left, right in meetings:
+                if left and right:
+                    out += linked_tiles(names, sets, copies, left, right, num, den)
         columns = list(zip(*out)) if out else [[], [], []]
         kinds = pa.string(), pa.string(), pa.int64()
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["src", "dst", "links"])
 
-    slim = met.select("task", "family", "digest", "copies", "tile", "shingles")
+    slim = met.select("task", "family", "at", "digest", "copies", "lower", "tile", "shingles")
     links = stored(slim.groupBy("task").applyInArrow(compare, "src string, dst string, links long"), "links")
     joined = components(links.select("src", "dst"), "linked").withColumnRenamed("node", "digest")
     count = links.groupBy("src").agg(F.sum("links").alias("links")).withColumnRenamed("src", "digest")
     known = classes.join(joined, "digest", "left").join(count, "digest", "left")
     known = known.withColumn("component", F.coalesce("component", "digest"))
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = stored(known.join(least, "component").select("digest", "component_id", "copies", "links"), "known")
-    named = rows.select("doc_id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("digest"))
+    known = stored(known.join(least, "component").select("digest", "component", "component_id", "copies", "links"), "known")
+    named = rows.select("doc_id", "text_key", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("digest"))
     out = named.join(known, "digest", "left")
     n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
     return out.select(
@@ -299,8 +329,33 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, i
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         n_links.cast("long").alias("n_links"),
+        "component",
+        "text_key",
     )
 
 
+def keep_one(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE):
+    """The rows of `docs`, all columns, of which one of each component stays: the smallest doc_id's.
+
+    Of rows with one id the smallest text hash stays, and of equal rows one. Rows without
+    shingles link with nothing and all stay.
+    """
+    found = jaccard_join(docs, width, num, den, frequent, tile).where("component is not null")
+    counted = stored(found.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "counted")
+    best = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
+    judged = counted.join(best, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    name = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")]
+    # Losers and rows that stay once; both are few next to the documents.
+    out = stored(judged.where(~stays).select(*name, F.lit(False).alias("_once")).union(judged.where(stays & (F.col("n") > 1)).select(*name, F.lit(True).alias("_once"))), "judged")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(out["_id"]) & (keyed["_key"] == out["_text_key"])
+    untouched = keyed.join(out, same, "left_anti")
+    once = out.where("_once")
+    same = keyed["doc_id"].cast("long").eqNullSafe(once["_id"]) & (keyed["_key"] == once["_text_key"])
+    single = keyed.join(once, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return untouched.union(single).select(*docs.columns)
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join(read(spark, sf_dir, "documents"), width=3, num=90, den=100)

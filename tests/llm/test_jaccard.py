@@ -64,3 +64,17 @@ def test_one_large_family_is_cut_into_tiles(spark):
 
 def test_empty_table(spark):
     assert jaccard.jaccard_join(frame(spark, []).limit(0)).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = families(9) + AWKWARD + [(905, "a b"), (905, "a b"), (904, "a b"), (3, "x y z"), (3, "x y z"), (None, "p q"), (None, "p q")]
+    docs = frame(spark, rows)
+    kept = jaccard.keep_one(docs, width=3, num=90, den=100)
+    assert kept.columns == docs.columns
+    found = jaccard.jaccard_join(docs, width=3, num=90, den=100)
+    components = found.where("component is not null").select("component").distinct().count()
+    blank = sum(not (t or "").split() for _, t in rows)
+    out = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(out) == components + blank
+    again = jaccard.jaccard_join(kept, width=3, num=90, den=100).agg({"n_links": "sum"}).first()[0]
+    assert again == 0 and set(out) <= set(rows)

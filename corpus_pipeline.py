@@ -1,10 +1,79 @@
-"""Documents through five operators: quality, near duplicates, benchmark leaks, secrets, tokens."""
+"""Documents through five operators: quality, near duplicates, benchmark leaks, secrets, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a table. All but the last return the
+columns of documents; each works on all rows its predecessor kept.
+"""
 
+import pyarrow as pa
+
+from pulsewatch.llm import decontaminate, jaccard, pieces, quality, secrets
+from pulsewatch.llm.common import read
+from pulsewatch.session import run_dir
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the classifier keeps: of quality, and not toxic.
+
+    Null and empty texts are judged by their metadata; without labels all rows stay.
+    """
+    return quality.reject(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """One document, the smallest doc_id's, of each group that shingles of five words link at 0.8.
+
+    Documents without words link with nothing and stay.
+    """
+    return jaccard.keep_one(docs, width=5, num=80, den=100)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents in which no benchmark item is found; null and empty texts stay."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_stage(spark, docs, sf_dir):
+    """All documents, found secrets replaced by a mark; n_chars counts the new text where it changed."""
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column(text_at).to_pylist()
+            new = [secrets.redact(t) for t in old]
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
+            if chars_at is not None:
+                chars = batch.column(chars_at).to_pylist()
+                counted = [c if a == b else len(b) for c, a, b in zip(chars, old, new)]
+                columns[chars_at] = pa.array(counted, batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def encoding_stage(spark, docs, sf_dir):
+    """doc_id, ids, n_ids and round_trip of every document."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
+
+#: No SQL trains a classifier or encodes pieces; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """The stages over the documents, each written as Parquet and read again."""
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        path = run_dir(spark, f"pipeline-{number}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -6,7 +6,6 @@ from math import gcd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsewatch.functions.moments import partial_moments
 from pulsewatch.functions.times import duration, epoch_micros, instant, micros
 from pulsewatch.operators.sizing import keyed_join
 
@@ -82,132 +81,126 @@ def range_stats(metrics, span, as_of=None, keys=KEYS):
     )
 
 
-MOMENTS = ("n", "mean", "m2", "min", "max")
+def _moments():
+    """What describes a set of values and merges with others; deviations from its own mean."""
+    v = F.col("_v")
+    return {"n": F.count(v), "mean": F.avg(v), "total": F.sum(v), "spread": F.var_pop(v), "min": F.min(v), "max": F.max(v)}
 
 
-def _so_far(spec):
-    return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _moments_over(frame):
+    return F.struct(*[c.over(frame).alias(n) for n, c in _moments().items()])
 
 
-def _with_moments(df, prefix, keys, order, frame_of=_so_far):
-    """`df` with the moments of each row's frame, as `prefix_*` columns.
+def _merged(a, b):
+    """Moments of two disjoint sets from those of each; a null side adds nothing.
 
-    Deviations are taken from the mean of the whole partition. Its frame names the same
-    order, so one sort serves both.
+    Only the gap between the two means enters, never a mean of more than both. NaN and
+    infinities stay in the sets that hold them and come out as a plain frame's would.
     """
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    frame = frame_of(spec)
-    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum(F.col("cnt") * F.col("mean")).over(whole)
-    centred = df.withColumn("_c", total / F.nullif(F.sum("cnt").over(whole), F.lit(0)))
-    gap = F.col("mean") - F.col("_c")
-    summed = centred.withColumns(
-        {
-            f"{prefix}_n": F.sum("cnt").over(frame),
-            "_d": F.sum(F.col("cnt") * gap).over(frame),
-            "_q": F.sum(F.col("m2") + F.col("cnt") * gap * gap).over(frame),
-            f"{prefix}_min": F.min("min").over(frame),
-            f"{prefix}_max": F.max("max").over(frame),
-        }
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    both = F.struct(
+        n.alias("n"),
+        ((a["total"] + b["total"]) / n).alias("mean"),
+        (a["total"] + b["total"]).alias("total"),
+        ((a["spread"] * a["n"] + b["spread"] * b["n"] + gap * gap * (a["n"] / n) * b["n"]) / n).alias("spread"),
+        F.least(a["min"], b["min"]).alias("min"),
+        F.greatest(a["max"], b["max"]).alias("max"),
     )
-    shift = F.col("_d") / F.nullif(F.col(f"{prefix}_n"), F.lit(0))
-    return summed.withColumns(
-        {
-            f"{prefix}_mean": F.col("_c") + shift,
-            f"{prefix}_m2": F.greatest(F.col("_q") - F.col("_d") * shift, F.lit(0.0)),
-        }
-    ).drop("_c", "_d", "_q")
+    return F.when(a.isNull(), b).otherwise(both)
 
 
-def _combine(df, pieces):
-    """`cnt`, `mean` and `m2` of disjoint pieces, each given as `piece_*` columns."""
+def _of_pieces(df, pieces):
+    """`df` with cnt, mean, min, max and stddev of the disjoint sets its struct columns describe."""
+    none, zero = F.lit(0), F.lit(0.0)
 
-    def known(column, otherwise):
-        return F.coalesce(F.col(column), otherwise)
+    def over_all(part):
+        return sum((part(F.col(p)) for p in pieces), zero)
 
-    none, zero = F.lit(0), F.lit(0.0)
-    n = sum((known(f"{p}_n", none) for p in pieces), none)
-    total = sum((known(f"{p}_n", none) * known(f"{p}_mean", zero) for p in pieces), zero)
-    merged = df.withColumn("cnt", n.cast("long")).withColumn("mean", total / F.col("cnt"))
-    m2 = zero
-    for p in pieces:
-        gap = known(f"{p}_mean", F.col("mean")) - F.col("mean")
-        m2 = m2 + known(f"{p}_m2", zero) + known(f"{p}_n", none) * F.pow(gap, F.lit(2))
-    return merged.withColumn("m2", m2)
+    n = sum((F.coalesce(F.col(p)["n"], none) for p in pieces), none)
+    total = over_all(lambda p: F.coalesce(p["total"], zero))
+    known = df.withColumn("cnt", n.cast("long")).withColumn("mean", total / F.nullif(F.col("cnt"), none))
+
+    def squares(p):
+        # From the mean of this range alone.
+        gap = p["mean"] - F.col("mean")
+        return F.coalesce(p["n"] * (p["spread"] + gap * gap), zero)
+
+    return known.withColumns(
+        {
+            "min": F.least(*[F.col(p)["min"] for p in pieces]),
+            "max": F.greatest(*[F.col(p)["max"] for p in pieces]),
+            "stddev": F.sqrt(over_all(squares) / F.nullif(F.col("cnt"), none)),
+        }
+    )
 
 
 def trailing_stats(metrics, span, keys=KEYS, parts=12):
-    """Count, mean, min, max and population stddev of the `span` up to each instant.
-
-    One row per key and instant that has a value: rows of one instant share their
-    range. A RANGE frame would sort a whole key in one task and redo the frame for each
-    row. Here time is cut into blocks of span/parts, and an instant's range is
-      the part of its own block up to it  (head: running, oldest first),
-      the parts-1 whole blocks before it  (mid: from one row per key and block),
-      the end of the block span ago       (tail: running, newest first),
-    so the largest group is one key within one block and work grows with the rows.
-    Each instant asks for its tail, and each block brings its mid, by a row of its own
-    in the block span ago; one window there answers, without a join.
+    """Every metric row with `cnt`, `mean`, `min`, `max` and population `stddev` of the `span` up to it.
+
+    The same as a RANGE frame over each key, which would sort a whole key in one task and
+    redo the frame for each row. Here time is cut into blocks of about span / parts, and a
+    row's range is
+      the part of its own block up to it     (head: running, oldest first),
+      the whole blocks in between            (mid: at most parts - 1 of them, merged),
+      the end of the block its range starts in (tail: running, newest first),
+    so the largest group is one key within one block and work grows with the rows. A row
+    asks for its tail by a copy of itself in that block, and a block's mids come along as a
+    row of their own; one window there answers, without a join. Parts are merged pairwise.
     """
     keys = list(keys)
     span_us = micros(span)
-    if span_us % parts:
-        parts = 1
-    width = span_us // parts
-    timed = (
-        metrics.where(F.col("value").isNotNull())
-        .withColumn("_t", epoch_micros("ts"))
-        .withColumn("_b", F.expr(f"_t div {width} - if(_t % {width} < 0, 1, 0)"))
-    )
-    instants = timed.groupBy(*keys, "_b", "_t").agg(*partial_moments())
-    headed = _with_moments(instants, "head", [*keys, "_b"], ["_t"])
-    # A block as a whole is what its last instant has seen of it.
-    closing = F.lead("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t")).isNull()
-    seen = {"cnt": "n", "mean": "mean", "m2": "m2", "min": "min", "max": "max"}
-    blocks = headed.withColumn("_closes", closing).where("_closes").select(
-        *keys, "_b", *[F.col(f"head_{c}").alias(name) for name, c in seen.items()]
-    )
-
-    def blocks_between(spec):
-        return spec.rangeBetween(-(parts - 1), -1)
-
-    asked_block = (F.col("_b") - parts).alias("_b")
-    rows = instants.select(*keys, "_b", "_t", F.lit(1).alias("_kind"), "cnt", "mean", "m2", "min", "max")
+    width = -(-span_us // parts)
+    parts = -(-span_us // width)
+    block = F.expr(f"_t div {width} - if(_t % {width} < 0, 1, 0)")
+    row = F.struct(*metrics.columns)
+    rows = metrics.select(
+        *keys, epoch_micros("ts").alias("_t"), F.col("value").cast("double").alias("_v"), row.alias("_row")
+    ).withColumn("_b", block)
+    by = Window.partitionBy(*keys, "_b")
+    upto = by.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    headed = rows.withColumn("_head", _moments_over(upto))
     asks = headed.select(
         *keys,
-        asked_block,
         (F.col("_t") - span_us).alias("_t"),
+        F.lit(None).cast("double").alias("_v"),
+        "_row",
+        "_head",
+        F.col("_b").alias("_from"),
         F.lit(2).alias("_kind"),
-        *[f"head_{c}" for c in MOMENTS],
-    )
-    parted = [rows, asks]
+    ).withColumn("_b", block)
+    # Whole blocks, each copied to the blocks whose rows' ranges reach over it.
+    blocks = rows.groupBy(*keys, "_b").agg(F.struct(*[c.alias(n) for n, c in _moments().items()]).alias("_m"))
+    gathered = [rows.select(*keys, "_t", "_v", "_b", F.lit(1).alias("_kind")), asks]
     if parts > 1:
-        between = _with_moments(blocks, "mid", keys, ["_b"], blocks_between)
-        # Sorts first in its block, ahead of every instant.
-        parted.append(
-            between.select(
+        reach = blocks.select(*keys, "_b", "_m", F.explode(F.sequence(F.lit(1), F.lit(parts - 1))).alias("_d"))
+        listed = reach.groupBy(*keys, (F.col("_b") - F.col("_d")).alias("_b")).agg(
+            F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_l")
+        )
+
+        def folded(most):
+            chosen = F.transform(F.filter("_l", lambda x: (x["_d"] <= most) & (x["_m"]["n"] > 0)), lambda x: x["_m"])
+            # A range starts in the block `parts` or, with a last short part, `parts` - 1 back.
+            return F.aggregate(chosen, F.lit(None).cast(blocks.schema["_m"].dataType), _merged)
+
+        gathered.append(
+            listed.select(
                 *keys,
-                asked_block,
-                F.lit(2**63 - 1).alias("_t"),
+                "_b",
+                F.struct(folded(parts - 1).alias("far"), folded(parts - 2).alias("near")).alias("_mid"),
                 F.lit(0).alias("_kind"),
-                *[f"mid_{c}" for c in MOMENTS],
             )
         )
-    gathered = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parted)
-    newest_first = [F.desc("_t"), "_kind"]
-    found = _with_moments(gathered, "tail", [*keys, "_b"], newest_first)
-    pieces = ["head", "tail"]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), gathered)
+    # The mids come first, then the newest rows; a row at the range's very start counts.
+    newest = by.orderBy((F.col("_kind") == 0).desc(), F.desc("_t"), "_kind")
+    newest = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = together.withColumn("_tail", _moments_over(newest))
+    pieces = ["_tail", "_head"]
     if parts > 1:
-        spec = _so_far(Window.partitionBy(*keys, "_b").orderBy(*newest_first))
-        found = found.withColumns({f"mid_{c}": F.max(f"mid_{c}").over(spec) for c in MOMENTS})
-        pieces.append("mid")
-    asked_at = F.timestamp_micros(F.col("_t") + span_us).cast(metrics.schema["ts"].dataType)
-    return _combine(found.where("_kind = 2"), pieces).select(
-        *keys,
-        asked_at.alias("ts"),
-        "cnt",
-        "mean",
-        F.least(*[f"{p}_min" for p in pieces]).alias("min"),
-        F.greatest(*[f"{p}_max" for p in pieces]).alias("max"),
-        F.sqrt(F.col("m2") / F.col("cnt")).alias("stddev"),
-    )
+        mid = F.first("_mid", ignorenulls=True).over(newest)
+        far = F.col("_from") - F.col("_b") == parts
+        found = found.withColumn("_mid", mid).withColumn("_mid", F.when(far, F.col("_mid.far")).otherwise(F.col("_mid.near")))
+        pieces.append("_mid")
+    answered = _of_pieces(found.where("_kind = 2"), pieces)
+    return answered.select("_row.*", "cnt", "mean", "min", "max", "stddev")

@@ -699,19 +699,81 @@ def range_stats(spark, sf_dir):
     return rounded(found, "mean", "stddev")
 
 
+TRAILING_SQL = """
+    SELECT seq, resource, metric, ts, value, count(value) OVER w AS cnt, round(avg(value) OVER w, 6) AS mean,
+           min(value) OVER w AS min, max(value) OVER w AS max, round({spread}, 6) AS stddev
+    FROM {rows} WINDOW w AS (PARTITION BY resource, metric ORDER BY ts
+                        RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
+
+
+@query("trailing_range", with_sql(TRAILING_SQL.format(rows="m", spread="stddev_pop(value) OVER w")))
+def trailing_range(spark, sf_dir):
+    found = windows.trailing_stats(metrics(spark, sf_dir).drop("name"), "6 hours")
+    return rounded(found, "mean", "stddev")
+
+
+# Some readings are no numbers, or infinite. DuckDB refuses deviations of such values, so
+# the reference leaves the odd ones out and says by itself what a range with one shows.
+SPECIAL_SQL = """
+    SELECT seq, resource, metric, ts, count(*) OVER w AS cnt,
+           CASE WHEN count(*) FILTER (WHERE value IS NULL) OVER w > 0 THEN 'odd' ELSE 'plain' END AS kind,
+           CASE WHEN count(*) FILTER (WHERE value IS NULL) OVER w = 0 THEN round(avg(value) OVER w, 6) END AS mean,
+           CASE WHEN count(*) FILTER (WHERE value IS NULL) OVER w = 0 THEN round(stddev_pop(value) OVER w, 6) END AS stddev
+    FROM (SELECT * REPLACE (CASE WHEN seq % 1000 IN (7, 8, 9) THEN NULL ELSE value END AS value) FROM m)
+    WINDOW w AS (PARTITION BY resource, metric ORDER BY ts
+                 RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW)"""
+
+
+@query("trailing_range_special", with_sql(SPECIAL_SQL))
+def trailing_range_special(spark, sf_dir):
+    turn = F.col("seq") % 1000
+    odd = F.when(turn == 7, float("nan")).when(turn == 8, float("inf")).when(turn == 9, float("-inf"))
+    rows = metrics(spark, sf_dir).drop("name").withColumn("value", F.coalesce(odd, "value"))
+    found = windows.trailing_stats(rows, "2 hours")
+    plain = ~F.isnan("stddev")
+    return found.select(
+        "seq", "resource", "metric", "ts", "cnt",
+        F.when(plain, "plain").otherwise("odd").alias("kind"),
+        F.when(plain, F.round("mean", 6)).alias("mean"),
+        F.when(plain, F.round("stddev", 6)).alias("stddev"),
+    )
+
+
+# The level of every key jumps by 1e12 halfway. Sums of such whole numbers are exact; deviations
+# are compared on a scale of logarithms, as their last digits depend on the order of adding.
+STEP_SQL = """
+    SELECT seq, resource, metric, ts, count(value) OVER w AS cnt, avg(value) OVER w AS mean,
+           min(value) OVER w AS min, max(value) OVER w AS max, round(ln(1 + stddev_pop(value) OVER w), 2) AS stddev
+    FROM (SELECT * REPLACE (value + CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN 1e12::DOUBLE ELSE 0 END AS value)
+          FROM m WHERE metric LIKE '%.k')
+    WINDOW w AS (PARTITION BY resource, metric ORDER BY ts
+                 RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
+
+
+@query("trailing_range_step", with_sql(STEP_SQL))
+def trailing_range_step(spark, sf_dir):
+    later = F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    rows = metrics(spark, sf_dir).drop("name").where(F.col("metric").endswith(".k"))
+    rows = rows.withColumn("value", F.col("value") + F.when(later, 1e12).otherwise(0.0))
+    found = windows.trailing_stats(rows, "6 hours").drop("value")
+    return found.withColumn("stddev", F.round(F.log(1 + F.col("stddev")), 2))
+
+
 @query(
-    "trailing_range",
+    "trailing_range_join",
     with_sql(
         """
-    SELECT DISTINCT resource, metric, ts, count(value) OVER w AS cnt, round(avg(value) OVER w, 6) AS mean,
-           min(value) OVER w AS min, max(value) OVER w AS max, round(stddev_pop(value) OVER w, 6) AS stddev
-    FROM m WINDOW w AS (PARTITION BY resource, metric ORDER BY ts
-                        RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
+    SELECT a.seq, a.resource, a.metric, a.cnt, b.seq AS other
+    FROM (SELECT seq, resource, metric, ts, count(value) OVER (PARTITION BY resource, metric ORDER BY ts
+            RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS cnt FROM m) a
+    JOIN (SELECT ts, seq FROM m WHERE metric = 'click.value') b ON a.ts = b.ts"""
     ),
 )
-def trailing_range(spark, sf_dir):
-    found = windows.trailing_stats(metrics(spark, sf_dir), "6 hours")
-    return rounded(found, "mean", "stddev")
+def trailing_range_join(spark, sf_dir):
+    rows = metrics(spark, sf_dir).drop("name")
+    others = rows.where("metric = 'click.value'").select("ts", F.col("seq").alias("other"))
+    found = windows.trailing_stats(rows, "6 hours").join(others, "ts")
+    return found.select("seq", "resource", "metric", "cnt", "other")
 
 
 # Continuous alarms and composed rules

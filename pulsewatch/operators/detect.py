@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from pulsewatch.functions.encode import metric_rule_payload
 from pulsewatch.functions.predicates import compare, log_condition, summary_value
-from pulsewatch.functions.times import ordinal
-from pulsewatch.operators.sizing import fits_broadcast, keyed_join, salted_sides
+from pulsewatch.operators.rulebook import newest_rows
+from pulsewatch.operators.sizing import fits_broadcast, keyed_join, salted_join, salted_sides
+from pulsewatch.session import cut_lineage
 
 KEYS = ("resource", "metric")
+LISTED_RULES = 100_000
 
 
 def _rule_columns(rules, keys, *more):
@@ -55,9 +57,10 @@ def both_rule_sets(static, dynamic, keys=KEYS):
 
 
 def last_rule_per_key(rules, keys=KEYS):
-    """One rule per key: the one written last."""
-    latest = F.max_by(F.struct("rule_id", "op", "threshold"), ordinal("updated_at", "seq"))
-    return rules.groupBy(*keys).agg(latest.alias("r")).select(*keys, "r.*")
+    """One rule per key: the one written last (of equal ones the largest)."""
+    return newest_rows(rules.select(*keys, "rule_id", "op", "threshold", "updated_at", "seq"), keys, ["updated_at", "seq"]).select(
+        *keys, "rule_id", "op", "threshold"
+    )
 
 
 def has_rule(metrics, rules, keys=KEYS):
@@ -83,62 +86,65 @@ def any_rule_matches(metrics, rules, keys=KEYS, value="value"):
     return left.join(right, [*same, holds], "left_semi").drop("_salt")
 
 
-def first_match(metrics, rules, keys=KEYS, value="value", order="rule_order"):
+def first_match(metrics, rules, keys=KEYS, value="value", order="rule_order", spread=None):
     """Every metric row once, with the first rule that holds or `id = ''`, `chk = 0`.
 
-    With a measured-small rule table each key's rules travel as one ordered list, so
-    metric rows neither multiply nor shuffle.
+    Equal rows stay as many as they are. With a measured-small rule table each key's rules
+    travel as one ordered list, so metric rows neither multiply nor shuffle. Past the bound
+    (or with `spread`) rows are numbered and stored, matched by a salted join, and the first
+    match is joined back by row number, so no key's rules are gathered.
     """
-    if fits_broadcast(rules):
-        listed = _rules_per_key(_rule_columns(rules, keys, order), keys, order)
-        joined = metrics.join(F.broadcast(listed), list(keys), "left")
-        held = F.filter("_rules", lambda r: compare(F.col(value), r["op"], r["threshold"]))
-        rule_id = F.get(held, F.lit(0))["rule_id"]
-        kept = joined.withColumn("id", F.coalesce(rule_id, F.lit(""))).drop("_rules")
+    keys = list(keys)
+    at = F.struct(F.col(order).alias("at"), "rule_id")
+    named = rules.select(*keys, at.alias("_at"), F.col("op").alias("_op"), F.col("threshold").alias("_threshold"))
+    if not spread and (spread is False or fits_broadcast(rules)):
+        listed = F.sort_array(F.collect_list(F.struct("_at", "_op", "_threshold")))
+        joined = metrics.join(F.broadcast(named.groupBy(*keys).agg(listed.alias("_rules"))), keys, "left")
+        held = F.filter("_rules", lambda r: compare(F.col(value), r["_op"], r["_threshold"]))
+        kept = joined.withColumn("_first", F.get(held, F.lit(0))["_at"]).drop("_rules")
     else:
-        matched = keyed_join(metrics, _rule_columns(rules, keys, order), keys, "left")
-        holds = compare(F.col(value), F.col("op"), F.col("threshold"))
-        candidate = F.when(holds, F.struct(order, "rule_id"))
-        kept = (
-            matched.groupBy(*metrics.columns)
-            .agg(F.min(candidate).alias("_first"))
-            .withColumn("id", F.coalesce("_first.rule_id", F.lit("")))
-            .drop("_first")
-        )
-    return kept.withColumn("chk", (F.col("id") != "").cast("int"))
-
-
-def detect_logs(logs, rules, rules_per_pass=500):
+        numbered = cut_lineage(metrics.withColumn("_row", F.monotonically_increasing_id()))
+        slim = numbered.select("_row", *keys, F.col(value).alias("_value"))
+        matched = salted_join(slim, named, keys)
+        holds = compare(F.col("_value"), F.col("_op"), F.col("_threshold"))
+        first = matched.where(holds).groupBy("_row").agg(F.min("_at").alias("_first"))
+        kept = numbered.join(first, "_row", "left").drop("_row")
+    found = kept.select(*metrics.columns, F.coalesce("_first.rule_id", F.lit("")).alias("id"))
+    return found.withColumn("chk", (F.col("id") != "").cast("int"))
+
+
+def detect_logs(logs, rules, spread=None, listed_rules=LISTED_RULES):
     """Log rows with each log rule they meet.
 
-    Rules of a resource travel as one list to the rows of that resource. Rules that name
-    no resource look at all rows and are carried as literals, `rules_per_pass` of them
-    for one pass over the log. Lines are tested in place and only hits are emitted.
+    Rules travel in lists, those of a resource to its lines, those that name none beside
+    every line; lines are tested in place and only hits are emitted. A measured-small rule
+    table takes one scan. Past the bound (or with `spread`) lists hold about `listed_rules`
+    rules: a resource's lists are joined to its lines by a salted join, and each list
+    without a resource, which every line has to be tested against, is broadcast to a scan
+    of its own.
     """
-    own = (
-        rules.where("resource is not null")
-        .groupBy("resource")
-        .agg(F.collect_list(F.struct("rule_id", "op", "keyword")).alias("_own"))
-    )
-    listed = rules.where("resource is null").select("rule_id", "op", "keyword").collect()
-    passes = [listed[i : i + rules_per_pass] for i in range(0, len(listed), rules_per_pass)] or [[]]
+    small = not spread and (spread is False or fits_broadcast(rules))
+    lists = 1 if small else max(1, -(-rules.count() // listed_rules))
+    number = F.pmod(F.xxhash64("rule_id", "op", "keyword"), F.lit(lists)).alias("_list")
+    tests = F.collect_list(F.struct("rule_id", "op", "keyword"))
+    own = rules.where("resource is not null").groupBy("resource", number).agg(tests.alias("_own")).drop("_list")
+    free = rules.where("resource is null").withColumn("_list", number)
     none = F.array().cast("array<struct<rule_id:string,op:string,keyword:string>>")
 
-    def carried(chunk):
-        return F.array(
-            *[F.struct(*[F.lit(v).cast("string").alias(k) for k, v in r.asDict().items()]) for r in chunk]
-        ) if chunk else none
-
-    def hits(lines, tests):
-        met = F.filter(tests, lambda r: log_condition(F.col("log"), r["op"], r["keyword"]))
+    def hits(lines, tested):
+        met = F.filter(tested, lambda r: log_condition(F.col("log"), r["op"], r["keyword"]))
         found = lines.withColumn("_hit", F.explode(met))
         return found.select(F.col("_hit.rule_id").alias("rule_id"), *logs.columns)
 
-    joined = keyed_join(logs, own, ["resource"], "left", bounded_by=rules)
-    first = hits(joined, F.concat(F.coalesce("_own", none), carried(passes[0])))
-    return reduce(
-        lambda a, b: a.unionByName(b), [hits(logs, carried(chunk)) for chunk in passes[1:]], first
-    )
+    def beside(lines, n):
+        # An aggregate without keys is one row, so no line is copied.
+        return lines.join(F.broadcast(free.where(F.col("_list") == n).groupBy().agg(tests.alias("_free"))))
+
+    if small:
+        joined = beside(logs.join(F.broadcast(own), ["resource"], "left"), 0)
+        return hits(joined, F.concat(F.coalesce("_own", none), "_free"))
+    passes = [hits(beside(logs, n), F.col("_free")) for n in range(lists)]
+    return reduce(lambda a, b: a.unionByName(b), passes, hits(salted_join(logs, own, ["resource"]), F.col("_own")))
 
 
 def detect_rollups(rollups, rules, keys=KEYS):

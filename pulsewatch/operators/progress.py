@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsewatch.functions.times import ordinal
 from pulsewatch.operators.ordered import last_known, previous
+from pulsewatch.operators.rulebook import newest_rows
 from pulsewatch.operators.sizing import keyed_join
 
 
@@ -24,8 +25,8 @@ def changes_only(entries, limit=None):
 
 def last_offset(entries):
     """Newest recorded offset per query."""
-    position = ordinal("ts", "batch_id")
-    return entries.groupBy("query").agg(F.max_by("start_offset", position).alias("start_offset"))
+    slim = entries.select("query", "ts", "batch_id", "start_offset")
+    return newest_rows(slim, ["query"], ["ts", "batch_id"]).select("query", "start_offset")
 
 
 def offsets_as_of(entries, requests, limit=None):

@@ -9,16 +9,11 @@ from pulsewatch.session import cut_lineage
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
-SALTS = 256
+NULL_SALTS = 256
 
 
 def fits_broadcast(df, max_rows=None, max_bytes=None):
-    """Whether `df` is within both bounds; reads at most one row past the row bound.
-
-    A local relation, which lives in the query itself, needs no counting.
-    """
-    if max_rows is None and df.isLocal():
-        return BROADCAST_ROWS > 0
+    """Whether `df` is within both bounds; reads at most one row past the row bound."""
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     width = F.octet_length(F.to_json(F.struct("*")))
@@ -30,8 +25,8 @@ def keyed_join(big, small, keys, how="inner", derived=False, bounded_by=None):
     """Equi-join of a large frame with a usually small one, on equally named keys.
 
     `small` is broadcast when measured within bounds. Past them both sides shuffle,
-    and keys with more than HOT_ROWS rows in `big` are spread over SALTS tasks, the
-    matching `small` rows being copied to each. Set `derived` where `small` is the
+    and keys with more than HOT_ROWS rows in `big` are spread over tasks of about that many
+    rows, the matching `small` rows being copied to each. Set `derived` where `small` is the
     outcome of real work, so that it is computed once and not again for the join.
     `bounded_by` names a frame `small` was projected or reduced from, to be measured in
     its place.
@@ -53,28 +48,21 @@ def salted_join(big, small, keys, how="inner", hot_rows=None, salts=None):
 def salted_sides(big, small, keys, hot_rows=None, salts=None):
     """Both sides with a `_salt` column to join on next to the keys.
 
-    Rows of hot keys in `big` get one of `salts` values and `small` is copied to each
-    of them; other keys keep a single salt. Rows with a null key, which match nothing,
-    are spread as well.
+    Rows of hot keys in `big` are spread over as many salts as they fill tasks of `hot_rows`
+    (or `salts`, where given), and `small` is copied to each of them; other keys keep a
+    single salt. Rows with a null key, which match nothing, are spread as well.
     """
     keys = list(keys)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    salts = SALTS if salts is None else salts
+    many = F.lit(salts) if salts else F.ceil(F.col("count") / hot_rows)
     # At most rows(big) / hot_rows keys can be hot, which bounds this broadcast.
-    hot = (
-        big.groupBy(*keys)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    hot = big.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, many.cast("int").alias("_many"))
     plain = [f.name for f in big.schema if f.dataType.typeName() not in ("map", "variant")]
-    spread = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = F.when(no_key, F.lit(NULL_SALTS)).otherwise(F.coalesce("_many", F.lit(1)))
     left = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, spread).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        "_salt", F.pmod(F.xxhash64(*plain), spread).cast("int")
     )
+    copies = F.sequence(F.lit(0), F.coalesce("_many", F.lit(1)) - 1)
     right = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_hot"), right.drop("_hot")
+    return left.drop("_many"), right.drop("_many")

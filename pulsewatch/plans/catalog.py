@@ -356,29 +356,43 @@ ORDERED_RULES = [
 ]
 
 
-@query(
-    "first_match",
-    with_sql(
-        f"""
-    SELECT seq, resource, metric, value,
-           coalesce(arg_min(rule_id, rule_order), '') AS id,
-           CAST(count(rule_id) > 0 AS INTEGER) AS chk
-    FROM (SELECT m.seq, m.resource, m.metric, m.value, o.rule_id, o.rule_order
-          FROM m LEFT JOIN o ON m.resource = o.resource AND m.metric = o.metric
-               AND {holds_sql('m.value', 'o.op', 'o.threshold')})
-    GROUP BY seq, resource, metric, value""",
-        o=values_sql(
-            [{**r, "rule_order": i} for i, r in enumerate(ORDERED_RULES)],
-            {**THRESHOLD_COLUMNS, "rule_order": "BIGINT"},
-        ),
-    ),
+FIRST_SQL = f"""
+    SELECT seq, resource, metric, value, id, CAST(id <> '' AS INTEGER) AS chk FROM (
+      SELECT m.seq, m.resource, m.metric, m.value, coalesce(
+        (SELECT arg_min(o.rule_id, o.rule_order) FROM o WHERE m.resource = o.resource AND m.metric = o.metric
+               AND {holds_sql('m.value', 'o.op', 'o.threshold')}), '') AS id
+      FROM {{rows}} m)"""
+ORDERED_SQL = values_sql(
+    [{**r, "rule_order": i} for i, r in enumerate(ORDERED_RULES)], {**THRESHOLD_COLUMNS, "rule_order": "BIGINT"}
 )
-def first_match(spark, sf_dir):
+TWICE_SQL = "(SELECT * FROM m UNION ALL SELECT * FROM m WHERE seq % 3 = 0)"
+
+
+def first_matches(spark, rows, **options):
     rules = rule_rows(spark, [{**r, "seq": i} for i, r in enumerate(ORDERED_RULES)])
-    found = detect.first_match(metrics(spark, sf_dir), rules.withColumnRenamed("seq", "rule_order"))
+    found = detect.first_match(rows, rules, order="seq", **options)
     return found.select("seq", "resource", "metric", "value", "id", "chk")
 
 
+@query("first_match", with_sql(FIRST_SQL.format(rows="m"), o=ORDERED_SQL))
+def first_match(spark, sf_dir):
+    return first_matches(spark, metrics(spark, sf_dir))
+
+
+@query("first_match_repeated", with_sql(FIRST_SQL.format(rows=TWICE_SQL), o=ORDERED_SQL))
+def first_match_repeated(spark, sf_dir):
+    """A third of the rows come twice and stay two."""
+    rows = metrics(spark, sf_dir)
+    return first_matches(spark, rows.unionAll(rows.where("seq % 3 = 0")))
+
+
+@query("first_match_spread", with_sql(FIRST_SQL.format(rows=TWICE_SQL), o=ORDERED_SQL))
+def first_match_spread(spark, sf_dir):
+    """The same with rules too many to broadcast."""
+    rows = metrics(spark, sf_dir)
+    return first_matches(spark, rows.unionAll(rows.where("seq % 3 = 0")), spread=True)
+
+
 LOG_RULES = [
     {"rule_id": "l1", "resource": None, "op": "like", "keyword": "error"},
     {"rule_id": "l2", "resource": "en", "op": "like", "keyword": "the "},

@@ -49,7 +49,6 @@ def plan(request, monkeypatch):
     if request.param == "salted":
         monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(sizing, "HOT_ROWS", 1)
-        monkeypatch.setattr(sizing, "SALTS", 3)
 
 
 def test_each_rule_is_judged_on_its_own(metrics, rules, plan):
@@ -164,7 +163,7 @@ def test_log_rules_in_several_passes(make, spark):
     )
     expected = [("l1", 1), ("l1", 3), ("l2", 1), ("l3", 2)]
     assert rows(detect.detect_logs(logs, rules), "rule_id", "seq") == expected
-    assert rows(detect.detect_logs(logs, rules, rules_per_pass=1), "rule_id", "seq") == expected
+    assert rows(detect.detect_logs(logs, rules, spread=True, listed_rules=1), "rule_id", "seq") == expected
     assert detect.detect_logs(logs, rules_frame(spark, [])).count() == 0
 
 

@@ -28,6 +28,8 @@ class Words:
     k: int = WINDOW
     m: int = MINIMISER
     hot_segments: int = HOT_SEGMENTS
+    texts: bool = False
+    fingerprints_first: bool = False
 
     def tokens(self, texts):
         split = [t.split() for t in texts]
@@ -89,8 +91,6 @@ class Words:
             words = [w for w, gone in zip(words, mask.tolist()) if not gone]
         return len(mask), removed, sha256(b" ".join(words)), b" ".join(words).decode() if self.texts else None
 
-    texts: bool = False
-
 
 def spans(numbers):
     """Sorted numbers as half-open runs."""

@@ -19,7 +19,7 @@ from pulsewatch.llm.superkmers import HOT_SEGMENTS, repeated
 LENGTH = 200
 MINIMISER = 24
 SHARDS = 4
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 60_000
 
 
 class Shifted:
@@ -49,39 +49,50 @@ def rotations(x, sigma):
     for i in range(depth):
         key = key * np.uint64(sigma) + np.roll(x, -i).astype(np.uint64)
     while True:
-        order = np.argsort(key, kind="stable")
-        new = np.r_[False, key[order][1:] != key[order][:-1]]
+        order = np.argsort(key)
+        ordered = key[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]]).astype(np.uint64)
         if depth >= n or int(rank[order[-1]]) == n - 1:
             return order
         key = rank * np.uint64(n) + np.roll(rank, -depth)
         depth *= 2
 
 
+def stable_order(codes, most):
+    """Stable order of small numbers, by halves of 16 bits."""
+    if most < 1 << 16:
+        return np.argsort(codes.astype(np.uint16), kind="stable")
+    low = np.argsort(codes.astype(np.uint16), kind="stable")
+    return low[np.argsort((codes >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 def merged_order(shards, sigma, depth):
     """Positions in the shards, laid end to end, in the order of their rotations' first `depth` symbols.
 
-    Every rotation's Burrows-Wheeler symbol is extended to the few symbols before it, as
-    many as 16 bits hold. A round sorts the interleaved symbols stably, which moves the
-    known order to the rotations that start those symbols earlier; the interleave is final
-    when a round leaves it alone or the depth is reached. Only shard numbers move; inside
-    a shard the order stays as its own sort made it.
+    A shard's Burrows-Wheeler symbols are widened to the `step` symbols before a rotation,
+    as many as 62 bits hold, numbered in their order over all shards. A round sorts the
+    interleaved symbols stably: the order known of rotations becomes that of the rotations
+    `step` earlier, sorted `step` deeper. Only shard numbers move, as inside a shard the
+    order stays as its own sort made it. The interleave is final when a round leaves it
+    alone or the depth is reached.
     """
-    step = max(1, int(16 / np.log2(sigma)))
+    step = max(1, int(62 / np.log2(sigma)))
     orders = [rotations(x, sigma) for x in shards]
-    symbols = []
+    codes = []
     for x, order in zip(shards, orders):
-        code = np.zeros(len(x), np.int64)
+        code = np.zeros(len(x), np.uint64)
         for i in range(step, 0, -1):
-            code = code * sigma + np.roll(x, i)
-        symbols.append(code[order].astype(np.uint16))
+            code = code * np.uint64(sigma) + np.roll(x, i).astype(np.uint64)
+        codes.append(code[order])
+    known, symbols = np.unique(np.concatenate(codes), return_inverse=True)
+    symbols = np.split(symbols.astype(np.uint32), np.cumsum([len(x) for x in shards])[:-1])
     weave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(x) for x in shards])
-    before = np.empty(len(weave), np.uint16)
+    before = np.empty(len(weave), np.uint32)
     for _ in range(-(-depth // step)):
         for s, own in enumerate(symbols):
             before[weave == s] = own
-        after = weave[np.argsort(before, kind="stable")]
+        after = weave[stable_order(before, len(known))]
         if np.array_equal(after, weave):
             break
         weave = after
@@ -144,6 +155,7 @@ class Bytes:
     m: int = MINIMISER
     hot_segments: int = HOT_SEGMENTS
     texts: bool = False
+    fingerprints_first: bool = True
 
     def tokens(self, texts):
         data = b"".join(texts)

@@ -5,6 +5,10 @@ become one segment (a super-k-mer), equal segments are merged, and each travels
 a packed string to the bucket of its minimiser. A bucket decides which windows occur more
 than once and answers block by block; a block finds its segments again and marks them.
 
+With `fingerprints_first` segments announce themselves by 128 bits: the minimiser's hash
+and one of their content. A segment alone under its minimiser is no repeat, and one that
+came several times, alone, is repeated throughout; the strings of the others follow.
+
 Equal windows have equal minimisers, so they meet in one bucket. A minimiser with more
 than `HOT_SEGMENTS` segments is hot: its windows are keyed one by one by their whole
 content instead, which spreads different contexts of a common phrase over all buckets,
@@ -15,6 +19,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -24,6 +29,7 @@ HOT_SEGMENTS = 1_000
 MOST_HOT = 1_000_000
 CHUNK = 1 << 20
 PIECE_BYTES = 2 * 1024 * 1024
+REPEATED, SHARED = 1, 2
 POSITION = np.uint64((1 << 24) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -108,19 +114,35 @@ class Block:
         self.count = np.bincount(self.number, minlength=len(seen)) if seen else np.zeros(0, np.int64)
         self.key = np.zeros(len(seen), np.uint64)
         self.key[self.number] = key
+        self.windows = np.zeros(len(seen), np.int64)
+        self.windows[self.number] = self.size
 
-    def packed(self, buckets):
-        """(bucket, blob) for each bucket that gets any of the segments."""
+    def by_bucket(self, buckets, some=None):
+        """(bucket, numbers of its segments); `some` limits the segments."""
         bucket = (self.key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        if some is not None:
+            order = order[some[order]]
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        return [(int(bucket[part[0]]), part) for part in np.split(order, cuts)] if len(order) else []
+
+    def announced(self, buckets):
+        """(bucket, blob) of keys, content hashes and counts."""
         squeeze = zstandard.ZstdCompressor(level=1)
-        for part in np.split(order, cuts) if len(order) else []:
+        for bucket, part in self.by_bucket(buckets):
+            content = np.fromiter((xxhash.xxh3_64_intdigest(self.contents[i]) for i in part.tolist()), np.uint64, len(part))
+            many = (self.count[part] > 1).astype(np.uint8)
+            yield bucket, squeeze.compress(self.key[part].tobytes() + content.tobytes() + many.tobytes())
+
+    def packed(self, buckets, some=None):
+        """(bucket, blob) for each bucket that gets any of the segments."""
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for bucket, part in self.by_bucket(buckets, some):
             strings = [self.contents[i] for i in part.tolist()]
             lengths = np.fromiter(map(len, strings), np.uint32, len(strings))
             head = struct.pack("<I", len(part)) + part.astype(np.uint32).tobytes() + self.key[part].tobytes()
             head += np.minimum(self.count[part], 2).astype(np.uint8).tobytes() + lengths.tobytes()
-            yield int(bucket[part[0]]), squeeze.compress(head + b"".join(strings))
+            yield bucket, squeeze.compress(head + b"".join(strings))
 
     def covered(self, verdicts, k):
         """Which tokens a repeated window covers; verdicts: rows (number, from, to)."""
@@ -136,6 +158,12 @@ class Block:
         return np.cumsum(change[:-1]) > 0
 
 
+def sorted_out(blob):
+    """(places, verdicts) of the segments a bucket has something to say about."""
+    n = len(blob) // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.int64), np.frombuffer(blob, np.uint8, n, 4 * n)
+
+
 def unpacked(blob):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<I", raw)
@@ -186,9 +214,8 @@ def repeated(docs, scheme, schema, id_col="doc_id", text_col="text"):
     hot = spark.sparkContext.broadcast(hot_minimisers(rows, scheme))
     dealt = in_blocks(rows, blocks)
 
-    def send(table):
-        block = table.column("block")[0].as_py()
-        made = list(Block(block_rows(table)[1], scheme, hot.value).packed(blocks))
+    def letters(block, made):
+        made = list(made)
         return pa.table(
             {
                 "block": pa.array([block] * len(made), pa.int32()),
@@ -197,6 +224,52 @@ def repeated(docs, scheme, schema, id_col="doc_id", text_col="text"):
             }
         )
 
+    def send(table):
+        block = Block(block_rows(table)[1], scheme, hot.value)
+        return letters(table.column("block")[0].as_py(), block.announced(blocks) if scheme.fingerprints_first else block.packed(blocks))
+
+    def send_shared(texts, verdicts):
+        """The strings of segments that share their minimiser with other ones."""
+        if not texts.num_rows:
+            return letters(0, [])
+        block = Block(block_rows(texts)[1], scheme, hot.value)
+        shared = np.zeros(len(block.contents), bool)
+        own = dict(block.by_bucket(blocks))
+        for bucket, blob in zip(verdicts.column("bucket").to_pylist(), verdicts.column("packed").to_pylist()):
+            place, kind = sorted_out(blob)
+            shared[own[bucket][place[kind == SHARED]]] = True
+        return letters(texts.column("block")[0].as_py(), block.packed(blocks, shared))
+
+    def compare(table):
+        """Which announced segments are repeated throughout, and which share a minimiser."""
+        squeeze = zstandard.ZstdDecompressor()
+        raw = [squeeze.decompress(x) for x in table.column("packed").to_pylist()]
+        sizes = np.array([len(x) // 17 for x in raw])
+        key = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(raw, sizes)])
+        content = np.concatenate([np.frombuffer(x, np.uint64, n, 8 * n) for x, n in zip(raw, sizes)])
+        many = np.concatenate([np.frombuffer(x, np.uint8, n, 16 * n) for x, n in zip(raw, sizes)])
+        order = np.lexsort((content, key))
+        new_key = np.r_[True, np.diff(key[order]) != 0]
+        new = new_key | np.r_[True, np.diff(content[order]) != 0]
+        group, kind_of = np.cumsum(new_key) - 1, np.cumsum(new) - 1
+        total = np.bincount(kind_of, 1 + many[order])[kind_of]
+        kinds = np.bincount(group, new)[group]
+        verdict = np.zeros(len(key), np.uint8)
+        verdict[order] = np.where(kinds > 1, SHARED, np.where(total > 1, REPEATED, 0))
+        made = []
+        bucket = table.column("bucket")[0].as_py()
+        for block, part in zip(table.column("block").to_pylist(), np.split(verdict, np.cumsum(sizes)[:-1])):
+            place = np.flatnonzero(part)
+            if len(place):
+                made.append((block, place.astype(np.uint32).tobytes() + part[place].tobytes()))
+        return pa.table(
+            {
+                "block": pa.array([b for b, _ in made], pa.int32()),
+                "bucket": pa.array([bucket] * len(made), pa.int32()),
+                "packed": pa.array([p for _, p in made], pa.binary()),
+            }
+        )
+
     def judge(table):
         answers = {}
         of, total, members, by_key = {}, [], [], {}
@@ -232,7 +305,8 @@ def repeated(docs, scheme, schema, id_col="doc_id", text_col="text"):
         return pa.table(
             {
                 "block": pa.array(list(answers), pa.int32()),
-                "found": pa.array([squeeze.compress(np.array(x, np.int64).tobytes()) for x in answers.values()], pa.binary()),
+                "bucket": pa.array([-1] * len(answers), pa.int32()),
+                "packed": pa.array([squeeze.compress(np.array(x, np.int64).tobytes()) for x in answers.values()], pa.binary()),
             }
         )
 
@@ -241,10 +315,16 @@ def repeated(docs, scheme, schema, id_col="doc_id", text_col="text"):
             return schema_table([])
         ids, whole = block_rows(texts)
         block = Block(whole, scheme, hot.value)
-        blobs = found.column("found").to_pylist()
-        raw = b"".join(zstandard.ZstdDecompressor().decompress(x) for x in blobs)
-        verdicts = np.frombuffer(raw, np.int64).reshape(-1, 3)
-        mask = block.covered(verdicts, scheme.k)
+        verdicts, own = [np.zeros((0, 3), np.int64)], None
+        for bucket, blob in zip(found.column("bucket").to_pylist(), found.column("packed").to_pylist()):
+            if bucket < 0:
+                verdicts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64).reshape(-1, 3))
+            else:
+                own = own or dict(block.by_bucket(blocks))
+                place, kind = sorted_out(blob)
+                number = own[bucket][place[kind == REPEATED]]
+                verdicts.append(np.stack([number, np.zeros_like(number), block.windows[number]], axis=1))
+        mask = block.covered(np.concatenate(verdicts), scheme.k)
         out, at = [], 0
         for i, text, length in zip(ids, whole, block.tokens.lengths):
             out.append((i, *scheme.result(text, mask[at : at + length])))
@@ -259,6 +339,12 @@ def repeated(docs, scheme, schema, id_col="doc_id", text_col="text"):
 
     names = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
     sql = ", ".join(f"{f.name} {names[f.type]}" for f in fields)
-    sent = dealt.groupBy("block").applyInArrow(send, "block int, bucket int, packed binary")
-    found = sent.groupBy("bucket").applyInArrow(judge, "block int, found binary")
+    letter = "block int, bucket int, packed binary"
+    sent = dealt.groupBy("block").applyInArrow(send, letter)
+    if scheme.fingerprints_first:
+        told = sent.groupBy("bucket").applyInArrow(compare, letter)
+        strings = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_shared, letter)
+        found = told.union(strings.groupBy("bucket").applyInArrow(judge, letter))
+    else:
+        found = sent.groupBy("bucket").applyInArrow(judge, letter)
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, sql)

@@ -13,11 +13,18 @@ ALARM_FIELDS = {
 }
 
 
+# JSON keeps milliseconds unless told otherwise, which would make alarms tie.
+TO_MICROS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def encode_alarm():
     """An alarm row as the JSON text of a message value."""
     columns = {f: F.col(c) for f, c in ALARM_FIELDS.items()}
     columns["occurTimestamp"] = columns["occurTimestamp"].cast("timestamp")
-    return F.to_json(F.struct(*[c.alias(f) for f, c in columns.items()]))
+    return F.to_json(F.struct(*[c.alias(f) for f, c in columns.items()]), TO_MICROS)
 
 
 def metric_rule_payload(metric_columns, rule_columns):
@@ -26,7 +33,8 @@ def metric_rule_payload(metric_columns, rule_columns):
         F.struct(
             F.struct(*[c.alias(n) for n, c in metric_columns.items()]).alias("metric"),
             F.struct(*[c.alias(n) for n, c in rule_columns.items()]).alias("rule"),
-        )
+        ),
+        TO_MICROS,
     )
 
 

@@ -1,10 +1,10 @@
 """Rules composed of other rules with AND and OR.
 
-A composed rule is a table of clauses in disjunctive form (`rule_id, clause_id,
-leaf_id`), so any number of rules is judged by two aggregates. Both connectives are
-strict: a rule with one missing leaf is missing, even `true OR missing`. That is not
-SQL's three-valued logic, but since every leaf must be there anyway, rewriting to
-disjunctive form changes nothing.
+A composed rule is a table with one row per leaf and the `path` of connectives from the
+leaf up to the whole rule. Rules are judged by one aggregate per level of the deepest one:
+leaves that share a path fold into the node above them. The table is as long as the rules
+have leaves. Both connectives are strict: a rule with one missing leaf is missing, even
+`true OR missing`, unlike SQL's three-valued logic.
 """
 
 from dataclasses import dataclass
@@ -21,7 +21,7 @@ from pulsewatch.operators.windows import sliding_sums
 from pulsewatch.sources.rules import small_frame
 
 KEYS = ("resource", "metric")
-CLAUSES = "rule_id string, clause_id long, leaf_id string"
+NODES = "rule_id string, leaf_id string, path array<struct<node:long,every:boolean>>"
 LEAVES = (
     "leaf_id string, resource string, metric string, op string, threshold double, value double, "
     "target_rule_id string, mark_count long, agg string, span long"
@@ -46,14 +46,9 @@ class Leaf(_Expression):
     def id(self):
         return self.name
 
-    def clauses(self):
-        return [(self.name,)]
-
 
 @dataclass(frozen=True)
-class All(_Expression):
-    """Both sides hold."""
-
+class _Pair(_Expression):
     left: _Expression
     right: _Expression
 
@@ -61,33 +56,39 @@ class All(_Expression):
     def id(self):
         return f"{self.left.id}:{self.right.id}"
 
-    def clauses(self):
-        return [a + b for a in self.left.clauses() for b in self.right.clauses()]
+    def sides(self):
+        """What this connective joins, chains of the same one taken together."""
+        out, todo = [], [self]
+        while todo:
+            e = todo.pop()
+            if type(e) is type(self):
+                todo += [e.right, e.left]
+            else:
+                out.append(e)
+        return out
 
 
-@dataclass(frozen=True)
-class Any(_Expression):
-    """Either side holds."""
-
-    left: _Expression
-    right: _Expression
+class All(_Pair):
+    """Both sides hold."""
 
-    @property
-    def id(self):
-        return f"{self.left.id}:{self.right.id}"
 
-    def clauses(self):
-        return self.left.clauses() + self.right.clauses()
+class Any(_Pair):
+    """Either side holds."""
 
 
-def clause_rows(expression, rule_id=None):
-    """Rows of the clause table for one expression; its id is that of its leaves in order."""
+def node_rows(expression, rule_id=None):
+    """Rows of the node table for one expression; its id is that of its leaves in order."""
     name = expression.id if rule_id is None else rule_id
-    return [
-        (name, number, leaf)
-        for number, clause in enumerate(expression.clauses())
-        for leaf in dict.fromkeys(clause)
-    ]
+    out, todo, number = [], [(expression, [])], 0
+    while todo:
+        e, path = todo.pop()
+        if isinstance(e, Leaf):
+            out.append((name, e.name, path))
+        else:
+            above = [{"node": number, "every": isinstance(e, All)}, *path]
+            number += 1
+            todo += [(side, above) for side in reversed(e.sides())]
+    return out
 
 
 def leaf_frame(spark, leaves):
@@ -97,12 +98,18 @@ def leaf_frame(spark, leaves):
     return small_frame(spark, [[leaf.get(n) for n in names] for leaf in leaves], declared)
 
 
-def clause_frame(spark, *expressions):
-    """The clause table of composed rules, each an expression or an (id, expression) pair."""
-    rows = []
-    for e in expressions:
-        rows += clause_rows(e[1], e[0]) if isinstance(e, tuple) else clause_rows(e)
-    return small_frame(spark, rows, T.StructType.fromDDL(CLAUSES))
+def node_frame(spark, *expressions):
+    """The node table of composed rules, each an expression or an (id, expression) pair.
+
+    `a & b` and `a | b` have the same id; rules with one id are refused, not merged.
+    """
+    named = [e if isinstance(e, tuple) else (e.id, e) for e in expressions]
+    ids = [name for name, _ in named]
+    twice = sorted({i for i in ids if ids.count(i) > 1})
+    if twice:
+        raise ValueError(f"several composed rules are called {twice}: give them ids of their own")
+    rows = [row for name, e in named for row in node_rows(e, name)]
+    return small_frame(spark, rows, T.StructType.fromDDL(NODES))
 
 
 def value_leaves(leaves, metrics):
@@ -181,28 +188,37 @@ def alarm_value_leaves(leaves, alarms):
     return leaves.join(state, "target_rule_id", "left").select("leaf_id", judged.alias("result"))
 
 
-def evaluate(clauses, results, at=()):
+def evaluate(nodes, results, at=()):
     """Verdict per composed rule: true, false, or NULL when any of its leaves is missing.
 
     With `at`, leaf results carry these further columns and a verdict is given wherever
     a rule has at least one leaf result.
     """
     at = list(at)
-    sizes = clauses.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_leaves"))
-    judged = keyed_join(results, clauses.join(sizes, "rule_id"), ["leaf_id"], bounded_by=clauses)
-    per_clause = judged.groupBy(*at, "rule_id", "clause_id").agg(
-        F.bool_and("result").alias("_holds"),
-        F.count("result").alias("_known"),
-        F.first("_leaves").alias("_leaves"),
-    )
-    complete = F.sum("_known") == F.first("_leaves")
-    verdicts = per_clause.groupBy(*at, "rule_id").agg(
-        F.when(complete, F.bool_or("_holds")).alias("result")
+    sizes = nodes.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_leaves"), F.max(F.size("path")).alias("_depth"))
+    depth = sizes.agg(F.max("_depth")).first()[0] or 0
+    found = keyed_join(results, nodes, ["leaf_id"], bounded_by=nodes)
+    found = found.select(*at, "rule_id", "path", "result", F.col("result").isNotNull().cast("long").alias("_known"))
+    for level in range(depth, 0, -1):
+        here = F.size("path") == level
+        folded = found.where(here).groupBy(*at, "rule_id", "path").agg(
+            F.bool_and("result").alias("_all"), F.bool_or("result").alias("_any"), F.sum("_known").alias("_known")
+        )
+        folded = folded.select(
+            *at,
+            "rule_id",
+            F.slice("path", 2, depth).alias("path"),
+            F.when(F.col("path")[0]["every"], F.col("_all")).otherwise(F.col("_any")).alias("result"),
+            "_known",
+        )
+        found = found.where(~here).unionByName(folded)
+    verdicts = found.join(sizes, "rule_id").select(
+        *at, "rule_id", F.when(F.col("_known") == F.col("_leaves"), F.col("result")).alias("result")
     )
     return verdicts if at else sizes.select("rule_id").join(verdicts, "rule_id", "left")
 
 
-def composed_windows(metrics, leaves, clauses, size, step, mark_count=1):
+def composed_windows(metrics, leaves, nodes, size, step, mark_count=1):
     """Windows in which a composed rule held in at least `mark_count` of their steps.
 
     In each step the rule is judged on the last value every leaf's metric had in it.
@@ -218,7 +234,7 @@ def composed_windows(metrics, leaves, clauses, size, step, mark_count=1):
     judged = keyed_join(last, named, KEYS, bounded_by=leaves).select(
         "step", "leaf_id", compare_or_null(F.col("_seen"), F.col("op"), F.col("threshold")).alias("result")
     )
-    held = evaluate(clauses, judged, ["step"]).where("result")
+    held = evaluate(nodes, judged, ["step"]).where("result")
     counted = sliding_sums(held, size, step, ["rule_id"], ts="step")
     return counted.where(F.col("cnt") >= mark_count)
 

@@ -8,26 +8,24 @@ from pulsewatch.operators.ordered import streaks
 from pulsewatch.operators.sizing import keyed_join
 
 
-def streak_rows(detections, ts="ts", seq="seq", limit=None):
-    """Detections with the length of the run of detections each one ends."""
-    return streaks(detections, ["rule_id"], [ts, seq], "detect", limit)
+#: A full order: rows of one message share time and sequence, and differ in metric or value.
+ORDER = ("occur_timestamp", "seq", "metric", "value")
 
 
-def continuous_alarms(detections, rules, ts="ts", seq="seq", limit=None):
-    """An alarm for every detection whose run has reached a continuous rule's mark.
+def streak_rows(detections, order, limit=None):
+    """Detections with the length of the run of detections each one ends.
 
-    Runs follow (time, sequence) per target rule and are counted once, however many
-    continuous rules watch that target. An alarm keeps firing until a row that does
-    not detect resets the run. The result has the columns of a detection, so it can be
-    watched by further continuous rules.
+    Of rows equal in `order` those that do not detect come first.
     """
-    targets = rules.select(F.col("target_rule_id").alias("rule_id")).distinct()
-    verdicts = detections.select("rule_id", ts, seq, "detect")
-    watched = keyed_join(verdicts, targets, ["rule_id"], "left_semi", bounded_by=rules)
-    counted = streak_rows(watched, ts, seq, limit).withColumnRenamed("rule_id", "target_rule_id")
+    held = F.coalesce("detect", F.lit(False)).cast("int").alias("_held")
+    ranked = detections.select("*", held)
+    return streaks(ranked, ["rule_id"], [*order, "_held"], "detect", limit).drop("_held")
+
+
+def continuous_form(counted, rules):
+    """Alarms of counted rows (`target_rule_id`, order, `streak`) that reach a rule's mark."""
     named = rules.select("rule_id", "target_rule_id", "mark_count")
     paired = keyed_join(counted, named, ["target_rule_id"], bounded_by=rules)
-    fired = paired.where(F.col("streak") >= F.col("mark_count"))
     payload = rule_payload(
         {
             "ruleId": F.col("rule_id"),
@@ -35,18 +33,34 @@ def continuous_alarms(detections, rules, ts="ts", seq="seq", limit=None):
             "markCount": F.col("mark_count"),
         }
     )
-    return fired.select(
+    return paired.where(F.col("streak") >= F.col("mark_count")).select(
         F.lit("continuous").alias("alarm_type"),
         "rule_id",
         "target_rule_id",
         F.lit(True).alias("detect"),
-        F.col("streak").alias("occur_count"),
-        F.col(ts).alias("occur_timestamp"),
-        F.col(seq).alias("seq"),
+        F.col("streak").cast("long").alias("occur_count"),
+        *ORDER,
         payload.alias("payload"),
     )
 
 
+def continuous_alarms(detections, rules, ts="ts", seq="seq", limit=None):
+    """An alarm for every detection whose run has reached a continuous rule's mark.
+
+    Runs follow (time, sequence, metric, value) per target rule and are counted once,
+    however many continuous rules watch that target. An alarm keeps firing until a row that
+    does not detect resets the run. The result has the columns of a detection, so it can be
+    watched by further continuous rules.
+    """
+    targets = rules.select(F.col("target_rule_id").alias("rule_id")).distinct()
+    missing = {"metric": "string", "value": "double"}
+    full = detections.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in detections.columns})
+    verdicts = full.select("rule_id", "detect", F.col(ts).alias("occur_timestamp"), F.col(seq).alias("seq"), *ORDER[2:])
+    watched = keyed_join(verdicts, targets, ["rule_id"], "left_semi", bounded_by=rules)
+    counted = streak_rows(watched, ORDER, limit).withColumnRenamed("rule_id", "target_rule_id")
+    return continuous_form(counted, rules)
+
+
 def current_streaks(detections, ts="ts", seq="seq"):
     """Length of the run each rule is in now.
 

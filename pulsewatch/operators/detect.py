@@ -35,7 +35,10 @@ def check(metrics, rules, keys=KEYS, value="value"):
 
 
 def simple_alarms(detections):
-    """Detections in alarm form, with the metric row and its rule as JSON payload."""
+    """Detections in alarm form, with the metric row and its rule as JSON payload.
+
+    `metric` and `value` complete the order of rows that share time and sequence.
+    """
     payload = metric_rule_payload(
         {c: F.col(c) for c in ("ts", "resource", "metric", "value")},
         {"ruleId": F.col("rule_id"), "op": F.col("op"), "value": F.col("threshold")},
@@ -47,6 +50,8 @@ def simple_alarms(detections):
         F.col("detect").cast("int").alias("occur_count"),
         F.col("ts").alias("occur_timestamp"),
         "seq",
+        "metric",
+        "value",
         payload.alias("payload"),
     )
 

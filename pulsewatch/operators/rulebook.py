@@ -32,5 +32,10 @@ def current_rules(changes, columns=("resource", "metric", "op", "threshold")):
 
 
 def rules_of_kind(rules, *kinds):
-    """Rules of the given kinds."""
-    return rules.where(F.col("kind").isin(*kinds))
+    """Rules of the given kinds. Without a kind, a rule that watches another one is continuous
+    and any other a threshold rule."""
+    watches = F.col("target_rule_id").isNotNull() if "target_rule_id" in rules.columns else F.lit(False)
+    kind = F.when(watches, "continuous").otherwise("threshold")
+    if "kind" in rules.columns:
+        kind = F.coalesce("kind", kind)
+    return rules.where(kind.isin(*kinds))

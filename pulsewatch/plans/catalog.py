@@ -1,5 +1,7 @@
 """Registered queries: one per operator, over whole tables, most with reference SQL."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pulsewatch.functions.averages import user_avg
@@ -20,6 +22,7 @@ from pulsewatch.plans.tables import (
     values_sql,
 )
 from pulsewatch.session import cut_lineage, run_dir
+from pulsewatch.sources.rules import load_rules
 from pulsewatch.sources.tables import batch_stream, read_batches
 from pulsewatch.streaming import live, streaks
 
@@ -91,9 +94,9 @@ def rollup_sql(size):
 
 STREAK_SQL = """
   SELECT *, CASE WHEN detect THEN sum(CASE WHEN detect THEN 1 ELSE 0 END) OVER (
-              PARTITION BY rule_id, grp ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak
+              PARTITION BY rule_id, grp ORDER BY ts, seq, metric, value NULLS FIRST ROWS UNBOUNDED PRECEDING) ELSE 0 END AS streak
   FROM (SELECT *, sum(CASE WHEN detect THEN 0 ELSE 1 END) OVER (
-              PARTITION BY rule_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS grp FROM d)"""
+              PARTITION BY rule_id ORDER BY ts, seq, metric, value NULLS FIRST ROWS UNBOUNDED PRECEDING) AS grp FROM d)"""
 
 
 def with_sql(body, **ctes):
@@ -189,7 +192,7 @@ def rejected_messages(spark, sf_dir):
     with_sql(
         """
     SELECT 'simple' AS alarm_type, rule_id, detect, CAST(detect AS INTEGER) AS occur_count,
-           date_trunc('milliseconds', ts) AS occur_timestamp, seq, value AS metric_value,
+           ts AS occur_timestamp, seq, value AS metric_value,
            rule_id AS payload_rule, threshold AS payload_threshold
     FROM d""",
         d=DETECT_SQL,
@@ -793,21 +796,17 @@ def trailing_range_join(spark, sf_dir):
 # Continuous alarms and composed rules
 
 
-@query(
-    "continuous_alarm",
-    with_sql(
-        """
+CONTINUOUS_ALARM_SQL = """
     SELECT 'continuous' AS alarm_type, c.rule_id, c.target_rule_id, true AS detect,
-           CAST(s.streak AS BIGINT) AS occur_count, s.ts AS occur_timestamp, s.seq
-    FROM s JOIN c ON s.rule_id = c.target_rule_id WHERE s.streak >= c.mark_count""",
-        d=DETECT_SQL,
-        s=STREAK_SQL,
-        c=CONTINUOUS_SQL,
-    ),
-)
+           CAST(s.streak AS BIGINT) AS occur_count, s.ts AS occur_timestamp, s.seq, s.metric, s.value,
+           '{"rule":{"ruleId":"' || c.rule_id || '","targetRuleId":"' || c.target_rule_id || '","markCount":'
+             || c.mark_count || '}}' AS payload
+    FROM s JOIN c ON s.rule_id = c.target_rule_id WHERE s.streak >= c.mark_count"""
+
+
+@query("continuous_alarm", with_sql(CONTINUOUS_ALARM_SQL, d=DETECT_SQL, s=STREAK_SQL, c=CONTINUOUS_SQL))
 def continuous_alarm(spark, sf_dir):
-    rules = rule_rows(spark, CONTINUOUS)
-    return continuous.continuous_alarms(detections(spark, sf_dir), rules).drop("payload")
+    return continuous.continuous_alarms(detections(spark, sf_dir), rule_rows(spark, CONTINUOUS))
 
 
 @query(
@@ -846,28 +845,35 @@ COMPOSED = [
 ]
 
 
-def clauses_sql(*expressions):
-    rows = [
-        dict(zip(("rule_id", "clause_id", "leaf_id"), row))
-        for e in expressions
-        for row in (cep.clause_rows(e[1], e[0]) if isinstance(e, tuple) else cep.clause_rows(e))
-    ]
-    return values_sql(rows, {"rule_id": "VARCHAR", "clause_id": "BIGINT", "leaf_id": "VARCHAR"})
-
+def composed_sql(rules, leaves, group=""):
+    """Composed rules written out by hand over leaf results `x` (leaf_id, result).
 
-VERDICT_SQL = """
-    SELECT rule_id, CASE WHEN sum(known) = sum(leaves) THEN bool_or(holds) END AS result
-    FROM (SELECT c.rule_id, c.clause_id, bool_and(x.result) AS holds, count(x.result) AS known,
-                 count(*) AS leaves
-          FROM c LEFT JOIN x ON c.leaf_id = x.leaf_id GROUP BY c.rule_id, c.clause_id)
-    GROUP BY rule_id"""
+    `rules` maps an id to its condition; a rule with a missing leaf is missing.
+    """
+    columns = ", ".join(f"bool_or(result) FILTER (WHERE leaf_id = '{n}') AS {n}" for n in leaves)
+    parts = []
+    for name, condition in rules.items():
+        used = [n for n in leaves if re.search(rf"\b{n}\b", condition)]
+        missing = " OR ".join(f"{n} IS NULL" for n in used)
+        parts.append(f"SELECT {group}'{name}' AS rule_id, CASE WHEN {missing} THEN NULL ELSE ({condition}) END AS result FROM p")
+    by = f"GROUP BY {group.rstrip(', ')}" if group else ""
+    return f", p AS (SELECT {group}{columns} FROM x {by}) " + " UNION ALL ".join(parts)
+
+
+COMPOSED_SQL = {
+    "v1:v6": "v1 AND v6",
+    "v1:v2:v4": "(v1 AND v2) OR v4",
+    "v1:v3": "v1 OR v3",
+    "v2:v3": "v2 AND v3",
+    "v1:v2:v4:v6": "(v1 OR v2) AND (v4 OR v6)",
+    "v6:v5": "v6 OR v5",
+}
 
 
 @query(
     "compound_rule",
     with_sql(
-        VERDICT_SQL,
-        c=clauses_sql(*COMPOSED),
+        composed_sql(COMPOSED_SQL, ["v1", "v2", "v3", "v4", "v5", "v6"]),
         v=values_sql(LEAVES, LEAF_COLUMNS),
         x=f"""SELECT v.leaf_id,
                 {holds_sql('coalesce(v.value, s.value)', 'v.op', 'v.threshold', 'NULL')} AS result
@@ -877,7 +883,7 @@ VERDICT_SQL = """
 def compound_rule(spark, sf_dir):
     leaves = cep.leaf_frame(spark, LEAVES)
     results = cep.value_leaves(leaves, metrics(spark, sf_dir))
-    return cep.evaluate(cep.clause_frame(spark, *COMPOSED), results)
+    return cep.evaluate(cep.node_frame(spark, *COMPOSED), results)
 
 
 STREAK_LEAVES = [
@@ -906,13 +912,22 @@ MIXED = [
 ]
 
 
+MIXED_SQL = {
+    "k1:g1": "k1 AND g1",
+    "k2:a1": "k2 OR a1",
+    "k3:g2:a2": "k3 OR g2 OR a2",
+    "b1:g4": "b1 AND g4",
+    "b1:b2": "b1 OR b2",
+    "g3:g4": "g3 OR g4",
+}
+
+
 @query(
     "compound_mixed",
     with_sql(
-        VERDICT_SQL,
+        composed_sql(MIXED_SQL, ["k1", "k2", "k3", "g1", "g2", "g3", "g4", "a1", "a2", "b1", "b2"]),
         d=DETECT_SQL,
         s=STREAK_SQL,
-        c=clauses_sql(*MIXED),
         k=values_sql(STREAK_LEAVES, LEAF_COLUMNS),
         g=values_sql(RANGE_LEAVES, LEAF_COLUMNS),
         a=values_sql(ALARM_LEAVES, LEAF_COLUMNS),
@@ -944,7 +959,7 @@ def compound_mixed(spark, sf_dir):
         .unionByName(cep.alarm_leaves(cep.leaf_frame(spark, ALARM_LEAVES), alarms))
         .unionByName(cep.alarm_value_leaves(cep.leaf_frame(spark, ALARM_VALUE_LEAVES), alarms))
     )
-    return cep.evaluate(cep.clause_frame(spark, *MIXED), results)
+    return cep.evaluate(cep.node_frame(spark, *MIXED), results)
 
 
 STEP_LEAVES = [
@@ -962,25 +977,24 @@ STEP_RULES = [("both", _leaf("w1") & _leaf("w2")), ("mix", _leaf("w1") & _leaf("
     SELECT window_start, window_start + INTERVAL '24 hours' AS window_end, rule_id, count(*) AS cnt
     FROM (SELECT *, unnest([step - i * INTERVAL '6 hours' for i in range(4)]) AS window_start FROM y)
     GROUP BY window_start, rule_id HAVING count(*) >= 2""",
-        c=clauses_sql(*STEP_RULES),
         v=values_sql(STEP_LEAVES, LEAF_COLUMNS),
         z=f"""SELECT {_bucket('6 hours')} AS step, resource, metric, arg_max(value, row(ts, seq)) AS value
               FROM m GROUP BY ALL""",
         x=f"""SELECT z.step, v.leaf_id, {holds_sql('z.value', 'v.op', 'v.threshold', 'NULL')} AS result
               FROM v JOIN z ON v.resource = z.resource AND v.metric = z.metric""",
-        y="""SELECT step, rule_id FROM (
-               SELECT t.step, c.rule_id, c.clause_id, bool_and(x.result) AS holds,
-                      count(x.result) AS known, count(*) AS leaves
-               FROM (SELECT DISTINCT step FROM x) t CROSS JOIN c
-               LEFT JOIN x ON x.step = t.step AND x.leaf_id = c.leaf_id GROUP BY ALL)
-             GROUP BY step, rule_id HAVING sum(known) = sum(leaves) AND bool_or(holds)""",
+        p="""SELECT step, bool_or(result) FILTER (WHERE leaf_id = 'w1') AS w1,
+               bool_or(result) FILTER (WHERE leaf_id = 'w2') AS w2, bool_or(result) FILTER (WHERE leaf_id = 'w3') AS w3
+             FROM x GROUP BY step""",
+        y="""SELECT step, 'both' AS rule_id FROM p WHERE w1 AND w2
+             UNION ALL SELECT step, 'mix' FROM p
+             WHERE w1 IS NOT NULL AND w2 IS NOT NULL AND w3 IS NOT NULL AND ((w1 AND w2) OR w3)""",
     ),
 )
 def compound_window(spark, sf_dir):
     return cep.composed_windows(
         metrics(spark, sf_dir),
         cep.leaf_frame(spark, STEP_LEAVES),
-        cep.clause_frame(spark, *STEP_RULES),
+        cep.node_frame(spark, *STEP_RULES),
         "24 hours",
         "6 hours",
         2,
@@ -1078,7 +1092,8 @@ def _detect_stream(spark, sf_dir, base):
 )
 def stream_detect(spark, sf_dir):
     alarms = _detect_stream(spark, sf_dir, run_dir(spark, "detect"))
-    found = read_batches(spark, alarms, live.ALARMS).drop("batch_id", "payload", "alarm_type")
+    found = read_batches(spark, alarms, live.ALARMS)
+    found = found.select("rule_id", "detect", F.col("occur_count").cast("int").alias("occur_count"), "occur_timestamp", "seq")
     return plain_times(found, "occur_timestamp")
 
 
@@ -1096,10 +1111,117 @@ def stream_continuous(spark, sf_dir):
             available_now=True,
         )
     )
-    found = read_batches(spark, f"{base}/continuous", streaks.CONTINUOUS).drop("batch_id")
+    found = read_batches(spark, f"{base}/continuous", live.ALARMS).drop("batch_id")
     return plain_times(found, "occur_timestamp")
 
 
+CHAINED = [
+    {"rule_id": "cc1", "target_rule_id": "c1", "mark_count": 2},
+    {"rule_id": "cc2", "target_rule_id": "c4", "mark_count": 1},
+]
+CHAINED_SQL = values_sql(
+    CHAINED, {"rule_id": "VARCHAR", "target_rule_id": "VARCHAR", "mark_count": "BIGINT"}
+)
+
+
+@query(
+    "stream_chained",
+    with_sql(
+        CONTINUOUS_ALARM_SQL.replace("FROM s JOIN", "FROM s2 s JOIN"),
+        d=DETECT_SQL,
+        s=STREAK_SQL,
+        c1=CONTINUOUS_SQL,
+        d2="""SELECT s.ts, s.seq, s.metric, s.value, c1.rule_id, true AS detect
+              FROM s JOIN c1 ON s.rule_id = c1.target_rule_id WHERE s.streak >= c1.mark_count""",
+        s2=STREAK_SQL.replace("FROM d)", "FROM d2)"),
+        c=CHAINED_SQL,
+    ),
+)
+def stream_chained(spark, sf_dir):
+    """Continuous rules on the alarms of continuous rules: three streams in a row."""
+    base = run_dir(spark, "chained")
+    path = _detect_stream(spark, sf_dir, base)
+    for n, rules in enumerate((CONTINUOUS, CHAINED)):
+        _finish(
+            streaks.start_continuous_alarms(
+                batch_stream(spark, path, live.ALARMS),
+                lambda rules=rules: rule_rows(spark, rules),
+                f"{base}/hop{n}",
+                f"{base}/checkpoint_hop{n}",
+                available_now=True,
+            )
+        )
+        path = f"{base}/hop{n}"
+    return plain_times(read_batches(spark, path, live.ALARMS).drop("batch_id"), "occur_timestamp")
+
+
+NAMED_CONTINUOUS = [
+    {"rule_id": "nc1", "target_rule_id": "n1", "mark_count": 1},
+    {"rule_id": "nc2", "target_rule_id": "n2", "mark_count": 2},
+]
+
+
+def event_files(spark, sf_dir, base, pieces=4):
+    """The events as a stream of several files in the order of their times, one a micro-batch."""
+    events = given.table(spark, sf_dir, "events")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    number = F.least(F.floor((at - first) * pieces / F.lit(max(1, last - first))), F.lit(pieces - 1))
+    for n in range(pieces):
+        events.where(number == n).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    files = spark.readStream.schema(given.SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+    return files.parquet(f"{base}/events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    "stream_continuous_batches",
+    with_sql(
+        CONTINUOUS_ALARM_SQL,
+        n=values_sql(
+            [{**r, "name": r["metric"]} for r in NAME_RULES],
+            {"rule_id": "VARCHAR", "name": "VARCHAR", "op": "VARCHAR", "threshold": "DOUBLE"},
+        ),
+        d=f"""SELECT m.ts, m.seq, m.metric, m.value, n.rule_id, {holds_sql('m.value', 'n.op', 'n.threshold')} AS detect
+              FROM m JOIN n ON m.name = n.name""",
+        s=STREAK_SQL,
+        c=values_sql(NAMED_CONTINUOUS, {"rule_id": "VARCHAR", "target_rule_id": "VARCHAR", "mark_count": "BIGINT"}),
+    ),
+)
+def stream_continuous_batches(spark, sf_dir):
+    """Runs over four micro-batches, on rules under which both fields of an event share its place."""
+    base = run_dir(spark, "continuous-batches")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    rules = rule_rows(spark, NAME_RULES).withColumnRenamed("metric", "name")
+    found = detect.detect(rows, rules, keys=("name",)).withColumnRenamed("ts", "occur_timestamp")
+    _finish(
+        streaks.start_continuous_alarms(
+            found, lambda: rule_rows(spark, NAMED_CONTINUOUS), f"{base}/alarms", f"{base}/checkpoint", available_now=True
+        )
+    )
+    alarms = read_batches(spark, f"{base}/alarms", live.ALARMS).drop("batch_id")
+    return plain_times(alarms, "occur_timestamp")
+
+
+@query("stream_state_view_batches", ORACLES["state_view"])
+def stream_state_view_batches(spark, sf_dir):
+    """The view over four micro-batches, folded after every second one."""
+    base = run_dir(spark, "state-batches")
+    view = live.state_table(spark, f"{base}/view")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    _finish(live.start_state_view(rows, view, f"{base}/checkpoint", compact_every=2, available_now=True))
+    return plain_times(view.read(), "ts")
+
+
+@query("stream_rollup_batches", ORACLES["rollup"])
+def stream_rollup_batches(spark, sf_dir):
+    """The same for rollups, whose windows reach over the ends of micro-batches."""
+    base = run_dir(spark, "rollup-batches")
+    view = live.rollup_table(spark, f"{base}/view")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    _finish(live.start_rollup_view(rows, view, f"{base}/checkpoint", "6 hours", compact_every=2, available_now=True))
+    return rounded(plain_times(view.read().drop("m2"), "window_start", "window_end"), "mean", "stddev")
+
+
 @query("stream_state_view", ORACLES["state_view"])
 def stream_state_view(spark, sf_dir):
     base = run_dir(spark, "state")
@@ -1124,20 +1246,38 @@ def stream_rollup(spark, sf_dir):
     return rounded(plain_times(view.read().drop("m2"), "window_start", "window_end"), "mean", "stddev")
 
 
-@query(
-    "stream_rule_changes",
-    f"""
-    WITH changes AS ({CHANGES_SQL})
-    SELECT rule_id, resource, metric, op, threshold, updated_at, seq FROM (
-      SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY updated_at DESC, seq DESC) AS rn
-      FROM changes) WHERE rn = 1""",
-)
+@query("stream_rule_changes", f"WITH changes AS ({CHANGES_SQL}) {CURRENT_SQL}")
 def stream_rule_changes(spark, sf_dir):
+    """Rules in force out of a stream of changes in four micro-batches, removed ones left out."""
     base = run_dir(spark, "rules")
     view = live.rule_change_table(spark, f"{base}/view")
-    changes = given.rule_changes_of(given.event_stream(spark, sf_dir))
+    changes = given.rule_changes_of(event_files(spark, sf_dir, base))
     _finish(live.start_rule_changes(changes, view, f"{base}/checkpoint", available_now=True))
-    return plain_times(view.read(), "updated_at")
+    return plain_times(current_rules(view.read()), "updated_at")
+
+
+@query(
+    "rule_json",
+    f"""
+    WITH changes AS ({CHANGES_SQL})
+    SELECT resource || ':' || metric || ':' || seq AS rule_id, resource, metric, op, threshold FROM changes
+    WHERE seq % 5 <> 0
+    UNION ALL SELECT resource || ':' || metric, resource, metric, '>', threshold FROM changes WHERE seq % 5 = 0""",
+)
+def rule_json(spark, sf_dir):
+    """Rules out of JSON texts; every fifth names neither its id nor its comparison."""
+    changes = given.rule_changes(spark, sf_dir)
+    named = F.col("seq") % 5 != 0
+    body = F.struct(
+        F.when(named, F.concat_ws(":", "resource", "metric", F.col("seq").cast("string"))).alias("id"),
+        "resource",
+        "metric",
+        F.col("threshold").alias("value"),
+        F.when(named, F.col("op")).alias("op"),
+    )
+    path = run_dir(spark, "rule-json")
+    changes.select(F.to_json(body).alias("value")).write.parquet(path)
+    return load_rules(spark, path, json_column="value")
 
 
 @query(

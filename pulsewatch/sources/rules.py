@@ -95,7 +95,11 @@ class RuleBook:
         self._append(gone.select("rule_id", *empty, F.lit(True).alias("deleted")))
 
     def history(self):
-        """Every change made."""
+        """Every change made; none where nothing was written yet."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(path):
+            return small_frame(self.spark, [], schema.RULES)
         return self.spark.read.schema(schema.RULES).parquet(self.path)
 
     def current(self, *kinds):

@@ -10,6 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+COMPACT_EVERY = 100
+
+
+def _path(spark, path):
+    """A folder and the file system it is on."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def numbered_folders(spark, path, label="batch_id"):
+    """Sorted numbers N of the finished folders `label=N` under a path: one listing of files."""
+    root, fs = _path(spark, path)
+    if not fs.exists(root):
+        return []
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{label}=*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in done or [])
+
+
+def make_folder(spark, path):
+    """A folder a stream can watch before anything is written to it."""
+    found, fs = _path(spark, path)
+    fs.mkdirs(found)
+
+
+def remove_folder(spark, path):
+    found, fs = _path(spark, path)
+    fs.delete(found, True)
+
+
 class PartialTable:
     """Partial results in a shared folder; `merge` turns any number of them into one per key."""
 
@@ -23,22 +52,10 @@ class PartialTable:
         """Store one batch's partials; a retried batch replaces its own."""
         partials.write.mode("overwrite").parquet(f"{self.path}/delta/batch_id={batch_id}")
 
-    def _folder(self, *below):
-        """A folder of the table and the file system it is on."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *below]))
-        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-
     def _numbers(self, label, above=-1):
         """Numbers over `above` of the finished folders `label=N`."""
         kind = {"upto": "base", "batch_id": "delta"}[label]
-        root, fs = self._folder(kind)
-        if not fs.exists(root):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(root)]
-        numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{label}="))
-        return [
-            n for n in numbers if n > above and fs.exists(self._folder(kind, f"{label}={n}", "_SUCCESS")[0])
-        ]
+        return [n for n in numbered_folders(self.spark, f"{self.path}/{kind}", label) if n > above]
 
     def _partials(self):
         upto = max(self._numbers("upto"), default=-1)
@@ -50,19 +67,32 @@ class PartialTable:
         found = reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
         return found, max(deltas, default=upto)
 
-    def read(self):
-        """The view: one row per key."""
-        return self.merge(self._partials()[0])
+    def read(self, only=None):
+        """The view: one row per key. `only` (a condition) is put below the merge: it may name
+        key columns, and times that a merge can only raise, as retention does."""
+        found = self._partials()[0]
+        return self.merge(found if only is None else found.where(only))
+
+    def keep(self, batch_id, every=COMPACT_EVERY, expired=None):
+        """Fold and clean the table after every so many batches; for the end of a batch's handler."""
+        if every and batch_id % every == every - 1:
+            self.compact(expired)
+            self.clean()
 
-    def compact(self):
+    def compact(self, expired=None):
         """Fold all finished batches into a new base; returns the last batch it holds.
 
+        Keys for which the condition `expired` holds after the merge are left out.
+
         Folded folders stay until `clean`: a reader may have listed them just before.
         """
         found, last = self._partials()
         if last >= 0 and last not in self._numbers("upto"):
             names = T.StructType.fromDDL(self.schema).fieldNames()
-            self.merge(found).select(*names).write.mode("overwrite").parquet(
+            merged = self.merge(found)
+            if expired is not None:
+                merged = merged.where(~F.coalesce(expired, F.lit(False)))
+            merged.select(*names).write.mode("overwrite").parquet(
                 f"{self.path}/base/upto={last}"
             )
         return last
@@ -76,8 +106,7 @@ class PartialTable:
         old = [("base", f"upto={n}") for n in bases[:-2]]
         old += [("delta", f"batch_id={n}") for n in self._numbers("batch_id") if n <= kept]
         for below in old:
-            path, fs = self._folder(*below)
-            fs.delete(path, True)
+            remove_folder(self.spark, "/".join([self.path, *below]))
 
 
 def batch_folder(df, path, batch_id):

@@ -10,20 +10,33 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from pulsewatch import schema
 from pulsewatch.functions.encode import encode_alarm
 from pulsewatch.functions.moments import merge_moments, partial_moments, sample_stddev
-from pulsewatch.functions.times import ordinal
+from pulsewatch.functions.times import micros, ordinal
 from pulsewatch.operators import counts as counting
 from pulsewatch.operators import detect as rule
+from pulsewatch.operators.rulebook import newest_rows, rules_of_kind
 from pulsewatch.operators.views import latest
-from pulsewatch.sources.tables import PartialTable, batch_folder
+from pulsewatch.sources.tables import COMPACT_EVERY, PartialTable, batch_folder, batch_stream, make_folder
 
 KEYS = ("resource", "metric")
 
+# One form for simple and continuous alarms, so that either can be watched by further rules.
+# `metric` and `value` only complete the order of alarms that share time and sequence.
 ALARMS = (
-    "alarm_type string, rule_id string, detect boolean, occur_count int, "
-    "occur_timestamp timestamp, seq long, payload string"
+    "alarm_type string, rule_id string, target_rule_id string, detect boolean, occur_count long, "
+    "occur_timestamp timestamp, seq long, metric string, value double, payload string"
 )
+ALARM_COLUMNS = tuple(c.split()[0] for c in ALARMS.split(", "))
+
+
+def as_alarms(alarms):
+    """Simple or continuous alarms in the one form they are stored in."""
+    missing = {"target_rule_id": "string", "metric": "string", "value": "double"}
+    full = alarms.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in alarms.columns})
+    full = full.withColumn("occur_count", F.col("occur_count").cast("long"))
+    return full.withColumn("occur_timestamp", F.col("occur_timestamp").cast("timestamp")).select(*ALARM_COLUMNS)
 
 
 def _writer(df, checkpoint, name=None, mode="append", every=None, available_now=False):
@@ -55,13 +68,14 @@ def start_detection(metrics, load_rules, alarms_path, checkpoint, **options):
     """Threshold alarms with rules that may change while the query runs.
 
     `load_rules()` is called once per micro-batch and its result used for all of it, so
-    a change takes effect with the next batch and a batch never mixes two versions.
+    a change takes effect with the next batch and a batch never mixes two versions. Of a
+    table of all kinds only threshold rules are judged here.
     """
 
     def handle(batch, batch_id):
         with version(load_rules) as rules:
-            found = rule.detect(batch, rules)
-            batch_folder(rule.simple_alarms(found), alarms_path, batch_id)
+            found = rule.detect(batch, rules_of_kind(rules, "threshold"))
+            batch_folder(as_alarms(rule.simple_alarms(found)), alarms_path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
 
@@ -71,7 +85,7 @@ def start_rule_verdicts(metrics, load_rules, path, checkpoint, **options):
 
     def handle(batch, batch_id):
         with version(load_rules) as rules:
-            batch_folder(rule.evaluate_batch(batch, rules), path, batch_id)
+            batch_folder(rule.evaluate_batch(batch, rules_of_kind(rules, "threshold")), path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
 
@@ -87,11 +101,15 @@ def state_table(spark, path, value_keys=KEYS, ts="timestamp"):
     )
 
 
-def start_state_view(metrics, table, checkpoint, keys=KEYS, **options):
-    """Keep the latest value per key in `table`."""
+def start_state_view(metrics, table, checkpoint, keys=KEYS, compact_every=COMPACT_EVERY, retention=None, **options):
+    """Keep the latest value per key in `table`, folded after every `compact_every` batches.
+
+    With `retention` (a duration) folding leaves out keys without a value in that time.
+    """
 
     def handle(batch, batch_id):
         table.write(latest(batch, keys).select(*keys, "value", "ts", "seq"), batch_id)
+        table.keep(batch_id, compact_every, older_than("ts", retention))
 
     return per_batch(metrics, handle, checkpoint, **options)
 
@@ -109,42 +127,47 @@ def rollup_table(spark, path, keys=KEYS):
     )
 
 
-def start_rollup_view(metrics, table, checkpoint, size="1 minute", keys=KEYS, **options):
-    """Keep count, mean, min, max and stddev per window and key in `table`."""
+def older_than(ts, retention):
+    """The condition that a time is longer ago than `retention`; none without one."""
+    if retention is None:
+        return None
+    return F.col(ts) < F.current_timestamp() - F.expr(f"interval {micros(retention)} microseconds")
+
+
+def start_rollup_view(metrics, table, checkpoint, size="1 minute", keys=KEYS, compact_every=COMPACT_EVERY, retention=None, **options):
+    """Keep count, mean, min, max and stddev per window and key in `table`, folded after every
+    `compact_every` batches; with `retention` folding leaves out windows that ended before it."""
 
     def handle(batch, batch_id):
         partials = batch.groupBy(F.window("ts", size).alias("w"), *keys).agg(*partial_moments())
         bounds = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
         table.write(partials.select(*bounds, *keys, "cnt", "mean", "m2", "min", "max"), batch_id)
+        table.keep(batch_id, compact_every, older_than("window_end", retention))
 
     return per_batch(metrics, handle, checkpoint, **options)
 
 
-def rule_change_table(spark, path):
-    """The last change per rule as a table of partials."""
-    columns = ("resource", "metric", "op", "threshold")
+RULE_CHANGES = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.RULES.fields)
 
-    def newest(changes):
-        position = ordinal("updated_at", "seq")
-        body = F.struct(*columns, "updated_at", "seq")
-        kept = changes.groupBy("rule_id").agg(F.max_by(body, position).alias("r"))
-        return kept.select("rule_id", "r.*")
 
+def rule_change_table(spark, path):
+    """The last change per rule as a table of partials: all columns, removals included.
+
+    `read()` gives the last change of every rule ever seen; `current_rules` over it leaves
+    out the removed ones.
+    """
     return PartialTable(
-        spark,
-        path,
-        "rule_id string, resource string, metric string, op string, threshold double, "
-        "updated_at timestamp, seq long",
-        newest,
+        spark, path, RULE_CHANGES, lambda changes: newest_rows(changes, ["rule_id"], ["updated_at", "seq"])
     )
 
 
 def start_rule_changes(changes, table, checkpoint, **options):
-    """Keep the current rule per id out of a stream of rule changes."""
+    """Keep the last change per rule out of a stream of rule changes; columns not sent are null."""
 
     def handle(batch, batch_id):
-        names = ("rule_id", "resource", "metric", "op", "threshold", "updated_at", "seq")
-        table.write(table.merge(batch).select(*names), batch_id)
+        none = {f.name: F.lit(None).cast(f.dataType) for f in schema.RULES.fields if f.name not in batch.columns}
+        full = batch.withColumns(none).select(*[F.col(f.name).cast(f.dataType) for f in schema.RULES.fields])
+        table.write(table.merge(full), batch_id)
 
     return per_batch(changes, handle, checkpoint, **options)
 
@@ -154,7 +177,7 @@ def start_counts(metrics, load_rules, path, checkpoint, **options):
 
     def handle(batch, batch_id):
         with version(load_rules) as rules:
-            numbered = rule.check(batch, rules).withColumn("_b", F.lit(batch_id))
+            numbered = rule.check(batch, rules_of_kind(rules, "threshold")).withColumn("_b", F.lit(batch_id))
             batch_folder(counting.batch_counts(numbered, "_b").drop("_b"), path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
@@ -243,17 +266,29 @@ def print_console(df, rows=20):
 
 
 def start_all(metrics, load_rules, base, **options):
-    """Detection, state view and rollup view on one source, each with its own checkpoint.
+    """Detection, continuous alarms on its alarms, state view and rollup view, each with its own
+    checkpoint.
 
-    Returns the queries; wait with `spark.streams.awaitAnyTermination()`.
+    Rules of all kinds may be in one table: each query takes its own. Returns the queries; wait
+    with `spark.streams.awaitAnyTermination()`.
     """
+    from pulsewatch.streaming.streaks import start_continuous_alarms
+
     spark = metrics.sparkSession
     state = state_table(spark, f"{base}/state_view")
     rollups = rollup_table(spark, f"{base}/rollup_view")
+    make_folder(spark, f"{base}/alarms")
     return {
         "detect": start_detection(
             metrics, load_rules, f"{base}/alarms", f"{base}/_checkpoint/detect", **options
         ),
+        "continuous": start_continuous_alarms(
+            batch_stream(spark, f"{base}/alarms", ALARMS),
+            load_rules,
+            f"{base}/continuous_alarms",
+            f"{base}/_checkpoint/continuous",
+            **options,
+        ),
         "state_view": start_state_view(metrics, state, f"{base}/_checkpoint/state_view", **options),
         "rollup_view": start_rollup_view(
             metrics, rollups, f"{base}/_checkpoint/rollup_view", **options

@@ -35,8 +35,8 @@ expressions = st.recursive(
 def test_tables_agree_with_the_tree(spark, rules, values):
     known = dict(zip(NAMES, values))
     results = spark.createDataFrame(list(known.items()), RESULTS)
-    clauses = cep.clause_frame(spark, *[(f"r{i}", e) for i, e in enumerate(rules)])
-    found = dict(map(tuple, cep.evaluate(clauses, results).collect()))
+    nodes = cep.node_frame(spark, *[(f"r{i}", e) for i, e in enumerate(rules)])
+    found = dict(map(tuple, cep.evaluate(nodes, results).collect()))
     assert found == {f"r{i}": strict(e, known) for i, e in enumerate(rules)}
 
 
@@ -46,13 +46,31 @@ def test_tables_agree_with_the_tree(spark, rules, values):
 )
 def test_missing_is_not_sql_null(spark, rule, expected):
     results = spark.createDataFrame([("t", True), ("f", False), ("missing", None)], RESULTS)
-    assert rows(cep.evaluate(cep.clause_frame(spark, ("r", rule)), results)) == [("r", expected)]
+    assert rows(cep.evaluate(cep.node_frame(spark, ("r", rule)), results)) == [("r", expected)]
 
 
 def test_ids_follow_leaf_order():
     rule = L("1") & L("2") | L("3")
     assert rule.id == "1:2:3"
-    assert cep.clause_rows(rule) == [("1:2:3", 0, "1"), ("1:2:3", 0, "2"), ("1:2:3", 1, "3")]
+    both, either = {"node": 1, "every": True}, {"node": 0, "every": False}
+    assert cep.node_rows(rule) == [("1:2:3", "1", [both, either]), ("1:2:3", "2", [both, either]), ("1:2:3", "3", [either])]
+
+
+def test_rules_with_one_id_are_refused(spark):
+    with pytest.raises(ValueError, match="a:b"):
+        cep.node_frame(spark, L("a") & L("b"), L("a") | L("b"))
+    assert cep.node_frame(spark, L("a") & L("b"), ("or", L("a") | L("b"))).count() == 4
+
+
+def test_nested_rules_stay_as_long_as_their_leaves(spark):
+    pairs = [L(f"a{i}") | L(f"b{i}") for i in range(20)]
+    rule = pairs[0]
+    for p in pairs[1:]:
+        rule = rule & p
+    nodes = cep.node_frame(spark, ("r", rule))
+    assert nodes.count() == 40
+    results = spark.createDataFrame([(f"{c}{i}", (c == "a") == (i % 2 == 0)) for c in "ab" for i in range(20)], RESULTS)
+    assert rows(cep.evaluate(nodes, results)) == [("r", True)]
 
 
 def test_worked_example(spark, make):
@@ -65,7 +83,7 @@ def test_worked_example(spark, make):
         ],
     )
     results = cep.value_leaves(leaves, make(METRICS, []))
-    assert rows(cep.evaluate(cep.clause_frame(spark, L("1") & L("2") | L("3")), results)) == [("1:2:3", True)]
+    assert rows(cep.evaluate(cep.node_frame(spark, L("1") & L("2") | L("3")), results)) == [("1:2:3", True)]
 
 
 def test_value_leaves(spark, make):
@@ -126,7 +144,7 @@ def test_composed_windows(spark, make):
     leaves = cep.leaf_frame(
         spark, [{"leaf_id": m, "resource": "s", "metric": m, "op": ">", "threshold": 5.0} for m in ("cpu", "mem")]
     )
-    either = cep.clause_frame(spark, ("r", L("cpu") | L("mem")))
+    either = cep.node_frame(spark, ("r", L("cpu") | L("mem")))
     # Minutes 1 and 3 lack a leaf, so only 0 and 2 count although OR has one true side.
     found = cep.composed_windows(metrics, leaves, either, "4 minutes", "4 minutes", 1)
     assert found.select("cnt").first()[0] == 1

@@ -106,5 +106,5 @@ def test_running_sum_without_keys(spark):
 
 def test_current_streak_is_the_last_one(spark):
     df = many(spark).where("rule_id is not null")
-    last = continuous.streak_rows(df).groupBy("rule_id").agg(F.max_by("streak", F.struct("ts", "seq")))
+    last = continuous.streak_rows(df, ["ts", "seq"]).groupBy("rule_id").agg(F.max_by("streak", F.struct("ts", "seq")))
     assert rows(continuous.current_streaks(df)) == rows(last)

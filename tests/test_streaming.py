@@ -240,7 +240,7 @@ def test_all_queries_on_one_source(spark, feed, tmp_path):
     queries = live.start_all(feed.stream(), lambda: rules, base, available_now=True)
     for query in queries.values():
         query.awaitTermination()
-    assert set(queries) == {"detect", "state_view", "rollup_view"}
+    assert set(queries) == {"detect", "continuous", "state_view", "rollup_view"}
     assert rows(live.state_table(spark, f"{base}/state_view").read(), "seq") == rows(views.latest(feed.batch()), "seq")
     alarms = tables.read_batches(spark, f"{base}/alarms", live.ALARMS)
     assert alarms.count() == rule.detect(feed.batch(), rules).count()
@@ -271,21 +271,74 @@ def test_runs_go_on_across_batches_and_restarts(spark, tmp_path):
     go()
     feed.send([detection(6, 6, True), detection(7, 7, True)])
     go()
-    found = tables.read_batches(spark, out, streaks.CONTINUOUS)
+    found = tables.read_batches(spark, out, live.ALARMS)
     assert rows(found, "seq", "occur_count") == [(2, 3), (3, 4), (7, 3)]
     whole = continuous.continuous_alarms(feed.batch(), continuous_rules(spark), ts="occur_timestamp")
     assert rows(whole, "seq", "occur_count") == rows(found, "seq", "occur_count")
 
 
-def test_late_and_repeated_detections_change_nothing(spark, tmp_path):
+def test_late_detections_are_set_aside_and_equal_ones_count(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", DETECTIONS)
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    rules = rules_frame(spark, [{"rule_id": "c1", "target_rule_id": "r", "mark_count": 1}])
     feed.send([detection(0, 0, True), detection(5, 5, True), detection(5, 5, True)])
     feed.send([detection(3, 3, False), detection(5, 5, True), detection(6, 6, True)])
-    query = streaks.streaks(feed.stream()).writeStream.format("memory").queryName("runs")
-    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert rows(spark.table("runs"), "seq", "streak", "late") == [
-        (0, 1, False), (3, 0, True), (5, 0, True), (5, 0, True), (5, 2, False), (6, 3, False),
-    ]
+    streaks.start_continuous_alarms(feed.stream(), lambda: rules, out, cp, available_now=True).awaitTermination()
+    found = tables.read_batches(spark, out, live.ALARMS)
+    assert rows(found, "seq", "occur_count") == [(0, 1), (5, 2), (5, 3), (5, 4), (6, 5)]
+    assert rows(tables.read_batches(spark, f"{out}-late", streaks.LATE), "seq", "detect") == [(3, False)]
+
+
+def test_runs_do_not_depend_on_where_batches_end(spark):
+    """Ties, several rules and hot ones: every way to cut the rows gives the runs of one batch."""
+    rnd = random.Random(5)
+    declared = "rule_id string, occur_timestamp timestamp, seq long, metric string, value double, detect boolean"
+    data = sorted(
+        (rnd.choice("ab"), T0 + dt.timedelta(seconds=s // 3), s // 4, rnd.choice("xy"), float(rnd.randrange(2)), rnd.random() < 0.7)
+        for s in range(60)
+    )
+    data.sort(key=lambda r: (*r[1:5], r[5]))
+    from pulsewatch.operators.continuous import ORDER, streak_rows
+
+    whole = rows(streak_rows(spark.createDataFrame(data, declared), ORDER), "rule_id", *ORDER, "detect", "streak")
+    for cuts, limit in (([20, 40], None), ([1, 2, 59], 5)):
+        carry, got = spark.createDataFrame([], streaks.CARRY), []
+        for low, high in zip([0, *cuts], [*cuts, 60]):
+            counted, carry, late = streaks.carried_streaks(spark.createDataFrame(data[low:high], declared), carry, limit)
+            got += rows(counted, "rule_id", *ORDER, "detect", "streak")
+            carry = spark.createDataFrame(carry.collect(), streaks.CARRY)
+            assert late.count() == 0
+        assert sorted(got, key=repr) == whole
+
+
+def test_a_new_rule_book_has_no_rules(spark, tmp_path):
+    book = RuleBook(spark, str(tmp_path / "book"))
+    assert book.current().count() == 0
+    book.clear()
+    assert book.current().count() == 0
+
+
+def test_only_rules_of_their_kind_are_judged(spark, feed, tmp_path):
+    feed.send([metric(0, 1, 60.0)])
+    rules = rules_frame(
+        spark,
+        [threshold("r1", 50.0), {**threshold("r2", 50.0), "kind": "rollup"}, {**threshold("r3", 50.0), "kind": "threshold"}],
+    )
+    out = str(tmp_path / "alarms")
+    live.start_detection(feed.stream(), lambda: rules, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert rows(tables.read_batches(spark, out, live.ALARMS), "rule_id") == [("r1",), ("r3",)]
+
+
+def test_folding_leaves_out_what_has_expired(spark, feed, tmp_path):
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    feed.send([metric(0, 1, 1.0)])
+    feed.send([(now, 2, "s2", "cpu", 2.0)])
+    view = live.state_table(spark, str(tmp_path / "view"))
+    live.start_state_view(
+        feed.stream(), view, str(tmp_path / "cp"), compact_every=2, retention="1 hour", available_now=True
+    ).awaitTermination()
+    assert rows(view.read(), "seq") == [(2,)]
+    assert view._numbers("upto") == [1]
 
 
 KILLED = """
@@ -329,7 +382,7 @@ def test_a_killed_process_is_taken_over(spark, tmp_path):
     streaks.start_continuous_alarms(
         feed.stream(), lambda: continuous_rules(spark), out, cp, available_now=True
     ).awaitTermination()
-    found = tables.read_batches(spark, out, streaks.CONTINUOUS)
+    found = tables.read_batches(spark, out, live.ALARMS)
     whole = continuous.continuous_alarms(feed.batch(), continuous_rules(spark), ts="occur_timestamp")
     assert rows(found, "seq", "occur_count") == rows(whole, "seq", "occur_count")
 

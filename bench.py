@@ -37,6 +37,14 @@ HEADLINE = (
     "log_rule",
     "offset_as_of",
     "user_avg",
+    "window_join_filter",
+    "compound_mixed",
+    "threshold_users",
+    "state_view_users",
+    "stream_detect",
+    "stream_continuous",
+    "stream_rollup",
+    "stream_window_alarm",
 )
 
 

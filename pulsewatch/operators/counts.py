@@ -39,6 +39,14 @@ def partition_rows(df, n, *keys):
     )
 
 
+def partitions_of_keys(df, n, *keys):
+    """Per key: the hash partitions its rows lie in, and how many rows they are."""
+    placed = df.repartition(n, *keys).withColumn("_p", F.spark_partition_id())
+    return placed.groupBy(*keys).agg(
+        (F.max("_p") - F.min("_p") + 1).cast("long").alias("partitions"), F.count(F.lit(1)).alias("cnt")
+    )
+
+
 def totals(df, value="value"):
     """All rows, and rows that have a value."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count(value).alias("with_value"))

@@ -22,6 +22,7 @@ from pulsewatch.plans.tables import (
     values_sql,
 )
 from pulsewatch.session import cut_lineage, run_dir
+from pulsewatch.sources.messages import MESSAGE, read_messages
 from pulsewatch.sources.rules import load_rules
 from pulsewatch.sources.tables import batch_stream, read_batches
 from pulsewatch.streaming import live, streaks
@@ -153,6 +154,28 @@ def normalize_metrics(spark, sf_dir):
     return plain_times(parsed, "ts").select("ts", "seq", "resource", "name", "metric", "value")
 
 
+@query("message_files", ORACLES["normalize_metrics"])
+def message_files(spark, sf_dir):
+    """The same messages written to files and read as a message source."""
+    path = run_dir(spark, "messages")
+    sent = given.metric_messages(spark, sf_dir).withColumn("key", F.lit("k"))
+    sent.select("timestamp", "key", "value", "seq").write.parquet(path)
+    read = read_messages(spark, "parquet", path, MESSAGE + ", seq long", stream=False)
+    return plain_times(normalize.metrics(read), "ts").select("ts", "seq", "resource", "name", "metric", "value")
+
+
+@query("stream_message_files", ORACLES["normalize_metrics"])
+def stream_message_files(spark, sf_dir):
+    """The same as a stream into a table."""
+    base = run_dir(spark, "message-stream")
+    sent = given.metric_messages(spark, sf_dir).withColumn("key", F.lit("k"))
+    sent.select("timestamp", "key", "value", "seq").write.parquet(f"{base}/in")
+    read = read_messages(spark, "parquet", f"{base}/in", MESSAGE + ", seq long", maxFilesPerTrigger=1)
+    parsed = normalize.metrics(read).select("ts", "seq", "resource", "name", "metric", "value")
+    _finish(live.start_table(parsed, f"{base}/out", f"{base}/checkpoint", available_now=True))
+    return plain_times(spark.read.schema(parsed.schema).parquet(f"{base}/out"), "ts")
+
+
 @query(
     "normalize_flat",
     """
@@ -471,6 +494,84 @@ def recent_state(spark, sf_dir):
     return views.sorted_state(state)
 
 
+@query("state_view_users", f"WITH m AS ({given.USER_METRICS_SQL}) {LATEST_SQL}")
+def state_view_users(spark, sf_dir):
+    return views.latest(given.user_metrics(spark, sf_dir))
+
+
+USER_RULES_SQL = f"""
+  SELECT DISTINCT resource, metric, resource || ':' || metric AS rule_id, '>' AS op, CAST(50 AS DOUBLE) AS threshold
+  FROM ({given.USER_METRICS_SQL})"""
+
+
+@query(
+    "threshold_users",
+    f"WITH m AS ({given.USER_METRICS_SQL}), r AS ({USER_RULES_SQL}) "
+    f"SELECT seq, rule_id, detect FROM ({DETECT_SQL})",
+)
+def threshold_users(spark, sf_dir):
+    """A rule on every key of every user: a rule table that grows with the data."""
+    rows = given.user_metrics(spark, sf_dir)
+    rules = rows.select("resource", "metric").distinct().select(
+        "resource", "metric", F.concat_ws(":", "resource", "metric").alias("rule_id"),
+        F.lit(">").alias("op"), F.lit(50.0).alias("threshold"),
+    )
+    return detect.detect(rows, cut_lineage(rules)).select("seq", "rule_id", "detect")
+
+
+LOOKED_UP = [("server1", "click.value"), ("server7", "view.k"), ("server99", "view.k")]
+
+
+@query(
+    "current_values",
+    with_sql(
+        f"""
+    SELECT l.resource, l.metric, s.value FROM l LEFT JOIN ({LATEST_SQL}) s
+    ON l.resource = s.resource AND l.metric = s.metric""",
+        l=values_sql(
+            [dict(zip(("resource", "metric"), k)) for k in LOOKED_UP], {"resource": "VARCHAR", "metric": "VARCHAR"}
+        ),
+    ),
+)
+def current_values(spark, sf_dir):
+    """Single values looked up one by one, by the function and by SQL text on the registered view."""
+    state = views.latest(metrics(spark, sf_dir))
+    state.createOrReplaceTempView("state_view")
+    rows = []
+    for resource, metric in LOOKED_UP:
+        one = views.current_value(state, resource, metric)
+        text = f"SELECT value FROM state_view WHERE resource = '{resource}' AND metric = '{metric}'"
+        assert one == views.current_value_sql(spark, text)
+        rows.append((resource, metric, one))
+    return spark.createDataFrame(rows, "resource string, metric string, value double")
+
+
+@query(
+    "raised_rules",
+    with_sql(
+        f"""
+    SELECT rule_id, resource, metric, value FROM (
+      SELECT 'hot' AS rule_id, s.* FROM ({LATEST_SQL}) s WHERE metric = 'click.value' AND value > 50
+      UNION ALL SELECT 'none', s.* FROM ({LATEST_SQL}) s WHERE metric = 'click.value' AND value > 1e9
+      UNION ALL SELECT 'low', s.* FROM ({LATEST_SQL}) s WHERE resource = 'server3' AND value <= 60)"""
+    ),
+)
+def raised_rules(spark, sf_dir):
+    """Conditions asked of the newest values; those that hold anywhere hand on what meets them."""
+    state = views.latest(metrics(spark, sf_dir))
+    conditions = {
+        "hot": "metric = 'click.value' AND value > 50",
+        "none": "metric = 'click.value' AND value > 1e9",
+        "low": "resource = 'server3' AND value <= 60",
+    }
+    found = spark.createDataFrame([], "rule_id string, resource string, metric string, value double")
+    for name, text in conditions.items():
+        if views.rule_holds(state, text):
+            handed = views.run_rule(state, text, lambda rows, name=name: rows.select(F.lit(name).alias("rule_id"), "*"))
+            found = found.unionByName(handed)
+    return found
+
+
 @query(
     "metric_lookup",
     with_sql(
@@ -627,9 +728,13 @@ def totals(spark, sf_dir):
     return counts.totals(metrics(spark, sf_dir))
 
 
-@query("partition_rows")
+@query(
+    "partition_rows",
+    with_sql("SELECT resource, metric, CAST(1 AS BIGINT) AS partitions, count(*) AS cnt FROM m GROUP BY ALL"),
+)
 def partition_rows(spark, sf_dir):
-    return counts.partition_rows(metrics(spark, sf_dir), 16, "resource", "metric")
+    """In how many hash partitions each key lies, which has to be one, and its rows."""
+    return counts.partitions_of_keys(metrics(spark, sf_dir), 16, "resource", "metric")
 
 
 @query("user_avg", with_sql("SELECT metric, round(avg(value), 6) AS user_avg FROM m GROUP BY metric"))
@@ -1049,6 +1154,13 @@ def last_offset(spark, sf_dir):
     return ops.last_offset(progress(spark, sf_dir))
 
 
+@query("offset_history", f"SELECT query, date_trunc('milliseconds', ts) AS ts, start_offset FROM ({PROGRESS_SQL}) WHERE query = 'q1'")
+def offset_history(spark, sf_dir):
+    """Offsets written as history text and read back."""
+    lines = progress(spark, sf_dir).where("query = 'q1'").select(ops.history_line().alias("value"))
+    return plain_times(ops.parse_history(lines, "q1").select("query", "ts", "start_offset"), "ts")
+
+
 @query(
     "batches_since",
     f"""
@@ -1280,6 +1392,54 @@ def rule_json(spark, sf_dir):
     return load_rules(spark, path, json_column="value")
 
 
+@query(
+    "stream_verdicts",
+    with_sql(
+        """
+    SELECT rule_id, CAST(detect AS INTEGER) AS detect, resource, metric AS event, value,
+           concat_ws(' ', metric, op, CAST(CAST(threshold AS DECIMAL(10, 1)) AS VARCHAR)) AS filter
+    FROM d""",
+        d=DETECT_SQL,
+    ),
+)
+def stream_verdicts(spark, sf_dir):
+    """Every rule's verdict on every row, four micro-batches long."""
+    base = run_dir(spark, "verdicts")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    _finish(live.start_rule_verdicts(rows, lambda: thresholds(spark), f"{base}/out", f"{base}/checkpoint", available_now=True))
+    declared = "rule_id string, detect int, resource string, event string, value double, filter string"
+    return read_batches(spark, f"{base}/out", declared).drop("batch_id")
+
+
+CHANGED_AT = 2
+
+
+@query(
+    "stream_changed_rules",
+    with_sql(
+        f"""
+    SELECT rule_id, seq, detect FROM (
+      SELECT m.seq, {holds_sql('m.value', "'>'", 'CASE WHEN b.n < 2 THEN 50 ELSE 90 END')} AS detect, 'changed' AS rule_id
+      FROM m JOIN b ON m.seq = b.event_id WHERE m.resource = 'server1' AND m.metric = 'click.value')""",
+        b="""SELECT event_id, least(3, (epoch_us(ts) - f) * 4 // greatest(1, l - f)) AS n
+             FROM events, (SELECT min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM events)""",
+    ),
+)
+def stream_changed_rules(spark, sf_dir):
+    """A rule that changes while the stream runs: from the third micro-batch on."""
+    base = run_dir(spark, "changed")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    calls = []
+
+    def load():
+        limit = 50.0 if len(calls) < CHANGED_AT else 90.0
+        calls.append(limit)
+        return rule_rows(spark, [{"rule_id": "changed", "resource": "server1", "metric": "click.value", "op": ">", "threshold": limit}])
+
+    _finish(live.start_detection(rows, load, f"{base}/alarms", f"{base}/checkpoint", available_now=True))
+    return read_batches(spark, f"{base}/alarms", live.ALARMS).select("rule_id", "seq", "detect")
+
+
 @query(
     "stream_counts",
     with_sql(

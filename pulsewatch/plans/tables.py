@@ -17,6 +17,11 @@ METRICS_SQL = """
          CAST(json_extract_string(props, '$.k') AS DOUBLE)
   FROM events"""
 
+# The same with one resource per user, so that keys grow with the data.
+USER_METRICS_SQL = """
+  SELECT ts, event_id AS seq, 'user' || user_id AS resource, event_type || '.value' AS metric, value
+  FROM events"""
+
 OPS = ("=", ">", ">=", "<", "<=", "!=", "<>")
 
 CHANGES_SQL = """
@@ -62,6 +67,17 @@ def metrics(spark, sf_dir):
     return metrics_of(table(spark, sf_dir, "events"))
 
 
+def user_metrics(spark, sf_dir):
+    """Events as metric rows with one resource per user: keys grow with the data."""
+    return table(spark, sf_dir, "events").select(
+        "ts",
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("resource"),
+        F.concat_ws(".", "event_type", F.lit("value")).alias("metric"),
+        "value",
+    )
+
+
 def metrics_of(events):
     """The same for any frame, batch or stream, with the columns of `events`."""
     fields = F.array(

@@ -1,5 +1,7 @@
 """Session settings and the shared folder used to cut lineage."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +31,8 @@ def build_session(app="pulsewatch", master=None, conf=None):
 def shared_dir(spark):
     """Folder every executor can reach, as named by spark.checkpoint.dir.
 
-    Where the setting is missing a local folder is made, in local mode only: on a
-    cluster a machine-local folder would lose data together with its machine.
+    Where the setting is missing a local folder is made, in local mode only, and removed when
+    the program ends: on a cluster a machine-local folder would lose data with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -38,6 +40,7 @@ def shared_dir(spark):
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="pulsewatch-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return made
 

@@ -7,13 +7,14 @@ emitted once use a watermark instead.
 """
 
 from contextlib import contextmanager
+from math import gcd
 
 from pyspark.sql import functions as F
 
 from pulsewatch import schema
 from pulsewatch.functions.encode import encode_alarm
 from pulsewatch.functions.moments import merge_moments, partial_moments, sample_stddev
-from pulsewatch.functions.times import micros, ordinal
+from pulsewatch.functions.times import duration, micros, ordinal
 from pulsewatch.operators import counts as counting
 from pulsewatch.operators import detect as rule
 from pulsewatch.operators.rulebook import newest_rows, rules_of_kind
@@ -224,13 +225,19 @@ def closed_rollups(metrics, size="1 minute", late="70 seconds", keys=KEYS):
 def window_alarms(metrics, condition, size="1 minute", slide="1 second", mark_count=1, keys=()):
     """Sliding windows in which `mark_count` rows met a condition, when they are closed.
 
-    The watermark is as long as the window.
+    The watermark is as long as the window. Rows are counted in panes of the greatest common
+    divisor of size and slide first; only panes are copied into windows.
     """
-    return (
+    pane = duration(gcd(micros(size), micros(slide)))
+    panes = (
         metrics.where(condition)
         .withWatermark("ts", size)
-        .groupBy(F.window("ts", size, slide).alias("w"), *keys)
+        .groupBy(F.window("ts", pane).alias("_p"), *keys)
         .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    return (
+        panes.groupBy(F.window("_p", size, slide).alias("w"), *keys)
+        .agg(F.sum("cnt").alias("cnt"))
         .where(F.col("cnt") >= mark_count)
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "cnt")
     )

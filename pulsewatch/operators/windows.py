@@ -135,7 +135,7 @@ def _of_pieces(df, pieces):
     )
 
 
-def trailing_stats(metrics, span, keys=KEYS, parts=12):
+def trailing_stats(metrics, span, keys=KEYS, parts=6):
     """Every metric row with `cnt`, `mean`, `min`, `max` and population `stddev` of the `span` up to it.
 
     The same as a RANGE frame over each key, which would sort a whole key in one task and

@@ -22,7 +22,7 @@ def parallelism(spark):
 def block_count(docs, text="text", block_bytes=BLOCK_BYTES):
     """How many blocks of about `block_bytes` of text the documents need."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2 * parallelism(docs.sparkSession), math.ceil(total / block_bytes))
+    return max(parallelism(docs.sparkSession), math.ceil(total / block_bytes))
 
 
 def in_blocks(docs, blocks, id_col="doc_id", text_col="text"):

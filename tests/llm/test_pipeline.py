@@ -22,13 +22,14 @@ def test_stages_take_effect(spark, tmp_path):
     pick = random.Random(4)
     word = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "el", "ir", "os", "um")]
     prose = lambda n: " ".join(pick.choice(word) for _ in range(n))
-    docs = [(i, prose(60)) for i in range(120)]
+    some = lambda: pick.randint(40, 120)
+    docs = [(i, prose(some())) for i in range(120)]
     labels = [(i, 1, 0) for i in range(60)]
     for i in range(200, 260):
-        docs.append((i, " ".join(w + "###" for w in prose(60).split())))
+        docs.append((i, " ".join(w + "###" for w in prose(some()).split())))
         labels.append((i, 0, 0))
     for i in range(300, 360):
-        docs.append((i, prose(30) + " vile nasty " + prose(30)))
+        docs.append((i, prose(some() // 2) + " vile nasty " + prose(some() // 2)))
         labels.append((i, 1, 1))
     near = docs[0][1].split()
     near[30] = "other"

@@ -73,18 +73,24 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x, y, weight=None, penalty=1.0, steps=25):
-    """Logistic regression with an intercept (last weight), by Newton steps."""
+def fit(x, y, weight=None, penalty=1.0, steps=25, chunk=1_000):
+    """Logistic regression with an intercept (last weight), by Newton steps.
+
+    Rows are worked on in chunks, so that only a chunk is ever held as doubles.
+    """
     n, d = x.shape
-    x1 = np.hstack([x, np.ones((n, 1))])
     w = np.zeros(d + 1)
     weight = np.ones(n) if weight is None else weight
     ridge = np.full(d + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        p = sigmoid(x1 @ w)
-        gradient = x1.T @ (weight * (p - y)) + ridge * w
-        curve = (x1 * (weight * p * (1 - p))[:, None]).T @ x1 + np.diag(ridge)
+        gradient, curve = ridge * w, np.diag(ridge)
+        for low in range(0, n, chunk):
+            part = np.hstack([x[low : low + chunk].astype(np.float64), np.ones((min(chunk, n - low), 1))])
+            p = sigmoid(part @ w)
+            own = weight[low : low + chunk]
+            gradient += part.T @ (own * (p - y[low : low + chunk]))
+            curve += (part * (own * p * (1 - p))[:, None]).T @ part
         move = np.linalg.solve(curve, gradient)
         w -= move
         if np.abs(move).max() < 1e-6:
@@ -144,7 +150,7 @@ def choose_words(bags, y, most, least_docs):
 
 
 def matrix(bags, vocabulary):
-    x = np.zeros((len(bags), len(vocabulary)))
+    x = np.zeros((len(bags), len(vocabulary)), np.uint8)
     for i, bag in enumerate(bags):
         x[i, places(bag, vocabulary)] = 1
     return x
@@ -175,14 +181,16 @@ def co_train(bags, shapes, y, free_bags, free_shapes, rounds=ROUNDS, confident=C
         for view, (own, free) in rows.items():
             at = sorted(lent[view])
             x = np.vstack([own, free[at]])
-            target = np.r_[y[train], [lent[view][i] for i in at]]
+            target = np.r_[y[train], [lent[view][i] for i in at]].astype(float)
             # All lent rows together weigh at most as much as the labelled ones.
             weight = np.r_[np.ones(len(own)), np.full(len(at), min(1.0, len(own) / max(1, len(at))))]
             weights[view] = fit(x, target, weight, penalty=2.0 if view == "text" else 0.5)
         if turn == rounds or not len(free_bags):
             break
         for view, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(rows[view][1] @ weights[view][:-1] + weights[view][-1])
+            free = rows[view][1]
+            scores = [free[i : i + 1_000].astype(np.float64) @ weights[view][:-1] for i in range(0, len(free), 1_000)]
+            p = sigmoid(np.concatenate(scores) + weights[view][-1])
             for i in np.flatnonzero((p >= confident) | (p <= 1 - confident)).tolist():
                 lent[other][i] = float(p[i] >= 0.5)
     model.text, model.meta = weights["text"], weights["meta"]

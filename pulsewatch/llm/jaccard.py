@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pulsewatch.llm.common import block_count, block_rows, components, in_blocks, mixed, parallelism, read, stored
 from pulsewatch.llm.substrings import Words
 from pulsewatch.llm.superkmers import grams
+from pulsewatch.operators.sizing import fits_broadcast
 
 FREQUENT = 64
 SMALL_SET = 32
@@ -346,8 +347,10 @@ def keep_one(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE):
     judged = counted.join(best, "component")
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     name = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")]
-    # Losers and rows that stay once; both are few next to the documents.
+    # Losers and rows that stay once; where they are measured few, the documents do not move.
     out = stored(judged.where(~stays).select(*name, F.lit(False).alias("_once")).union(judged.where(stays & (F.col("n") > 1)).select(*name, F.lit(True).alias("_once"))), "judged")
+    if fits_broadcast(out):
+        out = F.broadcast(out)
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     same = keyed["doc_id"].cast("long").eqNullSafe(out["_id"]) & (keyed["_key"] == out["_text_key"])
     untouched = keyed.join(out, same, "left_anti")

@@ -4,8 +4,10 @@ A neighbour graph over the distinct directions starts from random hyperplane buc
 refined in rounds: at every vector, its neighbours and those that name it as theirs are
 compared with each other, and each keeps its best. A vector whose whole list is near enough
 to link (a saturated list) may have more such neighbours than the list holds; its list is
-enlarged to the component it is linked into, which is compared in full, in tiles. Recall is
-audited against a comparison of fixed query vectors with all others.
+enlarged to the component it is linked into, which is compared in full, in tiles. Components
+with such lists are compared with each other too, as far as their pivots and radii let any two
+of their vectors link. Recall is audited against a comparison of fixed query vectors with all
+others.
 """
 
 import math
@@ -26,6 +28,8 @@ SETTLED = 0.002
 AUDIT_EVERY = 50
 LEAST_RECALL = 0.9
 TILE = 1_024
+PIVOTS = 4_096
+SLACK = 1e-6
 SEED = 20240229
 
 
@@ -320,11 +324,114 @@ def linked(graph, nodes, threshold):
     """The links within the components that the graph's near entries make, each compared in full."""
     edges = graph.select(F.col("node").alias("src"), F.explode(F.arrays_zip("near", "cosine")).alias("e"))
     # A hair below the threshold still binds a component; the links themselves are exact.
-    edges = edges.where(F.col("e.cosine") >= threshold - 1e-6).select("src", F.col("e.near").alias("dst"))
+    edges = edges.where(F.col("e.cosine") >= threshold - SLACK).select("src", F.col("e.near").alias("dst"))
     groups = components(edges, "near").select("node", F.col("component").alias("group"))
+    bridges = stored(outer_edges(graph, nodes, groups, threshold), "bridges")
+    if not bridges.isEmpty():
+        groups = components(edges.union(bridges), "near").select("node", F.col("component").alias("group"))
     return stored(tiled_links(nodes, groups, threshold), "links")
 
 
+def outer_edges(graph, nodes, groups, threshold, tile=TILE):
+    """Edges (src, dst) that join the components of saturated lists wherever two of their vectors link.
+
+    A list that ends above the threshold may end before its links do, and a vector without a
+    list was never compared. The components of such vectors are cut into pieces of about `tile`,
+    each with a pivot and the angle to its farthest vector. Two pieces can link only if their
+    pivots are no farther apart than both radii and the angle of the threshold; all those are
+    compared in full.
+    """
+    open_ = F.col("least").isNull() | (F.col("least") >= threshold - SLACK)
+    least = graph.select("node", F.array_min("cosine").alias("least"))
+    member = nodes.select("node").join(groups, "node", "left").join(least, "node", "left")
+    member = member.select("node", F.coalesce("group", "node").alias("group"), open_.alias("open"))
+    size = member.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.max("open").alias("open")).where("open").drop("open")
+    cut = member.drop("open").join(size, "group").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / tile)))
+    cut = cut.select("node", "group", F.xxhash64("group", "part").alias("piece"))
+    cut = stored(cut.join(nodes.select("node", "unit", "dim"), "node"), "pieces")
+    if cut.select("group").distinct().limit(2).count() < 2:
+        return cut.sparkSession.createDataFrame([], "src long, dst long")
+    pairs = stored(near_pieces(stored(cut.groupBy("piece").applyInArrow(pivot_of, PIVOT), "pivots"), threshold), "pairs")
+    sizes = cut.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("piece"))
+    total = ends.join(sizes, "piece").agg(F.sum("n")).first()[0] or 0
+    tasks = max(8 * parallelism(nodes.sparkSession), math.ceil(total / (4 * tile)))
+    met = ends.join(cut.select("piece", "node", "unit"), "piece").withColumn("task", F.pmod(F.xxhash64("a", "b"), F.lit(tasks)))
+
+    def compare(table):
+        cols = {c: table.column(c).to_pylist() for c in ("a", "b", "piece", "node")}
+        units = matrix_rows(table.column("unit"))
+        of = {}
+        for i, pair in enumerate(zip(cols["a"], cols["b"])):
+            of.setdefault(pair, []).append(i)
+        out = []
+        for (a, b), own in of.items():
+            left, right = ([i for i in own if cols["piece"][i] == x] for x in (a, b))
+            hit = np.stack([units[i] for i in left]) @ np.stack([units[i] for i in right]).T >= threshold - SLACK
+            if hit.any():
+                i, j = np.unravel_index(np.argmax(hit), hit.shape)
+                out.append((cols["node"][left[i]], cols["node"][right[j]]))
+        columns = list(zip(*out)) if out else [[], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["src", "dst"])
+
+    return met.groupBy("task").applyInArrow(compare, "src long, dst long")
+
+
+PIVOT = "piece long, group long, dim int, pivot array<double>, radius double"
+
+
+def matrix_rows(column):
+    """Lists of doubles, of any lengths, as one array each."""
+    return [x.values.to_numpy() for x in column.combine_chunks()]
+
+
+def angles(cosines):
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def pivot_of(table):
+    """The direction of a piece's mean, and the angle to its farthest vector."""
+    own = matrix(table.column("unit"))
+    pivot = own.mean(0)
+    length = np.sqrt(pivot @ pivot)
+    pivot = pivot / length if length > 1e-6 else own[0]
+    kinds = pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64()
+    row = table.column("piece")[0].as_py(), table.column("group")[0].as_py(), own.shape[1], pivot.tolist(), float(angles(own @ pivot).max())
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds)], names=["piece", "group", "dim", "pivot", "radius"])
+
+
+def near_pieces(pivots, threshold, block=PIVOTS):
+    """Pairs (a, b) of pieces of different components whose vectors might link, compared in blocks."""
+    blocks = max(1, math.ceil(pivots.count() / block))
+    cut = pivots.withColumn("own", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    reach = float(angles(threshold - SLACK)) + SLACK
+
+    def compare(key, table):
+        low, high = (k.as_py() for k in key)
+        names, groups, own, dims = (np.array(table.column(c).to_pylist()) for c in ("piece", "group", "own", "dim"))
+        radius = table.column("radius").to_numpy()
+        out = [np.zeros((0, 2), np.int64)]
+        for d in np.unique(dims):
+            left, right = (np.flatnonzero((dims == d) & (own == side)) for side in (low, high))
+            if not len(left) or not len(right):
+                continue
+            there = matrix(table.column("pivot").take(pa.array(right)))
+            for at in range(0, len(left), 512):
+                some = left[at : at + 512]
+                gap = angles(matrix(table.column("pivot").take(pa.array(some))) @ there.T)
+                hit = (gap <= radius[some][:, None] + radius[right][None, :] + reach) & (groups[some][:, None] != groups[right][None, :])
+                i, j = np.nonzero(hit)
+                found = np.stack([names[some[i]], names[right[j]]], 1)
+                # Within one block each pair shows up twice.
+                out.append(found[found[:, 0] < found[:, 1]] if low == high else found)
+        found = np.concatenate(out)
+        return pa.table([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["a", "b"])
+
+    cut = cut.withColumn("low", F.least("own", F.col("with").cast("long"))).withColumn("high", F.greatest("own", F.col("with").cast("long")))
+    return cut.drop("with").groupBy("low", "high").applyInArrow(compare, "a long, b long")
+
+
 def recall(nodes, found, threshold=THRESHOLD, every=AUDIT_EVERY, most=TILE):
     """The share of links found of query vectors, by a comparison of them with all vectors.
 

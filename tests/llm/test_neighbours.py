@@ -66,3 +66,27 @@ def test_finds_the_links_of_brute_force(spark, monkeypatch, seed, k, tile):
 def test_no_and_one_vector(spark):
     assert neighbours.near_duplicates(frame(spark, []).limit(0)).collect() == []
     assert list(map(tuple, neighbours.near_duplicates(frame(spark, [(5, [1.0, 0.0])])).collect())) == [(5, 0, 5, True)]
+
+
+def tight_groups(dim=64):
+    """Two groups of 40 with cosines of 0.96 to 0.97 between them and more within, and a hot group."""
+    pick = np.random.default_rng(11)
+    turn = np.linalg.qr(pick.standard_normal((dim, dim)))[0]
+    near = lambda base, n: [(base + 0.001 * pick.standard_normal(dim)).tolist() for _ in range(n)]
+    tilt = math.acos(0.965)
+    out = near(turn[0], 40) + near(math.cos(tilt) * turn[0] + math.sin(tilt) * turn[1], 40) + near(turn[2], 400)
+    return list(enumerate(out + near(-turn[2], 30)))
+
+
+def test_saturated_lists_reach_other_components(spark):
+    rows = tight_groups()
+    found = neighbours.near_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 0.95)
+
+
+def test_pieces_and_blocks_of_pivots_reach_other_components(spark, monkeypatch):
+    monkeypatch.setattr(neighbours.outer_edges, "__defaults__", (16,))
+    monkeypatch.setattr(neighbours.near_pieces, "__defaults__", (8,))
+    rows = tight_groups()
+    found = neighbours.near_duplicates(frame(spark, rows))
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 0.95)

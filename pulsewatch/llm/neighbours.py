@@ -29,6 +29,7 @@ AUDIT_EVERY = 50
 LEAST_RECALL = 0.9
 TILE = 1_024
 PIVOTS = 4_096
+QUERIES = 4_096
 SLACK = 1e-6
 SEED = 20240229
 
@@ -292,7 +293,9 @@ def near_duplicates(frame, threshold=THRESHOLD, k=LIST, trees=TREES, rounds=ROUN
     trees are doubled and the search starts again.
     """
     rows = stored(unit_vectors(frame, id_col, vector_col), "units")
-    same = rows.where("unit is not null").groupBy("unit", "dim").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    same = rows.where("unit is not null").groupBy("unit", "dim").agg(
+        F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.coalesce(F.max(F.col("vec_id") % AUDIT_EVERY == 0), F.lit(False)).alias("asked")
+    )
     nodes = stored(same.withColumn("node", F.xxhash64("unit")), "nodes")
     count = nodes.count()
     found = frame.sparkSession.createDataFrame([], "src long, dst long, links long")
@@ -432,35 +435,54 @@ def near_pieces(pivots, threshold, block=PIVOTS):
     return cut.drop("with").groupBy("low", "high").applyInArrow(compare, "a long, b long")
 
 
-def recall(nodes, found, threshold=THRESHOLD, every=AUDIT_EVERY, most=TILE):
-    """The share of links found of query vectors, by a comparison of them with all vectors.
+def recall(nodes, found, threshold=THRESHOLD, every=AUDIT_EVERY, block=QUERIES):
+    """The share of its links found of a query vector, on average over those that have links.
 
-    Queries are vectors whose id is divisible by `every`, at most `most` of them by hash.
+    Queries are all vectors of rows whose id is divisible by `every`; if there is none, those
+    whose hash is, and if there is none either, all vectors. Blocks of about `block` queries
+    are compared with all vectors in turn.
     """
-    asked = nodes.where(F.col("least") % every == 0).orderBy(F.xxhash64("node")).limit(most).select("node", "unit", "dim").collect()
-    if not asked:
-        return 1.0
-    ids, dims = [q["node"] for q in asked], np.array([q["dim"] for q in asked])
-    by_dim = {int(d): (np.flatnonzero(dims == d), np.array([q["unit"] for q in asked if q["dim"] == d])) for d in np.unique(dims)}
+    by_hash = F.pmod(F.xxhash64("node"), F.lit(every)) == 0
+    for some in (F.col("asked"), by_hash, F.lit(True)):
+        asked = nodes.where(some)
+        count = asked.count()
+        if count:
+            break
+    blocks = max(1, math.ceil(count / block))
+    links = found.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
+    share, queries = 0.0, 0
+    for number in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(blocks)) == number)
+        true = true_links(nodes, own, threshold).join(links, "node", "left").where(F.col("true") > 0)
+        sums = true.agg(F.sum(F.coalesce("links", F.lit(0)) / F.col("true")).alias("share"), F.count(F.lit(1)).alias("n")).first()
+        share, queries = share + (sums["share"] or 0.0), queries + sums["n"]
+    return share / queries if queries else 1.0
+
+
+def true_links(nodes, asked, threshold):
+    """(node, true) of query vectors few enough for the driver: their links to all other vectors."""
+    table = asked.select("node", "unit", "dim").toArrow()
+    ids, dims = table.column("node").to_numpy(), table.column("dim").to_numpy()
+    by_dim = {int(d): (np.flatnonzero(dims == d), matrix(table.filter(pa.array(dims == d)).column("unit"))) for d in np.unique(dims)}
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, by_dim))
 
     def count(batches):
+        ids, by_dim = shared.value
+        n = np.zeros(len(ids), np.int64)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            own_dims = np.array(table.column("dim").to_pylist())
-            n = np.zeros(len(ids), np.int64)
+            rows = pa.Table.from_batches([batch])
+            own_dims = np.array(rows.column("dim").to_pylist())
             for d, (at, units) in by_dim.items():
-                own = table.filter(pa.array(own_dims == d))
-                if own.num_rows:
-                    hit = units @ matrix(own.column("unit")).T >= threshold
-                    n[at] += hit @ np.array(own.column("copies").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], ["node", "true"])
+                own = rows.filter(pa.array(own_dims == d))
+                for low in range(0, own.num_rows, TILE):
+                    some = own.slice(low, TILE)
+                    hit = units @ matrix(some.column("unit")).T >= threshold
+                    n[at] += hit @ np.array(some.column("copies").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], ["node", "true"])
 
     true = nodes.select("unit", "dim", "copies").mapInArrow(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
     # A query meets its own node, copies included, which is no link to another node.
-    true = true.join(nodes.select("node", "copies"), "node").select("node", (F.col("true") - F.col("copies")).alias("true"))
-    links = found.groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
-    sums = true.join(links, "node", "left").agg(F.sum("links").alias("found"), F.sum("true").alias("true")).first()
-    return (sums["found"] or 0) / sums["true"] if sums["true"] else 1.0
+    return true.join(nodes.select("node", "copies"), "node").select("node", (F.col("true") - F.col("copies")).alias("true"))
 
 
 def op4_embedding_near_dedup(spark, sf_dir):

@@ -90,3 +90,33 @@ def test_pieces_and_blocks_of_pivots_reach_other_components(spark, monkeypatch):
     rows = tight_groups()
     found = neighbours.near_duplicates(frame(spark, rows))
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 0.95)
+
+
+@pytest.mark.parametrize("step", [1, 50])
+def test_audit_counts_every_query_alike(spark, step):
+    """A hot group found in full hides no small ones; without an id to ask others are asked."""
+    pick = np.random.default_rng(5)
+    rows = [np.eye(32)[0] + 0.001 * pick.standard_normal(32) for _ in range(60)]
+    for axis in range(1, 31):
+        rows += [np.eye(32)[axis] + 0.001 * pick.standard_normal(32) for _ in range(2)]
+    units = [(r / np.linalg.norm(r)).tolist() for r in rows]
+    # Ids are 50, 100, ... or none that 50 divides.
+    ids = [(i + 1) * 50 + (0 if step == 50 else 1) for i in range(len(units))]
+    nodes = spark.createDataFrame(
+        [(i, u, 32, n, 1, n % 50 == 0) for i, (u, n) in enumerate(zip(units, ids))], "node long, unit array<double>, dim int, least long, copies long, asked boolean"
+    )
+    hot = [(i, (i + 1) % 60, 59) for i in range(60)]
+    found = spark.createDataFrame(hot, "src long, dst long, links long")
+    assert neighbours.recall(nodes, found) < 0.9
+
+
+def test_audit_asks_all_rows_in_blocks(spark):
+    """More queries than one block: the share is over all of them."""
+    pick = np.random.default_rng(6)
+    units = [v / np.linalg.norm(v) for v in pick.standard_normal((40, 32))]
+    units = [u.tolist() for v in units for u in (v, (v + 1e-4) / np.linalg.norm(v + 1e-4))]
+    nodes = spark.createDataFrame(
+        [(i, u, 32, i * 50, 1, True) for i, u in enumerate(units)], "node long, unit array<double>, dim int, least long, copies long, asked boolean"
+    )
+    found = spark.createDataFrame([(i, i ^ 1, 1) for i in range(40)], "src long, dst long, links long")
+    assert neighbours.recall(nodes, found, block=16) == pytest.approx(0.5)

@@ -2,8 +2,9 @@
 
 For each target (quality, toxic) two logistic classifiers see disjoint views: the words of
 the text, and metadata (language, source, size and shape of the page). Both are fitted on
-a bounded sample of labelled documents. In rounds, each names unlabelled documents it is
-sure of, and these join the other's training rows. Last, a small logistic model fitted on
+a bounded sample of labelled documents. In rounds, each names the unlabelled documents it is
+sure of, among all there are, and these join the other's training rows: they are scored where
+they lie, and only sums of gradients and curvatures come to the driver. Last, a small logistic model fitted on
 labelled rows that were held back turns both scores into one calibrated probability.
 """
 
@@ -14,10 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsewatch.llm.common import read
+from pulsewatch.llm.common import read, stored
 
 LABELLED = 8_000
-UNLABELLED = 8_000
 ROUNDS = 3
 CONFIDENT = 0.98
 WORDS = 500
@@ -25,6 +25,9 @@ LEAST_DOCS = 5
 STEM = 5
 HELD_BACK = 4
 TARGETS = ("quality", "toxic")
+PENALTY = {"text": 2.0, "meta": 0.5}
+STEPS = 25
+STRIP = 32_768
 
 LETTERS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 SOURCES, LANGS = 16, 8
@@ -156,8 +159,92 @@ def matrix(bags, vocabulary):
     return x
 
 
-def co_train(bags, shapes, y, free_bags, free_shapes, rounds=ROUNDS, confident=CONFIDENT, most_words=WORDS, least_docs=LEAST_DOCS):
-    """A `Target` from labelled and unlabelled rows; without rows of both classes it knows nothing."""
+@dataclass
+class Ask:
+    """What a learner wants summed over unlabelled rows: earlier rounds' weights, and those to judge."""
+
+    model: Target
+    past: list
+    weights: dict
+    confident: float
+
+
+def lent_labels(x, past, confident):
+    """{view: labels} that the other view has lent it, of the latest round that was sure; NaN without one."""
+    out = {view: np.full(len(x[view]), np.nan) for view in x}
+    for weights in past:
+        for view, other in (("text", "meta"), ("meta", "text")):
+            p = sigmoid(x[view] @ weights[view][:-1] + weights[view][-1])
+            sure = (p >= confident) | (p <= 1 - confident)
+            out[other][sure] = p[sure] >= 0.5
+    return out
+
+
+def sums(x, y, w, chunk=1_000):
+    """Rows, loss, gradient and curvature of a logistic regression at `w`, in one flat array."""
+    d = len(w)
+    out = np.zeros(2 + d + d * d)
+    for low in range(0, len(x), chunk):
+        part = np.hstack([x[low : low + chunk].astype(np.float64), np.ones((min(chunk, len(x) - low), 1))])
+        own, z = y[low : low + chunk], part @ w
+        p = sigmoid(z)
+        out[0] += len(own)
+        out[1] += (np.logaddexp(0, z) - own * z).sum()
+        out[2 : 2 + d] += part.T @ (p - own)
+        out[2 + d :] += ((part * (p * (1 - p))[:, None]).T @ part).ravel()
+    return out
+
+
+def lent_sums(ask, places_of, shapes, chunk=1_000):
+    """{view: sums} over the rows among these that the other view has lent."""
+    out = {view: np.zeros(2 + len(w) + len(w) ** 2) for view, w in ask.weights.items()}
+    for low in range(0, len(shapes), chunk):
+        own = places_of[low : low + chunk]
+        text = np.zeros((len(own), len(ask.model.vocabulary)))
+        for i, at in enumerate(own):
+            text[i, at] = 1
+        x = {"text": text, "meta": (shapes[low : low + chunk] - ask.model.centre) / ask.model.spread}
+        labels = lent_labels(x, ask.past, ask.confident)
+        for view, w in ask.weights.items():
+            told = ~np.isnan(labels[view])
+            if told.any():
+                out[view] += sums(x[view][told], labels[view][told], w)
+    return out
+
+
+def refit(own, y, model, past, confident):
+    """Weights of both views on labelled and lent rows, by Newton steps from the last round's.
+
+    All lent rows together weigh at most as much as the labelled ones. A step that makes the
+    loss worse is halved.
+    """
+    weights, last, todo = dict(past[-1]), {}, {"text", "meta"}
+    for _ in range(STEPS):
+        found = yield Ask(model, past, {view: weights[view] for view in sorted(todo)}, confident)
+        for view in sorted(todo):
+            w, lent = weights[view], found[view]
+            d = len(w)
+            ridge = np.full(d, PENALTY[view])
+            ridge[-1] = 1e-3
+            total = sums(own[view], y, w) + min(1.0, len(y) / max(1.0, lent[0])) * lent
+            loss = total[1] + ridge @ (w * w) / 2
+            if view in last and loss > last[view][0] + 1e-9 * abs(loss):
+                weights[view] = (w + last[view][1]) / 2
+                continue
+            move = np.linalg.solve(total[2 + d :].reshape(d, d) + np.diag(ridge), total[2 : 2 + d] + ridge * w)
+            last[view], weights[view] = (loss, w), w - move
+            if np.abs(move).max() < 1e-6:
+                todo.discard(view)
+        if not todo:
+            break
+    return weights
+
+
+def learn(bags, shapes, y, rounds=ROUNDS, confident=CONFIDENT, most_words=WORDS, least_docs=LEAST_DOCS):
+    """A `Target` from labelled rows; without rows of both classes it knows nothing.
+
+    A generator: it yields an `Ask` for each sum over the unlabelled rows, and is sent it.
+    """
     model = Target()
     y = np.asarray(y, float)
     if len(y) < 2 * HELD_BACK or y.min() == y.max():
@@ -171,35 +258,87 @@ def co_train(bags, shapes, y, free_bags, free_shapes, rounds=ROUNDS, confident=C
         held = np.zeros(len(y), bool)
     train = np.flatnonzero(~held)
     model.vocabulary = choose_words([bags[i] for i in train], y[train], most_words, least_docs)
-    x_text, free_text = matrix(bags, model.vocabulary), matrix(free_bags, model.vocabulary)
     model.centre, model.spread = shapes[train].mean(0), shapes[train].std(0) + 1e-6
-    x_meta, free_meta = (shapes - model.centre) / model.spread, (free_shapes - model.centre) / model.spread
-    rows = {"text": (x_text[train], free_text), "meta": (x_meta[train], free_meta)}
-    lent = {"text": {}, "meta": {}}
-    for turn in range(rounds + 1):
-        weights = {}
-        for view, (own, free) in rows.items():
-            at = sorted(lent[view])
-            x = np.vstack([own, free[at]])
-            target = np.r_[y[train], [lent[view][i] for i in at]].astype(float)
-            # All lent rows together weigh at most as much as the labelled ones.
-            weight = np.r_[np.ones(len(own)), np.full(len(at), min(1.0, len(own) / max(1, len(at))))]
-            weights[view] = fit(x, target, weight, penalty=2.0 if view == "text" else 0.5)
-        if turn == rounds or not len(free_bags):
-            break
-        for view, other in (("text", "meta"), ("meta", "text")):
-            free = rows[view][1]
-            scores = [free[i : i + 1_000].astype(np.float64) @ weights[view][:-1] for i in range(0, len(free), 1_000)]
-            p = sigmoid(np.concatenate(scores) + weights[view][-1])
-            for i in np.flatnonzero((p >= confident) | (p <= 1 - confident)).tolist():
-                lent[other][i] = float(p[i] >= 0.5)
-    model.text, model.meta = weights["text"], weights["meta"]
+    own = {"text": matrix([bags[i] for i in train], model.vocabulary), "meta": (shapes[train] - model.centre) / model.spread}
+    past = [{view: fit(own[view], y[train], penalty=PENALTY[view]) for view in own}]
+    for _ in range(rounds):
+        past.append((yield from refit(own, y[train], model, list(past), confident)))
+    model.text, model.meta = past[-1]["text"], past[-1]["meta"]
     judge = np.flatnonzero(held) if held.any() else train
     scores = np.stack([model.text_scores([bags[i] for i in judge]), model.meta_scores(shapes[judge])], 1)
     model.joint = fit(np.clip(scores, -20, 20), y[judge], penalty=0.01)
     return model
 
 
+def co_train(bags, shapes, y, free_bags, free_shapes, **options):
+    """`learn` with unlabelled rows in memory."""
+    learner, answer = learn(bags, shapes, y, **options), None
+    while True:
+        try:
+            ask = learner.send(answer)
+        except StopIteration as done:
+            return done.value
+        answer = lent_sums(ask, [places(b, ask.model.vocabulary) for b in free_bags], free_shapes)
+
+
+def placed(free, vocabularies):
+    """Unlabelled rows with, for each target, where its vocabulary has their words."""
+    free = free.select("doc_id", "_t", "_l", "_s")
+    names = ["doc_id", *vocabularies, "shape"]
+
+    def run(batches):
+        for batch in batches:
+            texts, langs, sources = (batch.column(1 + i).to_pylist() for i in range(3))
+            raw = [(t or "").encode() for t in texts]
+            bags = [words(t) for t in raw]
+            at = [pa.array([places(b, v).astype(np.int32) for b in bags], pa.list_(pa.int32())) for v in vocabularies.values()]
+            shapes = pa.array([shape(t, a, s) for t, a, s in zip(raw, langs, sources)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *at, shapes], names)
+
+    kinds = ", ".join(f"{t} array<int>" for t in vocabularies)
+    return free.mapInArrow(run, f"doc_id long, {kinds}, shape array<double>")
+
+
+def summed(free, asks):
+    """{target: {view: sums}} over all unlabelled rows.
+
+    Each task adds up its rows; strips of the sums are added up over tasks, so that the driver
+    gets one array a target and view, however many rows and tasks there are.
+    """
+    shared = free.sparkSession.sparkContext.broadcast(asks)
+    keys = [(t, view) for t, ask in asks.items() for view in ask.weights]
+
+    def run(batches):
+        own = shared.value
+        total = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shapes = np.array(batch.column("shape").to_pylist(), float)
+            for t, ask in own.items():
+                at = batch.column(t)
+                places_of = [x.values.to_numpy() for x in at]
+                for view, x in lent_sums(ask, places_of, shapes).items():
+                    total[t, view] = total.get((t, view), 0) + x
+        rows = [(keys.index(k), low, x[low : low + STRIP].tobytes()) for k, x in total.items() for low in range(0, len(x), STRIP)]
+        columns = list(zip(*rows)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["key", "low", "part"])
+
+    def add(table):
+        part = sum(np.frombuffer(x) for x in table.column("part").to_pylist())
+        return pa.table({"key": table.column("key")[:1], "low": table.column("low")[:1], "part": pa.array([part.tobytes()], pa.binary())})
+
+    strips = free.select(*asks, "shape").mapInArrow(run, "key long, low long, part binary")
+    found = strips.groupBy("key", "low").applyInArrow(add, "key long, low long, part binary").collect()
+    out = {t: {view: np.zeros(2 + len(w) + len(w) ** 2) for view, w in ask.weights.items()} for t, ask in asks.items()}
+    for r in found:
+        t, view = keys[r["key"]]
+        part = np.frombuffer(r["part"])
+        out[t][view][r["low"] : r["low"] + len(part)] = part
+    shared.destroy()
+    return out
+
+
 def features(docs, text_col, lang_col, source_col, extra):
     """Words and shapes of some documents, as columns next to `extra`."""
     names = [F.col(c) for c in extra]
@@ -241,11 +380,11 @@ def first_by_hash(ids, n):
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def train(docs, labels, labelled=LABELLED, unlabelled=UNLABELLED, rounds=ROUNDS, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", **options):
+def train(docs, labels, labelled=LABELLED, rounds=ROUNDS, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", **options):
     """{target: model} from documents and labels (doc_id, quality, toxic).
 
-    At most `labelled` labelled and `unlabelled` other documents, chosen by the hash of
-    their id, come to the driver as features. Where an id has several labels, the least
+    At most `labelled` labelled documents, chosen by the hash of their id, come to the driver
+    as features. All others with an id can lend labels; of them only sums come. Where an id has several labels, the least
     quality and the most toxic one count; null labels do not.
     """
     told = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -254,19 +393,34 @@ def train(docs, labels, labelled=LABELLED, unlabelled=UNLABELLED, rounds=ROUNDS,
     ids = named.select("doc_id").where("doc_id is not null")
     with_text = told.join(ids.distinct(), "doc_id", "left_semi")
     some = features(named.join(F.broadcast(first_by_hash(with_text, labelled)), "doc_id"), text_col, lang_col, source_col, ["doc_id", *TARGETS])
-    free_ids = ids.distinct().join(told, "doc_id", "left_anti")
-    free = features(named.join(F.broadcast(first_by_hash(free_ids, unlabelled)), "doc_id", "left_semi"), text_col, lang_col, source_col, ["doc_id"])
-    rows, others = (arrays(x.toArrow(), extra) for x, extra in ((some, ["doc_id", *TARGETS]), (free, ["doc_id"])))
+    rows = arrays(some.toArrow(), ["doc_id", *TARGETS])
     width = len(shape(b"", None, None))
 
     def view(own):
         return [r["bag"] for r in own], np.array([r["shape"] for r in own], float).reshape(len(own), width)
 
-    out = {}
+    learners, asks, out = {}, {}, {}
+
+    def go_on(target, answer):
+        try:
+            asks[target] = learners[target].send(answer)
+        except StopIteration as done:
+            asks.pop(target, None)
+            out[target] = done.value
+
     for target in TARGETS:
         own = [r for r in rows if r[target] is not None]
         bags, shapes = view(own)
-        out[target] = co_train(bags, shapes, [float(r[target] > 0) for r in own], *view(others), rounds=rounds, **options)
+        learners[target] = learn(bags, shapes, [float(r[target] > 0) for r in own], rounds=rounds, **options)
+        go_on(target, None)
+    if asks:
+        all_rows = named.where("doc_id is not null").select("doc_id", *columns_of(named, text_col, lang_col, source_col))
+        places_of = placed(all_rows, {t: ask.model.vocabulary for t, ask in asks.items()})
+        free = stored(places_of.join(told.select("doc_id"), "doc_id", "left_anti"), "unlabelled")
+        while asks:
+            answers = summed(free, dict(asks))
+            for target, answer in answers.items():
+                go_on(target, answer)
     return out
 
 

@@ -75,3 +75,30 @@ def test_fit_reaches_a_flat_gradient(seed):
     x1 = np.hstack([x, np.ones((60, 1))])
     slope = x1.T @ (quality.sigmoid(x1 @ w) - y) + np.r_[np.ones(4), 1e-3] * w
     assert np.abs(slope).max() < 1e-4
+
+
+def test_every_unlabelled_document_lends(spark, monkeypatch):
+    """The sums over the unlabelled documents cover all of them, labelled ones and null ids left out."""
+    docs, labels = corpus(4, 300)
+    seen = []
+    plain = quality.summed
+    monkeypatch.setattr(quality, "summed", lambda free, asks: seen.append(free.count()) or plain(free, asks))
+    told = spark.createDataFrame(labels[:100], LABELS)
+    models = quality.train(frame(spark, [*docs, (None, "a b")]), told, confident=0.5)
+    assert set(seen) == {200} and all(m.joint is not None for m in models.values())
+
+
+def test_sums_over_tasks_are_those_in_memory(spark):
+    docs, labels = corpus(5, 300)
+    told = spark.createDataFrame(labels[:100], LABELS)
+    models = quality.train(frame(spark, docs).repartition(7), told)
+    bags = [quality.words(t.encode()) for _, t in docs]
+    shapes = np.array([quality.shape(t.encode(), None, None) for _, t in docs])
+    have = frame(spark, docs).columns
+    if {"lang", "source"} & set(have):
+        rows = {r["doc_id"]: r.asDict() for r in frame(spark, docs).collect()}
+        shapes = np.array([quality.shape(t.encode(), rows[i].get("lang"), rows[i].get("source")) for i, t in docs])
+    y = [float(q) for _, q, _ in labels[:100]]
+    order = sorted(range(100), key=lambda i: (docs[i][0], shapes[i].tolist(), bags[i].tobytes()))
+    want = quality.co_train([bags[i] for i in order], shapes[order], [y[i] for i in order], bags[100:], shapes[100:])
+    assert np.allclose(models["quality"].text, want.text, atol=1e-5) and np.allclose(models["quality"].joint, want.joint, atol=1e-4)

@@ -1,6 +1,6 @@
 """The registered queries of the dealt operators and their SQL, where SQL can say it."""
 
-from pulsewatch.llm import chats, decontaminate, jaccard, neighbours, pieces, quality, secrets, sharding, substrings, suffixes
+from pulsewatch.llm import chats, decontaminate, jaccard, neighbours, pieces, quality, secrets, sharding, substrings, suffixes, trie
 
 QUERIES = {
     "op1_chat_formatting": chats.op1_chat_formatting,
@@ -13,6 +13,10 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_prefix_trie": trie.op11_prefix_trie,
 }
 
-ORACLES = {"op1_chat_formatting": chats.ORACLE}
+ORACLES = {
+    "op1_chat_formatting": chats.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+}

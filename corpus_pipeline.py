@@ -4,8 +4,6 @@ Each stage takes (spark, docs, sf_dir) and returns a table. All but the last ret
 columns of documents; each works on all rows its predecessor kept.
 """
 
-import pyarrow as pa
-
 from pulsewatch.llm import decontaminate, jaccard, pieces, quality, secrets
 from pulsewatch.llm.common import read
 from pulsewatch.session import run_dir
@@ -34,22 +32,7 @@ def decontamination_stage(spark, docs, sf_dir):
 
 def secret_stage(spark, docs, sf_dir):
     """All documents, found secrets replaced by a mark; n_chars counts the new text where it changed."""
-    text_at = docs.columns.index("text")
-    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def run(batches):
-        for batch in batches:
-            old = batch.column(text_at).to_pylist()
-            new = [secrets.redact(t) for t in old]
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
-            if chars_at is not None:
-                chars = batch.column(chars_at).to_pylist()
-                counted = [c if a == b else len(b) for c, a, b in zip(chars, old, new)]
-                columns[chars_at] = pa.array(counted, batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+    return secrets.redact_documents(docs)
 
 
 def encoding_stage(spark, docs, sf_dir):

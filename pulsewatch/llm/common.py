@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pulsewatch.session import run_dir
@@ -43,6 +45,16 @@ def stored(df, label):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark, value):
+    """A broadcast of `value` together with the code of its classes: workers may lack this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared):
+    """In a task: the value of a `shipped` broadcast."""
+    return pickle.loads(shared.value)
+
+
 def texts_of(column):
     """The texts of an Arrow string column as UTF-8 bytes; null gives none."""
     return [b"" if x is None else x.encode() if isinstance(x, str) else x for x in column.to_pylist()]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsewatch.llm.common import mixed, read
+from pulsewatch.llm.common import mixed, read, received, shipped
 from pulsewatch.llm.superkmers import BASE, INVERSE, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -351,10 +351,11 @@ def encode(docs, model=MODEL, id_col="doc_id", text_col="text"):
     `model` is a path the driver reads; the pieces, of which there is a fixed number, are
     broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = shipped(docs.sparkSession, load(model))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        known = received(shared)
+        encoder = Encoder(known)
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in batches_of(all_texts, BATCH_CHARS):
@@ -362,7 +363,7 @@ def encode(docs, model=MODEL, id_col="doc_id", text_col="text"):
                 flat, sizes = encoder.encode(texts)
                 ends = np.cumsum(sizes)
                 values = flat.tolist()
-                same = [t is None or decode_ids(shared.value, values[e - s : e]) == t for t, e, s in zip(texts, ends.tolist(), sizes.tolist())]
+                same = [t is None or decode_ids(known, values[e - s : e]) == t for t, e, s in zip(texts, ends.tolist(), sizes.tolist())]
                 none = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int32()), mask=none)
                 yield pa.RecordBatch.from_arrays(
@@ -376,11 +377,12 @@ def encode(docs, model=MODEL, id_col="doc_id", text_col="text"):
 
 def decode(encoded, model=MODEL, id_col="doc_id", ids_col="ids"):
     """doc_id and text of every row of ids; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(model))
+    shared = shipped(encoded.sparkSession, load(model))
 
     def run(batches):
+        known = received(shared)
         for batch in batches:
-            texts = [None if x is None else decode_ids(shared.value, x) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else decode_ids(known, x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))

@@ -3,7 +3,6 @@
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +26,27 @@ WINDOW = 20
 CLASSES = {
     "entropy_hex": (rb"[0-9a-fA-F]", 3.0),
     "entropy_base64": (rb"[A-Za-z0-9+/=]", 3.9),
+    "entropy_lower": (rb"[a-z0-9]", 3.4),
+    "entropy_token": (rb"[A-Za-z0-9_-]", 3.9),
 }
-#: Candidates that are no secrets: no digit or no letter in them, counting rows of
-#: characters, and marked examples.
-ALLOWED = (rb"[^0-9]+", rb"[^A-Za-z]+", rb"(?i).*(?:example|abcdefgh|01234567|12345678).*")
+#: Spans that are no secrets: no digit or no letter in them.
+ALLOWED = (rb"[^0-9]+", rb"[^A-Za-z]+")
+#: Parts of a run, between slashes, that are no secrets: counting rows of characters and marked
+#: examples. What stands before and behind them is judged on its own.
+MARKED = rb"(?i)(?:^|/)[^/]*(?:example|abcdefgh|01234567|12345678)[^/]*"
 
 
-@lru_cache(None)
-def base_patterns():
-    return (
-        re.compile(ASSIGN, re.IGNORECASE),
-        re.compile(ACCESS.replace(b"+", b"{%d,}" % (ACCESS_LENGTH - 4))),
-        re.compile(HEX.replace(b"+", b"{%d,}" % HEX_LENGTH)),
-    )
+BASE_PATTERNS = (
+    re.compile(ASSIGN, re.IGNORECASE),
+    re.compile(ACCESS.replace(b"+", b"{%d,}" % (ACCESS_LENGTH - 4))),
+    re.compile(HEX.replace(b"+", b"{%d,}" % HEX_LENGTH)),
+)
 
 
 def base_spans(text):
     """(kind, start, end) in bytes. A run of one character class is matched whole or not at
     all, so a least length in its pattern drops just the runs that are too short."""
-    assign, access, hexes = base_patterns()
+    assign, access, hexes = BASE_PATTERNS
     out = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
@@ -83,22 +84,27 @@ def high_windows(candidate, window, bits):
     return out
 
 
-@lru_cache(None)
-def candidate_patterns(window, classes, allowed):
-    # The window of one class lies within a run of that class.
-    return [(kind, re.compile(rb"%s{%d,}" % (chars, window)), bits) for kind, chars, bits in classes], [re.compile(a, re.DOTALL) for a in allowed]
+def unmarked(run, marked):
+    """(start, end) of the stretches of a run that hold no marked part."""
+    at = 0
+    for m in re.finditer(marked, run):
+        if m.start() > at:
+            yield at, m.start()
+        at = m.end()
+    if at < len(run):
+        yield at, len(run)
 
 
-def entropy_spans(text, window=WINDOW, classes=None, allowed=ALLOWED):
-    own = tuple((k, *v) for k, v in (CLASSES if classes is None else classes).items())
-    patterns, free = candidate_patterns(window, own, tuple(allowed))
+def entropy_spans(text, window=WINDOW, classes=None, allowed=ALLOWED, marked=MARKED):
     out = []
-    for kind, pattern, bits in patterns:
-        for m in pattern.finditer(text):
-            for a, b in high_windows(m[0], window, bits):
-                part = m[0][a:b]
-                if not any(f.fullmatch(part) for f in free):
-                    out.append((kind, m.start() + a, m.start() + b))
+    for kind, (chars, bits) in (CLASSES if classes is None else classes).items():
+        # The window of one class lies within a run of that class.
+        for m in re.finditer(rb"%s{%d,}" % (chars, window), text):
+            for low, high in unmarked(m[0], marked):
+                for a, b in high_windows(m[0][low:high], window, bits):
+                    part = m[0][low + a : low + b]
+                    if not any(re.fullmatch(f, part, re.DOTALL) for f in allowed):
+                        out.append((kind, m.start() + low + a, m.start() + low + b))
     return out
 
 
@@ -116,20 +122,20 @@ def written(found, kinds):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=lambda x: (x[1], order[x[0]], x[2])))
 
 
-def scan(text, window=WINDOW, classes=None, allowed=ALLOWED):
+def scan(text, window=WINDOW, classes=None, allowed=ALLOWED, marked=MARKED):
     """Base spans and added spans of a UTF-8 text, in characters."""
     base = base_spans(text)
-    added = entropy_spans(text, window, classes, allowed)
+    added = entropy_spans(text, window, classes, allowed, marked)
     found = in_code_points(text, base + added)
     return found[: len(base)], found[len(base) :]
 
 
-def find_secrets(docs, window=WINDOW, classes=None, allowed=ALLOWED, id_col="doc_id", text_col="text"):
+def find_secrets(docs, window=WINDOW, classes=None, allowed=ALLOWED, marked=MARKED, id_col="doc_id", text_col="text"):
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     Base spans are the contract's patterns over the whole text. Added spans are parts of runs of
-    one character class that windows of `window` characters with enough entropy cover,
-    unless they match an allowed pattern. Spans are kind:start:end in code points, in order
+    one character class that windows of `window` characters with enough entropy cover; windows
+    do not reach into parts that `marked` finds, and spans that match an allowed pattern go. Spans are kind:start:end in code points, in order
     of start and kind. Null and empty texts have none; equal rows give equal rows, null ids
     are kept, further columns are ignored, and an empty table gives an empty result.
     """
@@ -140,7 +146,7 @@ def find_secrets(docs, window=WINDOW, classes=None, allowed=ALLOWED, id_col="doc
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                base, added = scan((text or "").encode(), window, classes, allowed)
+                base, added = scan((text or "").encode(), window, classes, allowed, marked)
                 n = Counter(k for k, _, _ in base)
                 out.append((doc, *(n[k] for k in BASE_KINDS), sha256(written(base, kinds).encode()), written(base + added, kinds)))
             yield pa.RecordBatch.from_arrays(
@@ -168,5 +174,26 @@ def redact(text, mark="[secret]"):
     return "".join(out) + text[at:]
 
 
+def redact_documents(docs, text_col="text", chars_col="n_chars", mark="[secret]"):
+    """All rows and columns of `docs`, found secrets replaced by a mark; where a text changed and there
+    is a column `n_chars`, it counts the new one. Null texts stay null; an empty table stays empty."""
+    text_at = docs.columns.index(text_col)
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column(text_at).to_pylist()
+            new = [redact(t, mark) for t in old]
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(new, batch.schema.field(text_at).type)
+            if chars_at is not None:
+                chars = batch.column(chars_at).to_pylist()
+                counted = [c if a == b else len(b) for c, a, b in zip(chars, old, new)]
+                columns[chars_at] = pa.array(counted, batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_secret_scan(spark, sf_dir):
     return find_secrets(read(spark, sf_dir, "documents"))

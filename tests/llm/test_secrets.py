@@ -75,6 +75,53 @@ def test_entropy_finds_blobs_and_leaves_prose_and_allowed_strings_alone():
         assert secrets.entropy_spans(clean.encode()) == []
 
 
+def missed(make, before="", tries=400):
+    """The share of random tokens of which no window is found."""
+    pick = random.Random(11)
+    lost = 0
+    for _ in range(tries):
+        token = make(pick)
+        found = secrets.entropy_spans(f"see {before}{token} there".encode())
+        begin = 4 + len(before)
+        lost += not any(a < begin + len(token) and b > begin for _, a, b in found)
+    return lost / tries
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ANY = LETTERS + LETTERS.upper() + "0123456789"
+
+
+@pytest.mark.parametrize(
+    "alphabet, length, before, most",
+    [
+        (ANY + "+/", 40, "v1/example/", 0.03),
+        (ANY + "+/", 40, "", 0.01),
+        (LETTERS + "0123456789", 20, "", 0.04),
+        (LETTERS + "0123456789", 32, "", 0.01),
+        (ANY + "-_", 40, "", 0.01),
+        (ANY, 20, "", 0.25),
+    ],
+)
+def test_share_of_random_tokens_missed(alphabet, length, before, most):
+    assert missed(lambda pick: "".join(pick.choice(alphabet) for _ in range(length)), before) <= most
+
+
+def test_marked_parts_are_left_out_alone():
+    key = "q7Zp2Lm9TrB4wNcX8sVd1KfG6hJ"
+    for before, after in (("a/example/", ""), ("", "/EXAMPLE/x"), ("12345678/", "/abcdefgh")):
+        text = (before + key + after).encode()
+        spans = [(a, b) for k, a, b in secrets.entropy_spans(text) if k == "entropy_base64"]
+        assert spans and all(a >= max(0, len(before) - 1) and b <= len(before) + len(key) + 1 for a, b in spans)
+    assert secrets.entropy_spans(f"EXAMPLE{key}".encode()) == []
+
+
+def test_redacted_documents(spark):
+    rows = [(1, f"é token=abcdefg1 {HEX}!"), (2, None), (3, "plain")]
+    found = secrets.redact_documents(frame(spark, rows).withColumnRenamed("block", "n_chars"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in found.collect()}
+    assert got == {1: ("é [secret] [secret]!", 20), 2: (None, 7), 3: ("plain", 7)}
+
+
 def test_redaction():
     assert secrets.redact(None) is None and secrets.redact("") == "" and secrets.redact("plain words") == "plain words"
     assert secrets.redact(f"é token=abcdefg1 {HEX}!") == "é [secret] [secret]!"

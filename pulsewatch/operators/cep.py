@@ -18,9 +18,12 @@ from pulsewatch.operators.continuous import current_streaks
 from pulsewatch.operators.sizing import keyed_join
 from pulsewatch.operators.views import latest
 from pulsewatch.operators.windows import sliding_sums
+from pulsewatch.session import cut_lineage
 from pulsewatch.sources.rules import small_frame
 
 KEYS = ("resource", "metric")
+#: Levels folded in one plan before the rows so far are written out.
+LEVELS_A_PLAN = 8
 NODES = "rule_id string, leaf_id string, path array<struct<node:long,every:boolean>>"
 LEAVES = (
     "leaf_id string, resource string, metric string, op string, threshold double, value double, "
@@ -191,6 +194,8 @@ def alarm_value_leaves(leaves, alarms):
 def evaluate(nodes, results, at=()):
     """Verdict per composed rule: true, false, or NULL when any of its leaves is missing.
 
+    Each level is one aggregate over the leaves of that level and what the level below it
+    folded to, so the plan grows with the depth and a row is read at its own level only.
     With `at`, leaf results carry these further columns and a verdict is given wherever
     a rule has at least one leaf result.
     """
@@ -199,9 +204,12 @@ def evaluate(nodes, results, at=()):
     depth = sizes.agg(F.max("_depth")).first()[0] or 0
     found = keyed_join(results, nodes, ["leaf_id"], bounded_by=nodes)
     found = found.select(*at, "rule_id", "path", "result", F.col("result").isNotNull().cast("long").alias("_known"))
+    if depth:
+        # Read once a level below.
+        found = cut_lineage(found)
+    here = found.where(F.size("path") == depth)
     for level in range(depth, 0, -1):
-        here = F.size("path") == level
-        folded = found.where(here).groupBy(*at, "rule_id", "path").agg(
+        folded = here.groupBy(*at, "rule_id", "path").agg(
             F.bool_and("result").alias("_all"), F.bool_or("result").alias("_any"), F.sum("_known").alias("_known")
         )
         folded = folded.select(
@@ -211,7 +219,10 @@ def evaluate(nodes, results, at=()):
             F.when(F.col("path")[0]["every"], F.col("_all")).otherwise(F.col("_any")).alias("result"),
             "_known",
         )
-        found = found.where(~here).unionByName(folded)
+        here = found.where(F.size("path") == level - 1).unionByName(folded)
+        if level % LEVELS_A_PLAN == 1 and level > 1:
+            here = cut_lineage(here)
+    found = here
     verdicts = found.join(sizes, "rule_id").select(
         *at, "rule_id", F.when(F.col("_known") == F.col("_leaves"), F.col("result")).alias("result")
     )

@@ -62,17 +62,24 @@ def continuous_alarms(detections, rules, ts="ts", seq="seq", limit=None):
 
 
 def current_streaks(detections, ts="ts", seq="seq"):
-    """Length of the run each rule is in now.
+    """Length of the run each rule is in now, in the order of `continuous_alarms`.
 
-    The run is the number of rows after the last one that did not detect, which two
-    hash aggregates give without sorting any rule's history.
+    The run is the number of rows after the last one that did not detect. Time and sequence of
+    that one come from a hash aggregate, and only rows that share them are compared by
+    metric and value, so no rule's history is sorted.
     """
-    placed = detections.select(
-        "rule_id", F.coalesce("detect", F.lit(False)).alias("detect"), ordinal(ts, seq).alias("_at")
-    )
-    breaks = placed.groupBy("rule_id").agg(
-        F.max(F.when(~F.col("detect"), F.col("_at"))).alias("_break")
+    missing = {"metric": "string", "value": "double"}
+    full = detections.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in detections.columns})
+    placed = full.select(
+        "rule_id",
+        F.coalesce("detect", F.lit(False)).alias("detect"),
+        ordinal(ts, seq).alias("_at"),
+        F.struct("metric", "value").alias("_among"),
     )
-    after = keyed_join(placed, breaks, ["rule_id"], derived=True)
-    running = F.col("_break").isNull() | (F.col("_at") > F.col("_break"))
+    breaks = placed.groupBy("rule_id").agg(F.max(F.when(~F.col("detect"), F.col("_at"))).alias("_break"))
+    tied = placed.where(~F.col("detect")).join(breaks.where("_break is not null"), "rule_id").where("_at = _break")
+    last = tied.groupBy("rule_id").agg(F.max("_among").alias("_last"))
+    after = keyed_join(placed, breaks.join(last, "rule_id", "left"), ["rule_id"], derived=True)
+    behind = F.col("detect") & (F.col("_among") >= F.col("_last"))
+    running = F.col("_break").isNull() | (F.col("_at") > F.col("_break")) | ((F.col("_at") == F.col("_break")) & behind)
     return after.groupBy("rule_id").agg(F.count_if(running).alias("streak"))

@@ -12,11 +12,25 @@ HOT_ROWS = 5_000_000
 NULL_SALTS = 256
 
 
+def row_bytes(schema):
+    """About the bytes of a row: texts by their length, nested values by that of their JSON."""
+    out = F.lit(0)
+    for field in schema:
+        kind, col = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(col), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            out = out + F.octet_length(F.to_json(F.struct(col)))
+        else:
+            out = out + 16
+    return out
+
+
 def fits_broadcast(df, max_rows=None, max_bytes=None):
     """Whether `df` is within both bounds; reads at most one row past the row bound."""
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    width = F.octet_length(F.to_json(F.struct("*")))
+    width = row_bytes(df.schema)
     seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 

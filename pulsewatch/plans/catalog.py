@@ -926,6 +926,29 @@ def current_streak(spark, sf_dir):
     return continuous.current_streaks(detections(spark, sf_dir))
 
 
+# Verdicts on tied rows: an hour's rows share their time, and four events a sequence.
+TIED_DETECT_SQL = """
+  SELECT date_trunc('hour', ts) AS ts, seq // 4 AS seq, metric, value, rule_id, detect FROM d"""
+
+
+@query(
+    "current_streak_ties",
+    with_sql(
+        """
+    SELECT rule_id, CAST(count(*) FILTER (detect AND after_last) AS BIGINT) AS streak FROM (
+      SELECT *, NOT bool_or(NOT detect) OVER (
+        PARTITION BY rule_id ORDER BY ts DESC, seq DESC, metric DESC NULLS LAST, value DESC NULLS LAST, detect DESC
+        ROWS UNBOUNDED PRECEDING) AS after_last FROM t) GROUP BY rule_id""",
+        d=DETECT_SQL,
+        t=TIED_DETECT_SQL,
+    ),
+)
+def current_streak_ties(spark, sf_dir):
+    """The run each rule is in, where rows of one time and sequence differ in metric and value only."""
+    tied = detections(spark, sf_dir).withColumns({"ts": F.date_trunc("hour", "ts"), "seq": F.floor(F.col("seq") / 4)})
+    return continuous.current_streaks(tied)
+
+
 LEAVES = [
     {"leaf_id": "v1", "resource": "server1", "metric": "click.value", "op": ">", "threshold": 0.0},
     {"leaf_id": "v2", "resource": "server2", "metric": "error.k", "op": "<", "threshold": 0.0},
@@ -991,6 +1014,39 @@ def compound_rule(spark, sf_dir):
     return cep.evaluate(cep.node_frame(spark, *COMPOSED), results)
 
 
+V1, V2, V3, V4, V6 = (_leaf(n) for n in ("v1", "v2", "v3", "v4", "v6"))
+DEEP = {
+    "or-top": (((((V1 & V6) | V2) & V4) | V2) & V6) | V2,
+    "and-top": (((((V1 | V2) & V6) | V4) & V1) | V2) & V6,
+    "missing": (((((V1 & V6) | V2) & V4) | V3) & V6) | V1,
+    "both-sides": ((((V1 & V2) | (V4 & V6)) & V1) | (V2 & (V4 | (V1 & V2)))) & (V6 | V2),
+}
+DEEP_SQL = {
+    "or-top": "(((((v1 AND v6) OR v2) AND v4) OR v2) AND v6) OR v2",
+    "and-top": "(((((v1 OR v2) AND v6) OR v4) AND v1) OR v2) AND v6",
+    "missing": "(((((v1 AND v6) OR v2) AND v4) OR v3) AND v6) OR v1",
+    "both-sides": "((((v1 AND v2) OR (v4 AND v6)) AND v1) OR (v2 AND (v4 OR (v1 AND v2)))) AND (v6 OR v2)",
+}
+
+
+@query(
+    "compound_deep",
+    with_sql(
+        composed_sql(DEEP_SQL, ["v1", "v2", "v3", "v4", "v6"]),
+        v=values_sql(LEAVES, LEAF_COLUMNS),
+        x=f"""SELECT v.leaf_id,
+                {holds_sql('coalesce(v.value, s.value)', 'v.op', 'v.threshold', 'NULL')} AS result
+              FROM v LEFT JOIN ({LATEST_SQL}) s ON v.resource = s.resource AND v.metric = s.metric""",
+    ),
+)
+def compound_deep(spark, sf_dir):
+    """Rules of up to six levels over the latest values, their nodes read from a table."""
+    path = run_dir(spark, "nodes")
+    cep.node_frame(spark, *DEEP.items()).write.parquet(path)
+    results = cep.value_leaves(cep.leaf_frame(spark, LEAVES), metrics(spark, sf_dir))
+    return cep.evaluate(spark.read.parquet(path), results)
+
+
 STREAK_LEAVES = [
     {"leaf_id": "k1", "target_rule_id": "t6", "mark_count": 2},
     {"leaf_id": "k2", "target_rule_id": "t1", "mark_count": 50},
@@ -1503,3 +1559,7 @@ def stream_window_alarm(spark, sf_dir):
         stream_metrics(spark, sf_dir), F.col("value") > 80, "6 hours", "2 hours", 3, ["resource"]
     )
     return _table_of(counted, spark, run_dir(spark, "window"))
+
+
+# Registers its queries with those above.
+from pulsewatch.plans import rule_queries  # noqa: E402, F401

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 COMPACT_EVERY = 100
 
 
-def _path(spark, path):
+def folder_path(spark, path):
     """A folder and the file system it is on."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -21,7 +21,7 @@ def _path(spark, path):
 
 def numbered_folders(spark, path, label="batch_id"):
     """Sorted numbers N of the finished folders `label=N` under a path: one listing of files."""
-    root, fs = _path(spark, path)
+    root, fs = folder_path(spark, path)
     if not fs.exists(root):
         return []
     done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{label}=*/_SUCCESS"))
@@ -30,12 +30,12 @@ def numbered_folders(spark, path, label="batch_id"):
 
 def make_folder(spark, path):
     """A folder a stream can watch before anything is written to it."""
-    found, fs = _path(spark, path)
+    found, fs = folder_path(spark, path)
     fs.mkdirs(found)
 
 
 def remove_folder(spark, path):
-    found, fs = _path(spark, path)
+    found, fs = folder_path(spark, path)
     fs.delete(found, True)
 
 

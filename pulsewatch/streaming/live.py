@@ -56,9 +56,13 @@ def per_batch(df, handle, checkpoint, **options):
 
 
 @contextmanager
-def version(load_rules):
-    """One reading of the rules, for everything a micro-batch does with them."""
-    rules = load_rules().persist()
+def version(load_rules, batch_id=None):
+    """One reading of the rules, for everything a micro-batch does with them.
+
+    Rules of `RuleVersions` are those the batch was given when it was first tried.
+    """
+    pinned = getattr(load_rules, "of_batch", None)
+    rules = (load_rules() if pinned is None or batch_id is None else pinned(batch_id)).persist()
     try:
         yield rules
     finally:
@@ -69,12 +73,13 @@ def start_detection(metrics, load_rules, alarms_path, checkpoint, **options):
     """Threshold alarms with rules that may change while the query runs.
 
     `load_rules()` is called once per micro-batch and its result used for all of it, so
-    a change takes effect with the next batch and a batch never mixes two versions. Of a
+    a change takes effect with the next batch and a batch never mixes two versions. Given
+    `RuleVersions(...).of(name)`, a batch that is tried again is judged by the same version. Of a
     table of all kinds only threshold rules are judged here.
     """
 
     def handle(batch, batch_id):
-        with version(load_rules) as rules:
+        with version(load_rules, batch_id) as rules:
             found = rule.detect(batch, rules_of_kind(rules, "threshold"))
             batch_folder(as_alarms(rule.simple_alarms(found)), alarms_path, batch_id)
 
@@ -85,7 +90,7 @@ def start_rule_verdicts(metrics, load_rules, path, checkpoint, **options):
     """Every rule's verdict on every batch, with the rule's text and processing time."""
 
     def handle(batch, batch_id):
-        with version(load_rules) as rules:
+        with version(load_rules, batch_id) as rules:
             batch_folder(rule.evaluate_batch(batch, rules_of_kind(rules, "threshold")), path, batch_id)
 
     return per_batch(metrics, handle, checkpoint, **options)
@@ -177,7 +182,7 @@ def start_counts(metrics, load_rules, path, checkpoint, **options):
     """Per batch and metric: rows not detected, detected, and all, kept by batch number."""
 
     def handle(batch, batch_id):
-        with version(load_rules) as rules:
+        with version(load_rules, batch_id) as rules:
             numbered = rule.check(batch, rules_of_kind(rules, "threshold")).withColumn("_b", F.lit(batch_id))
             batch_folder(counting.batch_counts(numbered, "_b").drop("_b"), path, batch_id)
 

@@ -83,7 +83,7 @@ def start_continuous_alarms(detections, load_rules, alarms_path, checkpoint, **o
             counted, carry, late = carried_streaks(known, carry_before(batch_id))
             counted = counted.withColumnRenamed("rule_id", "target_rule_id").persist()
             try:
-                with version(load_rules) as rules:
+                with version(load_rules, batch_id) as rules:
                     alarms = continuous_form(counted, rules_of_kind(rules, "continuous"))
                     batch_folder(as_alarms(alarms).select(*ALARM_COLUMNS), alarms_path, batch_id)
                 batch_folder(late, late_path, batch_id)

@@ -150,3 +150,23 @@ def test_composed_windows(spark, make):
     assert found.select("cnt").first()[0] == 1
     found = cep.composed_windows(metrics, leaves, either, "4 minutes", "1 minute", 2)
     assert rows(found, "window_start", "cnt") == [(T0 - dt.timedelta(minutes=1), 2), (T0, 2)]
+
+
+def chain(depth, seed):
+    """An expression of `depth` alternating levels."""
+    e = L(NAMES[seed % 4])
+    for i in range(depth):
+        side = L(NAMES[(seed + 3 * i) % 4])
+        e = e & side if (i + seed) % 2 else e | side
+    return e
+
+
+def test_depth_20_folds_level_by_level(spark, tmp_path):
+    known = {"a": True, "b": False, "c": True, "d": False}
+    rules = [(f"r{i}", chain(20, i)) for i in range(6)]
+    cep.node_frame(spark, *rules).write.parquet(f"{tmp_path}/nodes")
+    nodes = spark.read.parquet(f"{tmp_path}/nodes")
+    found = cep.evaluate(nodes, spark.createDataFrame(list(known.items()), RESULTS))
+    assert dict(map(tuple, found.collect())) == {name: strict(e, known) for name, e in rules}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 2 * cep.LEVELS_A_PLAN + 4

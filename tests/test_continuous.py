@@ -108,3 +108,21 @@ def test_current_streak_is_the_last_one(spark):
     df = many(spark).where("rule_id is not null")
     last = continuous.streak_rows(df, ["ts", "seq"]).groupBy("rule_id").agg(F.max_by("streak", F.struct("ts", "seq")))
     assert rows(continuous.current_streaks(df)) == rows(last)
+
+
+TIED = "rule_id string, ts timestamp, seq long, metric string, value double, detect boolean"
+
+
+def test_current_streak_follows_the_order_of_alarms_on_ties(spark):
+    rnd = random.Random(9)
+    data = [
+        (f"r{rnd.randrange(9)}", T0, rnd.randrange(3), rnd.choice(["m", "n", None]), rnd.choice([None, 1.0, 2.0]), rnd.random() < 0.8)
+        for _ in range(400)
+    ]
+    df = spark.createDataFrame(data + [("one", T0, 0, "k", 1.0, False), ("one", T0, 0, "value", 1.0, True)], TIED)
+    order = ["ts", "seq", "metric", "value"]
+    held = F.col("detect").cast("int").alias("held")
+    last = continuous.streak_rows(df, order).groupBy("rule_id").agg(F.max_by("streak", F.struct(*order, held, "streak")))
+    found = continuous.current_streaks(df)
+    assert rows(found) == rows(last)
+    assert found.where("rule_id = 'one'").first().streak == 1

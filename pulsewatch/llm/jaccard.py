@@ -12,10 +12,17 @@ the first few of both:
   ones in the extended prefix, two shared ones stand side by side in both texts.
 
 A text with more unique shingles than may differ links with nothing and goes no further.
-Sizes of texts that link differ by a limited factor, so signatures bind only sets of one
-size class or two neighbouring ones. Candidates under common signatures form families. The
-sets of a family meet class by class, in tiles where there are many, and are compared
-there; only each set's number of links and a spanning tree leave the task.
+Sizes of texts that link differ by a limited factor, so a bucket is a signature within one
+size class and the next. Only texts of one bucket are ever compared, in three steps:
+
+1. each set with the first set of each of its buckets; sets that link so form clusters;
+2. within a cluster, all sets with each other, as what is near one text is mostly near the others;
+3. in buckets that reach over several clusters, sets of different ones: as pairs where a bucket
+   has few sets, each pair once however many buckets it shares; as tiles where it has many,
+   a pair counting in the first bucket it shares.
+
+Sets that meet in large numbers do so in tiles, size class by size class; only each set's number
+of links and a spanning tree leave the task.
 """
 
 import hashlib
@@ -30,11 +37,15 @@ from pyspark.sql import functions as F
 from pulsewatch.llm.common import block_count, block_rows, components, in_blocks, mixed, parallelism, read, stored
 from pulsewatch.llm.substrings import Words
 from pulsewatch.llm.superkmers import grams
-from pulsewatch.operators.sizing import fits_broadcast
+from pulsewatch.operators.sizing import fits_broadcast, salted_join
 
 FREQUENT = 64
 SMALL_SET = 32
 TILE = 512
+#: Sets of a bucket up to which its pairs are listed.
+SMALL_BUCKET = 64
+#: Pairs of one set that a task verifies.
+HOT_PAIRS = 2_000
 
 
 def shingle_sets(texts, width):
@@ -208,15 +219,17 @@ def overlaps(left, right):
     return out
 
 
-def linked_tiles(names, sets, copies, left, right, num, den):
+def linked_tiles(names, sets, copies, left, right, num, den, apart=None):
     """(name, tree parent, links) of the sets numbered in `left` compared with those in `right`.
 
-    The two are the same numbers, or have none in common.
+    The two are the same numbers, or have none in common. `apart(left, right)` tells which pairs count.
     """
     n = np.array([len(s) for s in sets], np.int64)
     weight = np.array(copies, np.int64)
     common = np.rint(overlaps([sets[i] for i in left], [sets[i] for i in right])).astype(np.int64)
     hit = den * common >= num * (n[left][:, None] + n[right][None, :] - common)
+    if apart is not None and hit.any():
+        hit &= apart(left, right)
     links = np.zeros(len(names), np.int64)
     if left is right:
         np.fill_diagonal(hit, False)
@@ -232,7 +245,18 @@ def linked_tiles(names, sets, copies, left, right, num, den):
     return [(names[i], names[label[i]], int(links[i])) for i in np.flatnonzero(links)]
 
 
-def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, id_col="doc_id", text_col="text"):
+def verified(pairs, sets, num, den):
+    """The pairs (src, dst) of sets that link; a set in many pairs is copied to several tasks."""
+    size = lambda c: F.size(c).cast("long")
+    one = sets.select(F.col("digest").alias("src"), F.col("shingles").alias("a"))
+    two = sets.select(F.col("digest").alias("dst"), F.col("shingles").alias("b"))
+    met = salted_join(salted_join(pairs, one, ["src"], hot_rows=HOT_PAIRS), two, ["dst"], hot_rows=HOT_PAIRS)
+    near = den * F.least(size("a"), size("b")) >= num * F.greatest(size("a"), size("b"))
+    common = size(F.array_intersect("a", "b"))
+    return met.where(near).where(den * common >= num * (size("a") + size("b") - common)).select("src", "dst")
+
+
+def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, small=SMALL_BUCKET, id_col="doc_id", text_col="text"):
     """doc_id, n_shingles, component_id, n_links, component and text_key of every row.
 
     The Jaccard join of all texts.
@@ -259,15 +283,48 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, i
     sets = sets.withColumn("size_class", F.floor(F.log(F.size("shingles").cast("double")) / unit))
     either = F.array("size_class", F.col("size_class") + 1)
     signed = sets.select("digest", F.explode("signatures").alias("sign"), either.alias("either"))
-    signed = signed.select("digest", "sign", F.explode("either").alias("size_class"))
-    key = ["sign", "size_class"]
-    first = signed.groupBy(*key).agg(F.min("digest").alias("dst"), F.max("digest").alias("last")).where("dst <> last")
-    star = signed.join(first, key).select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
-    family = components(star, "families").withColumnRenamed("node", "digest").withColumnRenamed("component", "family")
+    signed = signed.select("digest", "sign", F.explode("either").alias("at")).select("digest", F.xxhash64("sign", "at").alias("bucket"))
+    first = signed.groupBy("bucket").agg(F.min("digest").alias("dst"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = stored(signed.join(first.where("dst <> last"), "bucket").select("bucket", "digest", "dst", "n"), "buckets")
+    star = shared.select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
+    near = stored(verified(star, sets, num, den), "near")
+    cluster = components(near, "clusters").withColumnRenamed("node", "digest").withColumnRenamed("component", "cluster")
+    cluster = stored(cluster, "cluster")
+
+    # Buckets with sets of several clusters; of those with the same sets one.
+    told = shared.drop("dst").join(cluster, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest"))
+    code = F.xxhash64("digest").cast("decimal(38,0)")
+    spans = told.groupBy("bucket", "n").agg(
+        F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.sum(code).alias("code"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("code2")
+    )
+    open_buckets = spans.where("low <> high").groupBy("n", "code", "code2").agg(F.min("bucket").alias("bucket")).select("bucket")
+    mixed_sets = stored(told.join(open_buckets, "bucket"), "mixed")
+    few = mixed_sets.where(F.col("n") <= small)
+    sizes = sets.select("digest", F.size("shingles").alias("size"))
+    few = few.join(sizes, "digest")
+    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("digest", "cluster", "size")]) for k in (1, 2))
+    alike = den * F.least("size1", "size2") >= num * F.greatest("size1", "size2")
+    met = x.join(y, "bucket").where((F.col("digest1") < F.col("digest2")) & (F.col("cluster1") != F.col("cluster2")) & alike)
+    pairs = stored(met.select(F.col("digest1").alias("src"), F.col("digest2").alias("dst")).distinct(), "pairs")
+    across_pairs = stored(verified(pairs, sets, num, den), "across")
+
+    # What meets in tiles: the sets of a cluster, and those of a bucket with many. A set tells the
+    # buckets it shares with other clusters, small ones first, so that a pair counts in one place.
+    large = mixed_sets.where(F.col("n") > small).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("family"), "digest", "bucket")
+    rank = F.struct((F.col("n") > small).alias("many"), "bucket")
+    of_sets = mixed_sets.join(large.select("digest").distinct(), "digest", "left_semi")
+    units = of_sets.groupBy("digest").agg(F.collect_set(rank).alias("units"), F.first("cluster").alias("cluster"))
+    none = F.lit(None)
+    within = cluster.select(
+        F.concat(F.lit("c"), "cluster").alias("family"), "digest", none.cast("long").alias("bucket"),
+        none.cast("array<struct<many:boolean,bucket:long>>").alias("units"), none.cast("string").alias("cluster"),
+    )
+    family = within.unionByName(large.join(units, "digest"))
     # In the meeting of a class, its own sets (lower) meet each other and those of the next (upper).
     member = family.join(sets.select("digest", "shingles", "copies", "size_class"), "digest")
     role = F.explode(F.array(F.struct(F.lit(True).alias("lower"), F.col("size_class").alias("at")), F.struct(F.lit(False).alias("lower"), (F.col("size_class") - 1).alias("at"))))
-    member = stored(member.withColumn("role", role).select("family", "digest", "copies", "shingles", "role.lower", "role.at"), "members")
+    kept = ["family", "digest", "copies", "shingles", "bucket", "units", "cluster"]
+    member = stored(member.withColumn("role", role).select(*kept, "role.lower", "role.at"), "members")
     meeting = ["family", "at"]
     n = member.groupBy(*meeting).agg(F.count_if("lower").alias("low"), F.count_if(~F.col("lower")).alias("up")).where("low > 0")
     tiles_low, tiles_up = (F.ceil(F.greatest(F.col(c), F.lit(1)) / tile) for c in ("low", "up"))
@@ -286,7 +343,7 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, i
     met = met.withColumn("task", F.explode(tasks))
 
     def compare(table):
-        cols = {c: table.column(c).to_pylist() for c in ("family", "at", "digest", "copies", "lower", "tile")}
+        cols = {c: table.column(c).to_pylist() for c in ("family", "at", "digest", "copies", "lower", "tile", "bucket", "units", "cluster")}
         task = table.column("task")[0].as_py().split(":")
         chunked = table.column("shingles").combine_chunks()
         offsets, values = chunked.offsets.to_numpy(), chunked.values.to_numpy().view(np.uint64)
@@ -306,16 +363,29 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, i
             else:
                 meetings = [[[k for k in low if cols["tile"][own[k]] == int(t)] for t in task[-2:]]]
             sets = [values[offsets[i] : offsets[i + 1]] for i in own]
-            names, copies = ([cols[c][i] for i in own] for c in ("digest", "copies"))
+            names, copies, clusters = ([cols[c][i] for i in own] for c in ("digest", "copies", "cluster"))
+            apart = None
+            if cols["bucket"][own[0]] is not None:
+                here = (True, cols["bucket"][own[0]])
+                before = [np.array([u["bucket"] for u in cols["units"][i] if (u["many"], u["bucket"]) < here], np.int64) for i in own]
+                group = np.unique(clusters, return_inverse=True)[1]
+
+                def apart(left, right):
+                    earlier = overlaps([before[i] for i in left], [before[i] for i in right]) > 0
+                    return ~earlier & (group[left][:, None] != group[right][None, :])
+
             for left, right in meetings:
                 if left and right:
-                    out += linked_tiles(names, sets, copies, left, right, num, den)
+                    out += linked_tiles(names, sets, copies, left, right, num, den, apart)
         columns = list(zip(*out)) if out else [[], [], []]
         kinds = pa.string(), pa.string(), pa.int64()
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["src", "dst", "links"])
 
-    slim = met.select("task", "family", "at", "digest", "copies", "lower", "tile", "shingles")
-    links = stored(slim.groupBy("task").applyInArrow(compare, "src string, dst string, links long"), "links")
+    slim = met.select("task", "at", "lower", "tile", *kept)
+    tiled = slim.groupBy("task").applyInArrow(compare, "src string, dst string, links long")
+    both = across_pairs.union(across_pairs.select("dst", "src"))
+    counted = both.join(classes.select(F.col("digest").alias("dst"), F.col("copies").alias("links")), "dst").select("src", "dst", "links")
+    links = stored(tiled.unionByName(counted), "links")
     joined = components(links.select("src", "dst"), "linked").withColumnRenamed("node", "digest")
     count = links.groupBy("src").agg(F.sum("links").alias("links")).withColumnRenamed("src", "digest")
     known = classes.join(joined, "digest", "left").join(count, "digest", "left")
@@ -351,12 +421,14 @@ def keep_one(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE):
     out = stored(judged.where(~stays).select(*name, F.lit(False).alias("_once")).union(judged.where(stays & (F.col("n") > 1)).select(*name, F.lit(True).alias("_once"))), "judged")
     if fits_broadcast(out):
         out = F.broadcast(out)
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = keyed["doc_id"].cast("long").eqNullSafe(out["_id"]) & (keyed["_key"] == out["_text_key"])
+    # A name no column of the documents has.
+    key = "_key" + "_" * max(map(len, docs.columns), default=0)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = keyed["doc_id"].cast("long").eqNullSafe(out["_id"]) & (keyed[key] == out["_text_key"])
     untouched = keyed.join(out, same, "left_anti")
     once = out.where("_once")
-    same = keyed["doc_id"].cast("long").eqNullSafe(once["_id"]) & (keyed["_key"] == once["_text_key"])
-    single = keyed.join(once, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    same = keyed["doc_id"].cast("long").eqNullSafe(once["_id"]) & (keyed[key] == once["_text_key"])
+    single = keyed.join(once, same, "left_semi").dropDuplicates(["doc_id", key])
     return untouched.union(single).select(*docs.columns)
 
 

@@ -48,10 +48,14 @@ def got(df):
     return sorted(map(tuple, df.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed,width,num,den,frequent,tile", [(1, 3, 90, 100, 64, 512), (2, 3, 90, 100, 2, 4), (3, 2, 80, 100, 3, 5), (4, 5, 80, 100, 1, 512), (5, 1, 75, 100, 4, 3)])
-def test_matches_brute_force(spark, seed, width, num, den, frequent, tile):
+@pytest.mark.parametrize(
+    "seed,width,num,den,frequent,tile,small",
+    [(1, 3, 90, 100, 64, 512, 64), (2, 3, 90, 100, 2, 4, 3), (3, 2, 80, 100, 3, 5, 2), (4, 5, 80, 100, 1, 512, 2), (5, 1, 75, 100, 4, 3, 5)],
+)
+def test_matches_brute_force(spark, monkeypatch, seed, width, num, den, frequent, tile, small):
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 7)
     rows = families(seed) + AWKWARD + [(905, "A B"), (904, "a b"), (906, "a b a")]
-    found = jaccard.jaccard_join(frame(spark, rows), width=width, num=num, den=den, frequent=frequent, tile=tile)
+    found = jaccard.jaccard_join(frame(spark, rows), width=width, num=num, den=den, frequent=frequent, tile=tile, small=small)
     assert got(found) == brute(rows, width, num, den)
 
 
@@ -78,3 +82,38 @@ def test_one_row_of_each_component_stays(spark):
     assert len(out) == components + blank
     again = jaccard.jaccard_join(kept, width=3, num=90, den=100).agg({"n_links": "sum"}).first()[0]
     assert again == 0 and set(out) <= set(rows)
+
+
+def paragraphs(n, seed=1):
+    """Texts of four paragraphs out of a pool that grows with them: much is shared and nothing links."""
+    pick = random.Random(seed)
+    pool = [" ".join(f"p{i}w{pick.randrange(10**6)}" for _ in range(25)) for i in range(n // 4)]
+    return [(i, " ".join(pick.sample(pool, 4))) for i in range(n)]
+
+
+def test_shared_paragraphs_do_not_bring_everything_together(spark, monkeypatch):
+    """Compared pairs and shipped sets grow with the texts, not with the square of what hangs together."""
+    seen = {}
+    plain = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: seen.__setitem__(label, plain(df, label)) or seen[label])
+    sizes = []
+    for n in (400, 1600):
+        found = jaccard.jaccard_join(frame(spark, paragraphs(n)), width=3, num=90, den=100)
+        assert found.agg({"n_links": "sum"}).first()[0] == 0
+        sizes.append([seen[k].count() for k in ("pairs", "members")])
+    assert sizes[1][0] <= 6 * max(1, sizes[0][0]) and sizes[1][1] <= 6 * max(1, sizes[0][1])
+
+
+def test_own_names_of_columns(spark):
+    docs = frame(spark, families(9)).selectExpr("*", "7 AS _key", "8 AS _id", "9 AS _once", "1 AS component")
+    kept = jaccard.keep_one(docs, width=3, num=90, den=100)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.select("_key", "_id", "_once", "component").collect()} == {(7, 8, 9, 1)}
+
+
+def test_very_long_texts(spark):
+    pick = random.Random(4)
+    long = " ".join(f"w{pick.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "short"), (4, long[: len(long) // 2])]
+    found = jaccard.jaccard_join(frame(spark, rows), width=3, num=90, den=100)
+    assert got(found) == brute(rows, 3, 90, 100)

@@ -9,13 +9,14 @@ labelled rows that were held back turns both scores into one calibrated probabil
 """
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsewatch.llm.common import read, stored
+from pulsewatch.llm.common import read, received, shipped, stored
 
 LABELLED = 8_000
 ROUNDS = 3
@@ -30,7 +31,6 @@ STEPS = 25
 STRIP = 32_768
 
 LETTERS = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
-SOURCES, LANGS = 16, 8
 
 
 def words(text):
@@ -43,18 +43,37 @@ def words(text):
     return np.unique(np.fromiter(map(zlib.crc32, found), np.int64, len(found)))
 
 
-def shape(text, lang, source):
-    """Metadata features of one document."""
+def outline(text):
+    """Size and make-up of one text."""
     n = len(text)
     tokens = text.split()
     raw = np.frombuffer(text, np.uint8)
     ratio = np.bincount(KIND[raw], minlength=6)[:6] / max(1, n)
     sizes = len(tokens)
-    out = [np.log1p(n) / 10, np.log1p(sizes) / 10, *ratio, len(set(tokens)) / max(1, sizes), (n - sizes) / max(1, sizes) / 10]
-    marks = [0.0] * (SOURCES + LANGS)
-    marks[zlib.crc32((source or "").encode()) % SOURCES] = 1.0
-    marks[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1.0
-    return out + marks
+    return [np.log1p(n) / 10, np.log1p(sizes) / 10, *ratio, len(set(tokens)) / max(1, sizes), (n - sizes) / max(1, sizes) / 10]
+
+
+def seen_values(rows, least_docs=LEAST_DOCS):
+    """(languages, sources) that at least `least_docs` labelled rows have, null counting as empty."""
+    return tuple(
+        tuple(sorted(v for v, n in Counter(r[c] or "" for r in rows).items() if n >= least_docs)) for c in ("_l", "_s")
+    )
+
+
+def marks(lang, source, seen):
+    """A mark for each language and source seen in training, and one each for all others."""
+    out = []
+    for value, known in zip((lang, source), seen):
+        own = [0.0] * (len(known) + 1)
+        value = value or ""
+        own[known.index(value) if value in known else len(known)] = 1.0
+        out += own
+    return out
+
+
+def shape(text, lang, source, seen=((), ())):
+    """Metadata features of one document."""
+    return outline(text) + marks(lang, source, seen)
 
 
 def kind_of(c):
@@ -111,6 +130,7 @@ class Target:
     centre: np.ndarray = None
     spread: np.ndarray = None
     joint: np.ndarray = None
+    seen: tuple = ((), ())
 
     def text_scores(self, bags):
         out = np.full(len(bags), self.text[-1])
@@ -240,12 +260,12 @@ def refit(own, y, model, past, confident):
     return weights
 
 
-def learn(bags, shapes, y, rounds=ROUNDS, confident=CONFIDENT, most_words=WORDS, least_docs=LEAST_DOCS):
+def learn(bags, shapes, y, rounds=ROUNDS, confident=CONFIDENT, most_words=WORDS, least_docs=LEAST_DOCS, seen=((), ())):
     """A `Target` from labelled rows; without rows of both classes it knows nothing.
 
     A generator: it yields an `Ask` for each sum over the unlabelled rows, and is sent it.
     """
-    model = Target()
+    model = Target(seen=seen)
     y = np.asarray(y, float)
     if len(y) < 2 * HELD_BACK or y.min() == y.max():
         return model
@@ -281,7 +301,7 @@ def co_train(bags, shapes, y, free_bags, free_shapes, **options):
         answer = lent_sums(ask, [places(b, ask.model.vocabulary) for b in free_bags], free_shapes)
 
 
-def placed(free, vocabularies):
+def placed(free, vocabularies, seen):
     """Unlabelled rows with, for each target, where its vocabulary has their words."""
     free = free.select("doc_id", "_t", "_l", "_s")
     names = ["doc_id", *vocabularies, "shape"]
@@ -292,7 +312,7 @@ def placed(free, vocabularies):
             raw = [(t or "").encode() for t in texts]
             bags = [words(t) for t in raw]
             at = [pa.array([places(b, v).astype(np.int32) for b in bags], pa.list_(pa.int32())) for v in vocabularies.values()]
-            shapes = pa.array([shape(t, a, s) for t, a, s in zip(raw, langs, sources)], pa.list_(pa.float64()))
+            shapes = pa.array([shape(t, a, s, seen) for t, a, s in zip(raw, langs, sources)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *at, shapes], names)
 
     kinds = ", ".join(f"{t} array<int>" for t in vocabularies)
@@ -305,11 +325,11 @@ def summed(free, asks):
     Each task adds up its rows; strips of the sums are added up over tasks, so that the driver
     gets one array a target and view, however many rows and tasks there are.
     """
-    shared = free.sparkSession.sparkContext.broadcast(asks)
+    shared = shipped(free.sparkSession, asks)
     keys = [(t, view) for t, ask in asks.items() for view in ask.weights]
 
     def run(batches):
-        own = shared.value
+        own = received(shared)
         total = {}
         for batch in batches:
             if not batch.num_rows:
@@ -339,32 +359,30 @@ def summed(free, asks):
     return out
 
 
-def features(docs, text_col, lang_col, source_col, extra):
-    """Words and shapes of some documents, as columns next to `extra`."""
-    names = [F.col(c) for c in extra]
-    rows = docs.select(*names, *columns_of(docs, text_col, lang_col, source_col))
+def features(rows, extra):
+    """Words and outlines of rows (`extra`, _t, _l, _s), next to `extra`, languages and sources."""
 
     def run(batches):
         for batch in batches:
-            texts, langs, sources = (batch.column(len(extra) + i).to_pylist() for i in range(3))
-            raw = [(t or "").encode() for t in texts]
+            raw = [(t or "").encode() for t in batch.column(len(extra)).to_pylist()]
             bags = pa.array([words(t) for t in raw], pa.list_(pa.int64()))
-            shapes = pa.array([shape(t, a, s) for t, a, s in zip(raw, langs, sources)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], bags, shapes], [*extra, "bag", "shape"])
+            shapes = pa.array([outline(t) for t in raw], pa.list_(pa.float64()))
+            told = batch.columns[: len(extra)] + batch.columns[len(extra) + 1 :]
+            yield pa.RecordBatch.from_arrays([*told, bags, shapes], [*extra, "_l", "_s", "bag", "shape"])
 
     kinds = ", ".join(f"{c} long" for c in extra)
-    return rows.mapInArrow(run, f"{kinds}, bag array<long>, shape array<double>")
+    return rows.select(*extra, "_t", "_l", "_s").mapInArrow(run, f"{kinds}, _l string, _s string, bag array<long>, shape array<double>")
 
 
 def arrays(table, extra):
     """Rows with their bags as arrays, in an order that depends on them alone."""
     table = table.combine_chunks()
-    columns = {c: table.column(c).to_pylist() for c in [*extra, "shape"]}
+    columns = {c: table.column(c).to_pylist() for c in [*extra, "_l", "_s", "shape"]}
     rows = []
     for i in range(table.num_rows):
         bag = table.column("bag")[i].values.to_numpy()
         rows.append({**{c: columns[c][i] for c in columns}, "bag": bag})
-    return sorted(rows, key=lambda r: (r["doc_id"], r["shape"], r["bag"].tobytes()))
+    return sorted(rows, key=lambda r: r["doc_id"])
 
 
 def columns_of(docs, text_col, lang_col, source_col):
@@ -383,21 +401,29 @@ def first_by_hash(ids, n):
 def train(docs, labels, labelled=LABELLED, rounds=ROUNDS, id_col="doc_id", text_col="text", lang_col="lang", source_col="source", **options):
     """{target: model} from documents and labels (doc_id, quality, toxic).
 
-    At most `labelled` labelled documents, chosen by the hash of their id, come to the driver
-    as features. All others with an id can lend labels; of them only sums come. Where an id has several labels, the least
-    quality and the most toxic one count; null labels do not.
+    At most `labelled` labelled documents, chosen by the hash of their id and one row an id (the
+    least hash), come to the driver as features. All others with an id can lend labels; of them
+    only sums come, one scan of their stored features for each Newton step of a round (at most
+    75 scans). Where an id has several labels, the least quality and the most toxic one count; null
+    labels do not.
     """
     told = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     told = told.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
-    named = docs.withColumn("doc_id", F.col(id_col).cast("long")) if id_col != "doc_id" else docs
-    ids = named.select("doc_id").where("doc_id is not null")
-    with_text = told.join(ids.distinct(), "doc_id", "left_semi")
-    some = features(named.join(F.broadcast(first_by_hash(with_text, labelled)), "doc_id"), text_col, lang_col, source_col, ["doc_id", *TARGETS])
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns_of(docs, text_col, lang_col, source_col))
+    named = named.where("doc_id is not null")
+    with_text = told.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample = F.broadcast(first_by_hash(with_text, labelled))
+    # One row an id, put together where the rows are.
+    texts = F.struct(F.xxhash64("_t", "_l", "_s").alias("h"), "_t", "_l", "_s")
+    single = named.join(sample, "doc_id").groupBy("doc_id", *TARGETS).agg(F.min(texts).alias("d"))
+    some = features(single.select("doc_id", *TARGETS, "d._t", "d._l", "d._s"), ["doc_id", *TARGETS])
     rows = arrays(some.toArrow(), ["doc_id", *TARGETS])
-    width = len(shape(b"", None, None))
+    seen = seen_values(rows)
+    width = len(shape(b"", None, None, seen))
 
     def view(own):
-        return [r["bag"] for r in own], np.array([r["shape"] for r in own], float).reshape(len(own), width)
+        shapes = [r["shape"] + marks(r["_l"], r["_s"], seen) for r in own]
+        return [r["bag"] for r in own], np.array(shapes, float).reshape(len(own), width)
 
     learners, asks, out = {}, {}, {}
 
@@ -411,11 +437,10 @@ def train(docs, labels, labelled=LABELLED, rounds=ROUNDS, id_col="doc_id", text_
     for target in TARGETS:
         own = [r for r in rows if r[target] is not None]
         bags, shapes = view(own)
-        learners[target] = learn(bags, shapes, [float(r[target] > 0) for r in own], rounds=rounds, **options)
+        learners[target] = learn(bags, shapes, [float(r[target] > 0) for r in own], rounds=rounds, seen=seen, **options)
         go_on(target, None)
     if asks:
-        all_rows = named.where("doc_id is not null").select("doc_id", *columns_of(named, text_col, lang_col, source_col))
-        places_of = placed(all_rows, {t: ask.model.vocabulary for t, ask in asks.items()})
+        places_of = placed(named, {t: ask.model.vocabulary for t, ask in asks.items()}, seen)
         free = stored(places_of.join(told.select("doc_id"), "doc_id", "left_anti"), "unlabelled")
         while asks:
             answers = summed(free, dict(asks))
@@ -428,15 +453,16 @@ def scored(docs, models, text_col="text", lang_col="lang", source_col="source",
     """`extra` columns of `docs`, p_quality, p_toxic and kept, for every row."""
     extra = list(extra)
     rows = docs.select(*extra, *columns_of(docs, text_col, lang_col, source_col))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = shipped(docs.sparkSession, models)
 
     def run(batches):
-        own = shared.value
+        own = received(shared)
+        seen = own[TARGETS[0]].seen
         for batch in batches:
             texts, langs, sources = (batch.column(len(extra) + i).to_pylist() for i in range(3))
             raw = [(t or "").encode() for t in texts]
             bags = [words(t) for t in raw]
-            shapes = np.array([shape(t, a, s) for t, a, s in zip(raw, langs, sources)], float).reshape(len(raw), -1)
+            shapes = np.array([shape(t, a, s, seen) for t, a, s in zip(raw, langs, sources)], float).reshape(len(raw), -1)
             p = [own[t].probability(bags, shapes) for t in TARGETS]
             shown = [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in p]
             kept = ~((p[0] < 0.5) | (p[1] >= 0.5))
@@ -463,16 +489,17 @@ def classify(docs, labels, id_col="doc_id", text_col="text", **options):
 def reject(docs, labels, **options):
     """The rows of `docs`, all columns, that `classify` keeps."""
     models = train(docs, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = shipped(docs.sparkSession, models)
     at = {c: i for i, c in enumerate(docs.columns)}
 
     def run(batches):
-        own = shared.value
+        own = received(shared)
+        seen = own[TARGETS[0]].seen
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(at["text"]).to_pylist()]
             langs, sources = ([None] * len(raw) if c not in at else batch.column(at[c]).to_pylist() for c in ("lang", "source"))
             bags = [words(t) for t in raw]
-            shapes = np.array([shape(t, a, s) for t, a, s in zip(raw, langs, sources)], float).reshape(len(raw), -1)
+            shapes = np.array([shape(t, a, s, seen) for t, a, s in zip(raw, langs, sources)], float).reshape(len(raw), -1)
             p = [own[t].probability(bags, shapes) for t in TARGETS]
             yield batch.filter(pa.array(~((p[0] < 0.5) | (p[1] >= 0.5))))
 

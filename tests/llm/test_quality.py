@@ -93,12 +93,47 @@ def test_sums_over_tasks_are_those_in_memory(spark):
     told = spark.createDataFrame(labels[:100], LABELS)
     models = quality.train(frame(spark, docs).repartition(7), told)
     bags = [quality.words(t.encode()) for _, t in docs]
-    shapes = np.array([quality.shape(t.encode(), None, None) for _, t in docs])
-    have = frame(spark, docs).columns
-    if {"lang", "source"} & set(have):
-        rows = {r["doc_id"]: r.asDict() for r in frame(spark, docs).collect()}
-        shapes = np.array([quality.shape(t.encode(), rows[i].get("lang"), rows[i].get("source")) for i, t in docs])
+    seen = (("en",), ("src0",))
+    shapes = np.array([quality.shape(t.encode(), "en", "src0", seen) for _, t in docs])
+    assert models["quality"].seen == seen
     y = [float(q) for _, q, _ in labels[:100]]
-    order = sorted(range(100), key=lambda i: (docs[i][0], shapes[i].tolist(), bags[i].tobytes()))
+    order = range(100)
     want = quality.co_train([bags[i] for i in order], shapes[order], [y[i] for i in order], bags[100:], shapes[100:])
     assert np.allclose(models["quality"].text, want.text, atol=1e-5) and np.allclose(models["quality"].joint, want.joint, atol=1e-4)
+
+
+def test_columns_named_like_labels(spark):
+    """Documents with columns `quality` and `toxic` give the same probabilities."""
+    docs, labels = corpus(6, 200)
+    told = spark.createDataFrame(labels[:100], LABELS)
+    plain = quality.classify(frame(spark, docs), told)
+    wide = frame(spark, docs).selectExpr("*", "'x' AS quality", "1.5 AS toxic", "0 AS kept", "1 AS p_quality", "2 AS _t")
+    assert sorted(map(tuple, quality.classify(wide, told).collect())) == sorted(map(tuple, plain.collect()))
+    kept = quality.reject(wide, told)
+    assert kept.columns == wide.columns and kept.count() == plain.where("kept").count()
+
+
+def test_a_repeated_id_is_one_row_of_training(spark, monkeypatch):
+    docs, labels = corpus(7, 200)
+    told = spark.createDataFrame(labels[:100], LABELS)
+    seen = []
+    plain = quality.arrays
+    monkeypatch.setattr(quality, "arrays", lambda *a: seen.append(plain(*a)) or seen[-1])
+    quality.train(frame(spark, docs + docs[:1] * 300 + [(docs[0][0], "another text")]), told)
+    assert len(seen[0]) == 100 == len({r["doc_id"] for r in seen[0]})
+
+
+def test_own_mark_of_every_seen_value():
+    rows = [{"_l": "en", "_s": "good"}] * 5 + [{"_l": None, "_s": "junk"}] * 5 + [{"_l": "fr", "_s": "rare"}] * 4
+    seen = quality.seen_values(rows)
+    assert seen == (("", "en"), ("good", "junk"))
+    assert quality.marks("en", "junk", seen) == [0, 1, 0, 0, 1, 0]
+    assert quality.marks(None, "new", seen) == quality.marks("", "rare", seen) == [1, 0, 0, 0, 0, 1]
+    assert len(quality.shape(b"some text", "xx", None, seen)) == len(quality.outline(b"")) + 6
+
+
+def test_very_long_and_empty_texts(spark):
+    docs, labels = corpus(8, 200)
+    told = spark.createDataFrame(labels[:100], LABELS)
+    found = quality.classify(frame(spark, docs + [(7000, "fox " * 200_000), (7001, ""), (7002, None)]), told)
+    assert {r["doc_id"] for r in found.collect()} >= {7000, 7001, 7002}

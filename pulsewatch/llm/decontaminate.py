@@ -12,10 +12,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsewatch.llm.common import read
+from pulsewatch.llm.common import read, stored
+from pulsewatch.llm.files import parquet_batches
+from pulsewatch.session import run_dir
 
 RATE = 0.08
 ITEM_BYTES = 8 * 1024 * 1024
+READ_ROWS = 10_000
 
 
 def plain(text):
@@ -115,13 +118,24 @@ class Items:
 
 
 def groups_of(benchmark, item_id, item_text, most_bytes):
-    """The items in lists of a bounded size, each to be carried through one pass."""
-    rows = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    """Paths of the distinct items in the shared folder, in groups of about `most_bytes`, each to be read
+    by the tasks of one pass. No item passes through the driver, and an item over that size is a group's only
+    large one."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    distinct = stored(rows.groupBy("i", "t").agg(F.count(F.lit(1)).alias("copies")), "items")
+    total = distinct.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(total / most_bytes))
-    for g in range(n):
-        own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == g).collect()
-        yield sorted(((r["i"], r["t"]) for r in own), key=repr)
+    path = run_dir(benchmark.sparkSession, "llm-item-groups")
+    dealt = distinct.withColumn("g", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    dealt.repartition("g").write.partitionBy("g").parquet(path)
+    return [f"{path}/g={g}" for g in range(n)]
+
+
+def items_of(path, rate):
+    """In a task: the items of a group, ready for searching, and how often each stands in the benchmark."""
+    rows = [r for batch in parquet_batches(path, ["i", "t", "copies"], READ_ROWS) for r in batch.to_pylist()]
+    rows.sort(key=lambda r: (r["i"] is not None, r["i"] or 0, r["t"]))
+    return Items([((r["i"], r["copies"]), r["t"]) for r in rows], rate)
 
 
 def find_items(docs, benchmark, rate=RATE, most_bytes=ITEM_BYTES, id_col="doc_id", text_col="text", item_id="item_id", item_text="text"):
@@ -132,7 +146,8 @@ def find_items(docs, benchmark, rate=RATE, most_bytes=ITEM_BYTES, id_col="doc_id
     characters of the document in lower case with white space runs as one blank; of equal
     matches the first counts. Null, empty and blank texts and items match nothing. Equal
     documents and equal items are found each; null ids are kept; further columns are ignored.
-    Items travel to the tasks in groups of at most `most_bytes`, a pass over the documents each.
+    Tasks read the items from the shared folder, in groups of about `most_bytes`, a pass over the
+    documents each; equal items are searched once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = None
@@ -145,13 +160,14 @@ def find_items(docs, benchmark, rate=RATE, most_bytes=ITEM_BYTES, id_col="doc_id
 SCHEMA = "doc_id long, item_id long, distance long, start long, end long"
 
 
-def search(group, rate):
+def search(path, rate):
     def run(batches):
-        items = Items(group, rate)
+        items = items_of(path, rate)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(doc, *m) for m in items.matches(plain(text))]
+                for (item, copies), *found in items.matches(plain(text)):
+                    out += [(doc, item, *found)] * copies
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "start", "end"])
 
@@ -164,7 +180,7 @@ def clean(docs, benchmark, rate=RATE, most_bytes=ITEM_BYTES, text_col="text", it
     for group in groups_of(benchmark, item_id, item_text, most_bytes):
 
         def keep(batches, group=group):
-            items = Items(group, rate)
+            items = items_of(group, rate)
             for batch in batches:
                 hit = [next(items.matches(plain(t)), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(hit, pa.bool_()))

@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsewatch.llm.common import parallelism, read, stored
-from pulsewatch.llm.files import parquet_batches, place
+from pulsewatch.llm.files import parquet_batches
 from pulsewatch.operators.sizing import fits_broadcast, salted_join
 from pulsewatch.session import run_dir
+from pulsewatch.sources.files import place
 
 LEAST_REVISIT = 100
 FILE_BYTES = 256 * 1024 * 1024

@@ -80,6 +80,15 @@ def test_matches_brute_force(spark, seed, rate, most):
     assert kept.columns == frame(spark, docs).columns
 
 
+def test_equal_items_and_very_long_texts(spark):
+    """An item a thousand times over is searched once and told of a thousand times."""
+    item = "a benchmark item that many rows of the benchmark hold word for word"
+    bench = spark.createDataFrame([(1, item)] * 1000 + [(2, "absent altogether")], "item_id long, text string")
+    docs = [(1, "word " * 100_000 + item), (2, "clean " * 50_000)]
+    found = decontaminate.find_items(frame(spark, docs), bench, most_bytes=200)
+    assert found.groupBy("doc_id", "item_id", "distance").count().collect() == [(1, 1, 0, 1000)]
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "some item")], "item_id long, text string")
     assert decontaminate.find_items(frame(spark, []).limit(0), bench).collect() == []

@@ -100,6 +100,7 @@ def test_bounds_save_scoring(monkeypatch):
 def test_shared_files(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(f"{tmp_path}/t")
     for uri in (f"{tmp_path}/t", f"file:{tmp_path}/t", f"file://{tmp_path}/t"):
+        assert list(files.parquet_batches(uri[:-1] + "absent", ["id"], 7)) == []
         got = [x for b in files.parquet_batches(uri, ["id"], 7) for x in b.column(0).to_pylist()]
         assert sorted(got) == list(range(100))
 

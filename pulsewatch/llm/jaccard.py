@@ -18,8 +18,8 @@ size class and the next. Only texts of one bucket are ever compared, in three st
 1. each set with the first set of each of its buckets; sets that link so form clusters;
 2. within a cluster, all sets with each other, as what is near one text is mostly near the others;
 3. in buckets that reach over several clusters, sets of different ones: as pairs where a bucket
-   has few sets, each pair once however many buckets it shares; as tiles where it has many,
-   a pair counting in the first bucket it shares.
+   has few sets outside its largest cluster, each pair once however many buckets it shares; as
+   tiles where it has many, a pair counting in the first bucket it shares.
 
 Sets that meet in large numbers do so in tiles, size class by size class; only each set's number
 of links and a spanning tree leave the task.
@@ -42,7 +42,7 @@ from pulsewatch.operators.sizing import fits_broadcast, salted_join
 FREQUENT = 64
 SMALL_SET = 32
 TILE = 512
-#: Sets of a bucket up to which its pairs are listed.
+#: Sets of a bucket outside its largest cluster up to which its pairs are listed.
 SMALL_BUCKET = 64
 #: Pairs of one set that a task verifies.
 HOT_PAIRS = 2_000
@@ -298,20 +298,28 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, s
         F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.sum(code).alias("code"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("code2")
     )
     open_buckets = spans.where("low <> high").groupBy("n", "code", "code2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    mixed_sets = stored(told.join(open_buckets, "bucket"), "mixed")
-    few = mixed_sets.where(F.col("n") <= small)
     sizes = sets.select("digest", F.size("shingles").alias("size"))
-    few = few.join(sizes, "digest")
-    x, y = (few.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("digest", "cluster", "size")]) for k in (1, 2))
+    mixed_sets = told.join(open_buckets, "bucket").join(sizes, "digest")
+    # The largest cluster of a bucket, and how many sets are outside it.
+    held = mixed_sets.groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
+    main = held.groupBy("bucket").agg(F.max(F.struct("own", "cluster")).alias("m"), F.first("n").alias("all"))
+    main = main.select("bucket", F.col("m.cluster").alias("main"), (F.col("all") - F.col("m.own")).alias("others"))
+    mixed_sets = stored(salted_join(mixed_sets, main, ["bucket"]).drop("n"), "mixed")
+    few = mixed_sets.where(F.col("others") <= small)
+    # Every pair across clusters has a set outside the largest one: those, of which a bucket has few, meet all.
+    x = few.where(F.col("cluster") != F.col("main")).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("digest", "cluster", "size")])
+    y = few.select("bucket", "main", *[F.col(c).alias(f"{c}2") for c in ("digest", "cluster", "size")])
     alike = den * F.least("size1", "size2") >= num * F.greatest("size1", "size2")
-    met = x.join(y, "bucket").where((F.col("digest1") < F.col("digest2")) & (F.col("cluster1") != F.col("cluster2")) & alike)
+    once = (F.col("cluster2") == F.col("main")) | (F.col("digest1") < F.col("digest2"))
+    met = salted_join(y, x, ["bucket"], hot_rows=HOT_PAIRS).where((F.col("cluster1") != F.col("cluster2")) & alike & once)
+    met = met.select(F.least("digest1", "digest2").alias("digest1"), F.greatest("digest1", "digest2").alias("digest2"))
     pairs = stored(met.select(F.col("digest1").alias("src"), F.col("digest2").alias("dst")).distinct(), "pairs")
     across_pairs = stored(verified(pairs, sets, num, den), "across")
 
     # What meets in tiles: the sets of a cluster, and those of a bucket with many. A set tells the
     # buckets it shares with other clusters, small ones first, so that a pair counts in one place.
-    large = mixed_sets.where(F.col("n") > small).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("family"), "digest", "bucket")
-    rank = F.struct((F.col("n") > small).alias("many"), "bucket")
+    large = mixed_sets.where(F.col("others") > small).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("family"), "digest", "bucket")
+    rank = F.struct((F.col("others") > small).alias("many"), "bucket")
     of_sets = mixed_sets.join(large.select("digest").distinct(), "digest", "left_semi")
     units = of_sets.groupBy("digest").agg(F.collect_set(rank).alias("units"), F.first("cluster").alias("cluster"))
     none = F.lit(None)

@@ -18,8 +18,8 @@ size class and the next. Only texts of one bucket are ever compared, in three st
 1. each set with the first set of each of its buckets; sets that link so form clusters;
 2. within a cluster, all sets with each other, as what is near one text is mostly near the others;
 3. in buckets that reach over several clusters, sets of different ones: as pairs where a bucket
-   has few sets outside its largest cluster, each pair once however many buckets it shares; as
-   tiles where it has many, a pair counting in the first bucket it shares.
+   has few sets outside its largest cluster, each pair once however many buckets it shares; in
+   tiles where it has many, buckets with mostly the same sets together, a pair counting once.
 
 Sets that meet in large numbers do so in tiles, size class by size class; only each set's number
 of links and a spanning tree leave the task.
@@ -44,6 +44,8 @@ SMALL_SET = 32
 TILE = 512
 #: Sets of a bucket outside its largest cluster up to which its pairs are listed.
 SMALL_BUCKET = 64
+#: In place of a bucket: pairs with a small bucket in common count there.
+ALL_SMALL = -(1 << 63)
 #: Pairs of one set that a task verifies.
 HOT_PAIRS = 2_000
 
@@ -256,6 +258,26 @@ def verified(pairs, sets, num, den):
     return met.where(near).where(den * common >= num * (size("a") + size("b") - common)).select("src", "dst")
 
 
+def large_meetings(large):
+    """(family, digest, bucket): the sets that have to meet because of large buckets.
+
+    Buckets that have sets in common hang together. Where all sets of such buckets are fewer pairs than
+    the buckets' own sets, bucket by bucket, they meet once as a whole, else within each bucket.
+    """
+    first = large.groupBy("bucket").agg(F.min("digest").alias("dst"), F.count(F.lit(1)).alias("n"))
+    star = large.join(first, "bucket").select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
+    together = components(star, "large").withColumnRenamed("node", "digest").withColumnRenamed("component", "whole")
+    of_bucket = first.join(together.withColumnRenamed("digest", "dst"), "dst").select("bucket", "whole", "n")
+    cost = of_bucket.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    size = together.groupBy("whole").agg(F.count(F.lit(1)).cast("double").alias("sets"))
+    choice = size.join(cost, "whole").select("whole", (F.col("sets") * F.col("sets") <= F.col("apart")).alias("once"))
+    once = together.join(choice.where("once"), "whole").select(
+        F.concat(F.lit("w"), "whole").alias("family"), "digest", F.lit(ALL_SMALL).alias("bucket")
+    )
+    each = of_bucket.join(choice.where("not once"), "whole").select("bucket").join(large, "bucket")
+    return once.unionByName(each.select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("family"), "digest", "bucket"))
+
+
 def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, small=SMALL_BUCKET, id_col="doc_id", text_col="text"):
     """doc_id, n_shingles, component_id, n_links, component and text_key of every row.
 
@@ -316,18 +338,19 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, s
     pairs = stored(met.select(F.col("digest1").alias("src"), F.col("digest2").alias("dst")).distinct(), "pairs")
     across_pairs = stored(verified(pairs, sets, num, den), "across")
 
-    # What meets in tiles: the sets of a cluster, and those of a bucket with many. A set tells the
-    # buckets it shares with other clusters, small ones first, so that a pair counts in one place.
-    large = mixed_sets.where(F.col("others") > small).select(F.concat(F.lit("b"), F.col("bucket").cast("string")).alias("family"), "digest", "bucket")
-    rank = F.struct((F.col("others") > small).alias("many"), "bucket")
-    of_sets = mixed_sets.join(large.select("digest").distinct(), "digest", "left_semi")
-    units = of_sets.groupBy("digest").agg(F.collect_set(rank).alias("units"), F.first("cluster").alias("cluster"))
+    # What meets in tiles: the sets of a cluster, and those of buckets with many outside the largest one.
     none = F.lit(None)
-    within = cluster.select(
+    family = cluster.select(
         F.concat(F.lit("c"), "cluster").alias("family"), "digest", none.cast("long").alias("bucket"),
         none.cast("array<struct<many:boolean,bucket:long>>").alias("units"), none.cast("string").alias("cluster"),
     )
-    family = within.unionByName(large.join(units, "digest"))
+    large = mixed_sets.where(F.col("others") > small).select("bucket", "digest")
+    if not large.isEmpty():
+        # A set tells the buckets it shares with other clusters, small ones first, so that a pair counts in one place.
+        rank = F.struct((F.col("others") > small).alias("many"), "bucket")
+        of_sets = mixed_sets.join(large.select("digest").distinct(), "digest", "left_semi")
+        units = of_sets.groupBy("digest").agg(F.collect_set(rank).alias("units"), F.first("cluster").alias("cluster"))
+        family = family.unionByName(large_meetings(large).join(units, "digest"))
     # In the meeting of a class, its own sets (lower) meet each other and those of the next (upper).
     member = family.join(sets.select("digest", "shingles", "copies", "size_class"), "digest")
     role = F.explode(F.array(F.struct(F.lit(True).alias("lower"), F.col("size_class").alias("at")), F.struct(F.lit(False).alias("lower"), (F.col("size_class") - 1).alias("at"))))

@@ -1,9 +1,15 @@
 """A user-defined average, as a partial aggregate and as a SQL function."""
 
+import sys
+
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def user_avg(df, keys, value, name="user_avg"):
     """User-defined average with a map-side partial step.
@@ -29,6 +35,33 @@ def user_avg(df, keys, value, name="user_avg"):
     return merged.agg(evaluate.alias(name))
 
 
+class UpdateAverage:
+    """Table function: the rows of one key and salt, one at a time, to one (key, count, sum) buffer."""
+
+    def __init__(self):
+        self.key, self.n, self.s = None, 0, 0.0
+
+    def eval(self, row: Row):
+        self.key = row["key"]
+        if row["value"] is not None:
+            self.n += 1
+            self.s += row["value"]
+
+    def terminate(self):
+        yield self.key, self.n, self.s
+
+
+def user_avg_sql(spark, table, key, value, name="user_avg", salts=32):
+    """The average in SQL, in two levels: a table function makes a buffer per key and salt, holding
+    one row at a time, and ordinary sums merge the buffers. A key is spread over `salts` tasks."""
+    spark.udtf.register("user_avg_update", F.udtf(UpdateAverage, returnType="key string, n long, s double"))
+    rows = f"SELECT CAST({key} AS STRING) AS key, CAST({value} AS DOUBLE) AS value, CAST(rand(7) * {salts} AS INT) AS salt FROM {table}"
+    return spark.sql(
+        f"""SELECT key AS {key}, sum(s) / nullif(sum(n), 0) AS {name}
+            FROM user_avg_update(TABLE({rows}) PARTITION BY (key, salt)) GROUP BY key"""
+    )
+
+
 def register_user_avg(spark, name="user_avg"):
     """Register the average for SQL text. A group is one Python task: small groups only."""
 

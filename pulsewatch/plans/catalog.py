@@ -866,8 +866,8 @@ def trailing_range_special(spark, sf_dir):
 STEP_SQL = """
     SELECT seq, resource, metric, ts, count(value) OVER w AS cnt, avg(value) OVER w AS mean,
            min(value) OVER w AS min, max(value) OVER w AS max, round(ln(1 + stddev_pop(value) OVER w), 2) AS stddev
-    FROM (SELECT * REPLACE (value + CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN 1e12::DOUBLE ELSE 0 END AS value)
-          FROM m WHERE metric LIKE '%.k')
+    FROM (SELECT * REPLACE (round(value * 100) + CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN 1e12::DOUBLE ELSE 0 END AS value)
+          FROM m)
     WINDOW w AS (PARTITION BY resource, metric ORDER BY ts
                  RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)"""
 
@@ -875,8 +875,8 @@ STEP_SQL = """
 @query("trailing_range_step", with_sql(STEP_SQL))
 def trailing_range_step(spark, sf_dir):
     later = F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    rows = metrics(spark, sf_dir).drop("name").where(F.col("metric").endswith(".k"))
-    rows = rows.withColumn("value", F.col("value") + F.when(later, 1e12).otherwise(0.0))
+    rows = metrics(spark, sf_dir).drop("name")
+    rows = rows.withColumn("value", F.round(F.col("value") * 100) + F.when(later, 1e12).otherwise(0.0))
     found = windows.trailing_stats(rows, "6 hours").drop("value")
     return found.withColumn("stddev", F.round(F.log(1 + F.col("stddev")), 2))
 
@@ -1210,11 +1210,15 @@ def last_offset(spark, sf_dir):
     return ops.last_offset(progress(spark, sf_dir))
 
 
-@query("offset_history", f"SELECT query, date_trunc('milliseconds', ts) AS ts, start_offset FROM ({PROGRESS_SQL}) WHERE query = 'q1'")
+@query("offset_history", f"SELECT query, date_trunc('milliseconds', ts) AS ts, start_offset FROM ({PROGRESS_SQL})")
 def offset_history(spark, sf_dir):
-    """Offsets written as history text and read back."""
-    lines = progress(spark, sf_dir).where("query = 'q1'").select(ops.history_line().alias("value"))
-    return plain_times(ops.parse_history(lines, "q1").select("query", "ts", "start_offset"), "ts")
+    """The offsets of each query written as history text and read back."""
+    entries, found = progress(spark, sf_dir), None
+    for name in ("q0", "q1", "q2"):
+        lines = entries.where(F.col("query") == name).select(ops.history_line().alias("value"))
+        own = ops.parse_history(lines, name).select("query", "ts", "start_offset")
+        found = own if found is None else found.unionByName(own)
+    return plain_times(found, "ts")
 
 
 @query(
@@ -1485,14 +1489,15 @@ def stream_changed_rules(spark, sf_dir):
     """A rule that changes while the stream runs: from the third micro-batch on."""
     base = run_dir(spark, "changed")
     rows = given.metrics_of(event_files(spark, sf_dir, base))
-    calls = []
 
-    def load():
-        limit = 50.0 if len(calls) < CHANGED_AT else 90.0
-        calls.append(limit)
-        return rule_rows(spark, [{"rule_id": "changed", "resource": "server1", "metric": "click.value", "op": ">", "threshold": limit}])
+    class Rules:
+        """Rules that change with a batch, not with how often they are read."""
+
+        def of_batch(self, batch_id):
+            limit = 50.0 if batch_id < CHANGED_AT else 90.0
+            return rule_rows(spark, [{"rule_id": "changed", "resource": "server1", "metric": "click.value", "op": ">", "threshold": limit}])
 
-    _finish(live.start_detection(rows, load, f"{base}/alarms", f"{base}/checkpoint", available_now=True))
+    _finish(live.start_detection(rows, Rules(), f"{base}/alarms", f"{base}/checkpoint", available_now=True))
     return read_batches(spark, f"{base}/alarms", live.ALARMS).select("rule_id", "seq", "detect")
 
 

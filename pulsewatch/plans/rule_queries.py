@@ -2,30 +2,44 @@
 
 from pyspark.sql import functions as F
 
+from pulsewatch.functions.averages import user_avg_sql
+from pulsewatch.functions.predicates import raw_condition
 from pulsewatch.functions.times import micros
-from pulsewatch.operators import detect, history, intervals, keywords
+from pulsewatch.operators import cep, detect, history, intervals, keywords
+from pulsewatch.operators import progress as ops
 from pulsewatch.plans import tables as given
 from pulsewatch.plans.catalog import (
     CHANGES_SQL,
     CONTINUOUS,
     CONTINUOUS_ALARM_SQL,
     CONTINUOUS_SQL,
+    DEEP,
+    DEEP_SQL,
     DETECT_SQL,
+    LEAF_COLUMNS,
+    LEAVES,
+    ORACLES,
+    PROGRESS_SQL,
     STREAK_SQL,
     _finish,
+    composed_sql,
     event_files,
     holds_sql,
     metrics,
     plain_times,
     query,
+    rollup_sql,
     rule_rows,
     thresholds,
+    values_sql,
     with_sql,
 )
 from pulsewatch.session import run_dir
+from pulsewatch.sources import replay, sink
+from pulsewatch.sources.files import place, put_once
 from pulsewatch.sources.tables import read_batches
 from pulsewatch.sources.versions import RuleVersions
-from pulsewatch.streaming import keyed, live
+from pulsewatch.streaming import composed, keyed, live
 
 # Log rules out of the documents: a hundred pieces of each text, every second for its language only.
 MANY_KEYWORDS_SQL = """
@@ -221,3 +235,190 @@ def stream_pinned_rules(spark, sf_dir):
     now["limit"] = 90.0
     _finish(start(rules))
     return read_batches(spark, f"{base}/alarms", live.ALARMS).select("rule_id", "seq", "detect")
+
+
+COMPOSED_STREAM_SQL = composed_sql(DEEP_SQL, ["v1", "v2", "v3", "v4", "v6"], "n, ")
+
+
+@query(
+    "stream_composed",
+    with_sql(
+        COMPOSED_STREAM_SQL.replace("SELECT n, ", "SELECT CAST(n AS BIGINT) AS batch_id, ").replace(
+            "p AS (SELECT CAST(n AS BIGINT) AS batch_id, ", "p AS (SELECT n, "
+        ),
+        v=values_sql(LEAVES, LEAF_COLUMNS),
+        b="""SELECT event_id, least(3, (epoch_us(ts) - f) * 4 // greatest(1, l - f)) AS n
+             FROM events, (SELECT min(epoch_us(ts)) AS f, max(epoch_us(ts)) AS l FROM events)""",
+        s="""SELECT a.n, m.resource, m.metric, arg_max(m.value, row(m.ts, m.seq)) AS value
+             FROM (SELECT unnest(range(4)) AS n) a JOIN b ON b.n <= a.n JOIN m ON m.seq = b.event_id GROUP BY ALL""",
+        x=f"""SELECT a.n, v.leaf_id, {holds_sql('coalesce(v.value, s.value)', 'v.op', 'v.threshold', 'NULL')} AS result
+              FROM v CROSS JOIN (SELECT unnest(range(4)) AS n) a
+              LEFT JOIN s ON s.n = a.n AND v.resource = s.resource AND v.metric = s.metric""",
+    ),
+)
+def stream_composed(spark, sf_dir):
+    """The verdict of every composed rule after each of four micro-batches, out of the changes alone."""
+    base = run_dir(spark, "composed")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    nodes = cep.node_frame(spark, *DEEP.items())
+    _finish(
+        composed.start_composed(
+            rows, cep.leaf_frame(spark, LEAVES), nodes, base, f"{base}/checkpoint", compact_every=2, available_now=True
+        )
+    )
+    changes = read_batches(spark, f"{base}/changes", composed.CHANGES)
+    after = spark.range(4).withColumnRenamed("id", "n").join(changes, F.col("batch_id") <= F.col("n"))
+    last = after.groupBy("n", "rule_id").agg(F.max_by(F.struct("result"), "batch_id").alias("r"))
+    return last.select(F.col("n").alias("batch_id"), "rule_id", "r.result")
+
+
+@query(
+    "stream_sink",
+    with_sql(
+        """SELECT rule_id, detect, CAST(detect AS BIGINT) AS occur_count, ts AS occur_timestamp, seq, metric, value FROM d""",
+        d=DETECT_SQL,
+    ),
+)
+def stream_sink(spark, sf_dir):
+    """Alarms through the sink, with a task that fails when it has written its rows, and a query that goes on."""
+    base = run_dir(spark, "sink")
+    failed = f"{base}/failed"
+    sink.register_sink(spark)
+
+    def fails_once(batches):
+        for batch in batches:
+            yield batch
+            system, path = place(failed)
+            if batch.num_rows and put_once(system, path, b""):
+                raise RuntimeError("the task ends here")
+
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    found = live.as_alarms(detect.simple_alarms(detect.detect(rows, thresholds(spark))))
+    alarms = found.mapInArrow(fails_once, found.schema)
+    for _ in range(3):
+        started = sink.start_sink(alarms, f"{base}/alarms", f"{base}/checkpoint", available_now=True)
+        try:
+            _finish(started)
+            break
+        except Exception:
+            if "the task ends here" not in str(started.exception()):
+                raise
+    told = sink.read_committed(spark, f"{base}/alarms", live.ALARMS)
+    return plain_times(told.select("rule_id", "detect", "occur_count", "occur_timestamp", "seq", "metric", "value"), "occur_timestamp")
+
+
+LOG_COLUMNS = "event_id long, part int, user_id long, event_type string, value double"
+REPLAY_AT = "2024-01-15 00:00:00"
+
+
+@query(
+    "stream_replay",
+    f"""
+    WITH e AS ({PROGRESS_SQL}),
+    pairs AS (SELECT ts, start_offset, lead(ts) OVER (ORDER BY ts, batch_id) AS to_ts, row_number() OVER (ORDER BY ts, batch_id) AS n
+              FROM e WHERE query = 'q1'),
+    o AS (SELECT CAST(json_extract_string(start_offset, '$.metric."0"') AS BIGINT) AS first FROM pairs
+          WHERE TIMESTAMP '{REPLAY_AT}' <= to_ts AND (TIMESTAMP '{REPLAY_AT}' > ts OR n = 1))
+    SELECT event_id, CAST(user_id % 4 AS INTEGER) AS part, user_id, event_type, value, "offset" FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS "offset" FROM events)
+    WHERE "offset" >= CASE WHEN user_id % 4 = 0 THEN (SELECT first FROM o) ELSE 0 END""",
+)
+def stream_replay(spark, sf_dir):
+    """The events as a log of four partitions, replayed from the offset recorded for a time, in bounded batches."""
+    base = run_dir(spark, "replay")
+    events = given.table(spark, sf_dir, "events").withColumn("part", (F.col("user_id") % 4).cast("int"))
+    columns = [c.split()[0] for c in LOG_COLUMNS.split(", ")]
+    log = replay.write_log(events.select(*columns, "ts"), f"{base}/log", "part", ["ts", "event_id"])
+    start = ops.offset_at(given.progress(spark, sf_dir), "q1", REPLAY_AT)
+    most = max(4, events.count() // 5)
+    rows = replay.stream_log(spark, log, LOG_COLUMNS, f"{base}/checkpoint", start, max_rows=most)
+    started = live.start_table(rows, f"{base}/out", f"{base}/checkpoint")
+    try:
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+WINDOW_LATE = "3 hours"
+
+
+@query(
+    "stream_window_join",
+    ORACLES["window_join_filter"] + f" AND a.window_end <= (SELECT date_trunc('milliseconds', max(ts)) FROM m) - INTERVAL '{WINDOW_LATE}'",
+)
+def stream_window_join(spark, sf_dir):
+    """Two streams joined on windows, over four micro-batches: the rows of closed windows."""
+    base = run_dir(spark, "window-join")
+    joined = live.window_join(
+        given.metrics_of(event_files(spark, sf_dir, base)),
+        raw_condition("metric = 'error.k' AND value > 50"),
+        raw_condition("metric = 'purchase.value' AND value > 20"),
+        "6 hours",
+        "3 hours",
+        2,
+        late=WINDOW_LATE,
+    )
+    _finish(live.start_table(joined, f"{base}/out", f"{base}/checkpoint", available_now=True))
+    found = spark.read.schema(joined.schema).parquet(f"{base}/out")
+    return plain_times(found.drop("ts", "name"), "window_start", "window_end")
+
+
+VIEW_FROM, VIEW_UNTIL = "2024-01-10 00:00:00", "2024-01-11 00:00:00"
+
+
+@query(
+    "rollup_mean_view",
+    with_sql(
+        f"""
+    SELECT resource, metric, round(sum(cnt * mean) / sum(cnt), 6) AS mean, CAST(sum(cnt) AS BIGINT) AS cnt FROM u
+    WHERE window_start BETWEEN TIMESTAMP '{VIEW_FROM}' AND TIMESTAMP '{VIEW_UNTIL}' AND cnt > 0 GROUP BY ALL""",
+        u=rollup_sql("6 hours"),
+    ),
+)
+def rollup_mean_view(spark, sf_dir):
+    """Means over a day out of a streamed view that is divided by hours: only that day's are opened."""
+    base = run_dir(spark, "rollup-hours")
+    view = live.rollup_table(spark, f"{base}/view", layout="1 hour")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    _finish(live.start_rollup_view(rows, view, f"{base}/checkpoint", "6 hours", compact_every=2, available_now=True))
+    day = view.read(between=(VIEW_FROM, VIEW_UNTIL)).where("cnt > 0")
+    mean = F.sum(F.col("cnt") * F.col("mean")) / F.sum("cnt")
+    found = day.groupBy("resource", "metric").agg(F.round(mean, 6).alias("mean"), F.sum("cnt").alias("cnt"))
+    return found
+
+
+@query("user_avg_sql", ORACLES["user_avg"])
+def user_average_sql(spark, sf_dir):
+    """The user-defined average in SQL text, no group of which has to fit a task."""
+    metrics(spark, sf_dir).createOrReplaceTempView("metric_rows")
+    found = user_avg_sql(spark, "metric_rows", "metric", "value")
+    return found.withColumn("user_avg", F.round("user_avg", 6))
+
+
+@query(
+    "stream_update_counts",
+    with_sql("SELECT metric, count(*) AS cnt, max(value) AS most FROM m GROUP BY metric"),
+)
+def stream_update_counts(spark, sf_dir):
+    """A stateful count in update mode, over four micro-batches: each writes the groups it changed."""
+    base = run_dir(spark, "update-counts")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    counted = rows.groupBy("metric").agg(F.count(F.lit(1)).alias("cnt"), F.max("value").alias("most"))
+    started, table = live.start_upserts(counted, f"{base}/counts", ["metric"], f"{base}/checkpoint", available_now=True)
+    _finish(started)
+    return table.read().drop("batch_id")
+
+
+@query("stream_processing_time", with_sql(DETECT_SQL.replace("m.ts, m.seq,", "m.seq,")))
+def stream_processing_time(spark, sf_dir):
+    """Detection on a processing-time trigger, until what there is has been worked off."""
+    base = run_dir(spark, "processing-time")
+    rows = given.metrics_of(event_files(spark, sf_dir, base))
+    found = detect.detect(rows, thresholds(spark)).drop("ts", "name")
+    started = live.start_table(found, f"{base}/out", f"{base}/checkpoint", every="100 milliseconds")
+    try:
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    return spark.read.schema(found.schema).parquet(f"{base}/out")

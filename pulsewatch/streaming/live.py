@@ -120,8 +120,8 @@ def start_state_view(metrics, table, checkpoint, keys=KEYS, compact_every=COMPAC
     return per_batch(metrics, handle, checkpoint, **options)
 
 
-def rollup_table(spark, path, keys=KEYS):
-    """The rollup view as a table of partials."""
+def rollup_table(spark, path, keys=KEYS, layout=None):
+    """The rollup view as a table of partials, divided by stretches of `layout` (a duration) if given."""
     columns = ", ".join(f"{k} string" for k in keys)
     by = ["window_start", "window_end", *keys]
     return PartialTable(
@@ -130,6 +130,7 @@ def rollup_table(spark, path, keys=KEYS):
         f"window_start timestamp, window_end timestamp, {columns}, "
         "cnt long, mean double, m2 double, min double, max double",
         lambda partials: merge_moments(partials, by).withColumn("stddev", sample_stddev()),
+        layout and ("window_start", layout),
     )
 
 
@@ -167,13 +168,15 @@ def rule_change_table(spark, path):
     )
 
 
-def start_rule_changes(changes, table, checkpoint, **options):
-    """Keep the last change per rule out of a stream of rule changes; columns not sent are null."""
+def start_rule_changes(changes, table, checkpoint, compact_every=COMPACT_EVERY, **options):
+    """Keep the last change per rule out of a stream of rule changes, folded after every
+    `compact_every` batches; columns not sent are null."""
 
     def handle(batch, batch_id):
         none = {f.name: F.lit(None).cast(f.dataType) for f in schema.RULES.fields if f.name not in batch.columns}
         full = batch.withColumns(none).select(*[F.col(f.name).cast(f.dataType) for f in schema.RULES.fields])
         table.write(table.merge(full), batch_id)
+        table.keep(batch_id, compact_every)
 
     return per_batch(changes, handle, checkpoint, **options)
 
@@ -248,6 +251,43 @@ def window_alarms(metrics, condition, size="1 minute", slide="1 second", mark_co
     )
 
 
+def window_join(metrics, window_condition, join_condition, size, slide=None, mark_count=1, keys=("resource",), late="1 hour"):
+    """`windows.window_join` on a stream: rows meeting one condition inside closed windows in which
+    another one reached its mark.
+
+    A join of two streams on window and keys. The counts of a window come when the watermark, `late`
+    behind the newest row, has passed its end; until then its rows wait in state, and both sides are
+    let go with it, so state holds the rows of open windows only.
+    """
+    seen = metrics.withWatermark("ts", late)
+    window = F.window("ts", duration(micros(size)), duration(micros(slide or size)))
+    marked = seen.where(window_condition).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("cnt"))
+    # The window is the time that counts from here on.
+    plain_time = F.timestamp_micros(F.unix_micros("ts"))
+    others = seen.where(join_condition).withColumn("w", window).withColumn("_ts", plain_time).drop("ts").withColumnRenamed("_ts", "ts")
+    joined = others.join(marked.where(F.col("cnt") >= mark_count), ["w", *keys])
+    bounds = [F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")]
+    return joined.select(*bounds, *[c for c in metrics.columns], "cnt")
+
+
+def start_upserts(counted, path, keys, checkpoint, **options):
+    """A stateful aggregate in update mode: each micro-batch writes the groups that changed, as a table
+    of partials whose newest row per key counts. Returns the query and the table."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema.fields)
+
+    def newest(rows):
+        rest = [c for c in rows.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
+
+    table = PartialTable(counted.sparkSession, path, f"{columns}, batch_id long", newest)
+
+    def handle(batch, batch_id):
+        table.write(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), batch_id)
+        table.keep(batch_id)
+
+    return per_batch(counted, handle, checkpoint, mode="update", **options), table
+
+
 def start_table(df, path, checkpoint, **options):
     """Append a stream to a parquet table, each row exactly once."""
     return _writer(df, checkpoint, **options).format("parquet").option("path", path).start()

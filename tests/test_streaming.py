@@ -130,6 +130,7 @@ def test_views_equal_one_batch_over_all_rows_late_ones_too(spark, feed, tmp_path
         feed.send(data[i : i + 100])
     state = live.state_table(spark, str(tmp_path / "state"))
     rolled = live.rollup_table(spark, str(tmp_path / "rollups"))
+    state.lease = rolled.lease = 0  # readers of this test need no folder for long
     live.start_state_view(feed.stream(), state, str(tmp_path / "cp1"), available_now=True).awaitTermination()
     live.start_rollup_view(
         feed.stream(), rolled, str(tmp_path / "cp2"), "10 minutes", available_now=True

@@ -51,8 +51,11 @@ def shipped(spark, value):
 
 
 def received(shared):
-    """In a task: the value of a `shipped` broadcast."""
-    return pickle.loads(shared.value)
+    """In a task: the value of a `shipped` broadcast, made once a worker and kept with the broadcast."""
+    if not hasattr(shared, "_received"):
+        shared._received = pickle.loads(shared.value)
+        del shared._value  # the bytes have done their work
+    return shared._received
 
 
 def texts_of(column):

@@ -26,7 +26,7 @@ from pulsewatch.llm.superkmers import BASE, INVERSE, powers
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG_UNIT = 1_000
-MOST_CACHED = 500_000
+MOST_CACHED = 200_000
 BATCH_CHARS = 1 << 20
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2

@@ -27,6 +27,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG_UNIT = 1_000
 MOST_CACHED = 200_000
+#: Rows of a batch turned into strings at once.
+SLICE_ROWS = 500
 BATCH_CHARS = 1 << 20
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
@@ -356,7 +358,7 @@ def encode(docs, model=MODEL, id_col="doc_id", text_col="text"):
     def run(batches):
         known = received(shared)
         encoder = Encoder(known)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in batches_of(all_texts, BATCH_CHARS):
                 texts = all_texts[low:high]

@@ -4,21 +4,37 @@ A line that holds a keyword holds each of its n-grams (pieces of n bytes). The i
 one of its n-grams, the one that fewest keywords have. A line's distinct n-grams are looked up there, and
 only the keywords found are searched for in the line. So the cost is that of reading the lines, and of
 the keywords that nearly occur, not lines times rules.
+
+Rules too many for every task are dealt out instead, and each task passes the stored lines by its share of
+them: there a keyword is filed under its first bytes, up to HEADS[-1] of them, and no n-gram is shipped.
 """
 
+import math
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsewatch.operators import sizing
 from pulsewatch.operators.detect import detect_logs
-from pulsewatch.operators.sizing import fits_broadcast, salted_join
-from pulsewatch.session import cut_lineage
+from pulsewatch.operators.sizing import row_bytes, salted_join
+from pulsewatch.session import run_dir
+from pulsewatch.sources.files import place
 
 GRAM = 4
+#: Bytes at the start of a keyword it is filed under in a share of the rules: the most it has.
+HEADS = (1, 2, 3, 4, 8, 12)
+#: Rules a task holds at once, rules below which no task is added, and lines stored and searched together.
+SHARE_RULES = 500_000
+LEAST_RULES = 50_000
+STORED_ROWS = 512
+BLOCK = 1 << 20
+OUT_BYTES = 32 << 20
 TABLE_BITS = 20
 INDEX = "gram long, keyword string, rule_id string, own string"
 
@@ -99,30 +115,44 @@ class Lookup:
                             yield rule_id
 
 
-def detect_keywords(logs, rules, spread=None):
+def detect_keywords(logs, rules, spread=None, columns=None):
     """Log rows with each log rule they meet: the same rows as `detect.detect_logs`.
 
     Rules with op `like` and a keyword go through the index; `=` is a join on the whole line. `!=` and
     the empty keyword, which nearly every line meets, are tested on each line as there. An index
     measured small goes to every task, and lines do not move. Past the bound (or with `spread`) lines
-    are numbered and stored, their distinct n-grams joined to the index, and the keywords that
-    meet searched in the lines joined back by number.
+    are written to the shared folder once and rules are dealt out; each task passes all lines by its
+    rules, so nothing is shuffled but the rules, and all hits of a rule come from one task. `columns`
+    names the columns of `logs` to return, if not all: a line with many hits is copied to each.
     """
-    keyword = F.col("keyword").isNotNull()
-    like = rules.where(keyword & (F.col("op") == "like") & (F.col("keyword") != ""))
-    equal = rules.where(keyword & (F.col("op") == "="))
-    rest = rules.where(keyword & ((F.col("op") == "!=") | ((F.col("op") == "like") & (F.col("keyword") == ""))))
-    index = cut_lineage(keyword_index(like))
-    out = T.StructType([T.StructField("rule_id", T.StringType()), *logs.schema.fields])
+    columns = logs.columns if columns is None else list(columns)
+    # The op first: keywords of rules with another one need not be made.
+    keyword, op = F.col("keyword").isNotNull(), F.col("op")
+    is_like = (op == "like") & keyword & (F.col("keyword") != "")
+    is_equal = (op == "=") & keyword
+    is_rest = ((op == "!=") & keyword) | ((op == "like") & keyword & (F.col("keyword") == ""))
+    like, equal, rest = rules.where(is_like), rules.where(is_equal), rules.where(is_rest)
+    known = rules.agg(
+        F.count_if(is_like).alias("like"),
+        F.sum(F.when(is_like, row_bytes(rules.schema))).alias("bytes"),
+        F.count_if(is_rest).alias("rest"),
+        F.max(F.when(is_equal, F.octet_length("keyword"))).alias("longest"),
+    ).first()
+    if spread is None:
+        spread = known["like"] > sizing.BROADCAST_ROWS or (known["bytes"] or 0) > sizing.BROADCAST_BYTES
+    fields = logs.select(*columns).schema.fields
+    out = T.StructType([T.StructField("rule_id", T.StringType()), *fields])
     same_line = equal.select(F.col("keyword").alias("log"), F.col("rule_id"), F.col("resource").alias("_own"))
-    same = salted_join(logs, same_line, ["log"]).where("_own is null or _own = resource").select("rule_id", *logs.columns)
-    found = (_spread if spread or (spread is None and not fits_broadcast(index)) else _sent)(logs, index, out)
+    # No longer line can be equal, so that most do not move.
+    short = logs.where(F.octet_length("log") <= (known["longest"] or 0))
+    same = salted_join(short, same_line, ["log"]).where("_own is null or _own = resource").select("rule_id", *columns)
+    found = _spread(logs, like, known["like"], out) if spread else _sent(logs, like, out)
     found = found.unionByName(same)
-    return found if rest.isEmpty() else found.unionByName(detect_logs(logs, rest))
+    return found if not known["rest"] else found.unionByName(detect_logs(logs, rest).select("rule_id", *columns))
 
 
-def _sent(logs, index, out):
-    rows = index.toArrow()
+def _sent(logs, like, out):
+    rows = keyword_index(like).toArrow()
     shared = logs.sparkSession.sparkContext.broadcast(list(zip(*(c.to_pylist() for c in rows.columns))))
 
     def run(batches):
@@ -137,24 +167,177 @@ def _sent(logs, index, out):
                     at += [i] * len(met)
                     ids += met
             if ids:
-                own = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *own.columns], names=["rule_id", *batch.schema.names])
+                own = batch.select(out.names[1:]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *own.columns], names=out.names)
 
     return logs.mapInArrow(run, out)
 
 
-def _spread(logs, index, out):
-    lines = cut_lineage(logs.withColumn("_row", F.monotonically_increasing_id()))
-    sizes = [r["n"] for r in index.select(F.shiftright("gram", 32).alias("n")).distinct().collect()]
+def texts_of(strings):
+    """An array of strings as bytes end to end with room for reads past the end, and where each ends."""
+    strings = strings.cast(pa.binary()).fill_null(b"")
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    begin, end = (int(offsets[0]), int(offsets[-1])) if len(strings) else (0, 0)
+    data = np.zeros(end - begin + 32, np.uint8)
+    if end > begin:
+        data[: end - begin] = np.frombuffer(strings.buffers()[2], np.uint8)[begin:end]
+    return data, offsets[1:].astype(np.int64) - begin
+
+
+def eights(data):
+    """The eight bytes from each place of some bytes on as a number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+
+
+def head(own, last, n):
+    """Heads of n bytes mixed into one number each, out of their first and their last eight bytes."""
+    if n < 8:
+        own = own & np.uint64((1 << 8 * n) - 1)
+    if n > 8:
+        own = own * np.uint64(0xC2B2AE3D27D4EB4F) ^ last
+    return own * np.uint64(0x9E3779B97F4A7C15)
+
+
+class Share:
+    """Some rules in memory: their distinct keywords filed under their first bytes, and the rules of each."""
+
+    def __init__(self, keywords, rule_ids, owns):
+        coded = keywords.dictionary_encode()
+        number = coded.indices.to_numpy()
+        self.rule_ids = rule_ids
+        self.rules = np.argsort(number, kind="stable")
+        self.many = np.bincount(number, minlength=len(coded.dictionary))
+        self.first = np.cumsum(self.many) - self.many
+        own = owns.dictionary_encode()
+        self.resources = {r: i for i, r in enumerate(own.dictionary.to_pylist())}
+        self.own = own.indices.fill_null(-1).to_numpy()[self.rules]
+        self.data, ends = texts_of(coded.dictionary)
+        self.begin = np.r_[0, ends[:-1]].astype(np.int64)
+        self.size = ends - self.begin
+        self.words = eights(self.data)
+        place = np.searchsorted(HEADS, self.size, "right") - 1
+        self.filed = []
+        for i in np.unique(place).tolist():
+            members = np.flatnonzero(place == i)
+            bits = min(22, max(8, len(members).bit_length() + 3))
+            begin, n = self.begin[members], HEADS[i]
+            slot = self.slots(head(self.words[begin], self.words[begin + max(0, n - 8)], n), bits)
+            order = np.argsort(slot, kind="stable")
+            counts = np.bincount(slot, minlength=1 << bits)
+            self.filed.append((n, bits, counts > 0, np.r_[0, np.cumsum(counts)], members[order]))
+
+    @staticmethod
+    def slots(heads, bits):
+        return (heads >> np.uint64(64 - bits)).astype(np.int64)
+
+    def occur(self, words, ends):
+        """(keyword, line) of every place in some lines where a keyword stands."""
+        for low in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
+            high = min(low + BLOCK, int(ends[-1]))
+            for n, bits, used, firsts, members in self.filed:
+                last = max(0, n - 8)
+                slot = self.slots(head(words[low:high], words[low + last : high + last], n), bits)
+                near = np.flatnonzero(used[slot])
+                slot = slot[near]
+                begin, count = firsts[slot], firsts[slot + 1] - firsts[slot]
+                which = members[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                at = np.repeat(near + low, count)
+                held = self.same(words, which, at, 0)
+                which, at = which[held], at[held]
+                line = np.searchsorted(ends, at, "right")
+                whole = at + self.size[which] <= ends[line]
+                which, at, line = which[whole], at[whole], line[whole]
+                for byte in range(8, int(self.size[which].max(initial=0)), 8):
+                    more = np.flatnonzero(self.size[which] > byte)
+                    held = np.ones(len(which), bool)
+                    held[more] = self.same(words, which[more], at[more], byte)
+                    which, at, line = which[held], at[held], line[held]
+                yield which, line
+
+    def same(self, words, which, at, byte):
+        left = np.minimum(self.size[which] - byte, 8).astype(np.uint64)
+        differ = words[at + byte] ^ self.words[self.begin[which] + byte]
+        return differ << (np.uint64(64) - np.uint64(8) * left) == 0
+
+    def hits(self, lines, resources, most):
+        """Numbers of the lines with those of the rules they meet, by rule, about `most` at a time."""
+        data, ends = texts_of(lines)
+        found = [w * len(lines) + n for w, n in self.occur(eights(data), ends)]
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        which, line = pairs // max(1, len(lines)), pairs % max(1, len(lines))
+        where = np.array([self.resources.get(r, -2) if r is not None else -2 for r in resources.to_pylist()], np.int64)
+        reach = np.cumsum(self.many[which])
+        low = 0
+        while low < len(which):
+            high = max(low + 1, int(np.searchsorted(reach, (reach[low - 1] if low else 0) + most, "right")))
+            many = self.many[which[low:high]]
+            at = np.repeat(self.first[which[low:high]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            on = np.repeat(line[low:high], many)
+            own = self.own[at]
+            holds = (own == -1) | (own == where[on])
+            yield on[holds], self.rules[at[holds]]
+            low = high
+
+
+def stored(logs, folder):
+    """Writes the lines to Arrow files in the shared folder; the names of those of tasks that ended."""
+
+    def save(batches):
+        system, path = place(folder)
+        system.create_dir(path, recursive=True)
+        name, writer = uuid.uuid4().hex, None
+        with system.open_output_stream(f"{path}/{name}", compression=None) as file:
+            for batch in batches:
+                options = pa.ipc.IpcWriteOptions(compression="zstd")
+                writer = writer or pa.ipc.new_stream(file, batch.schema, options=options)
+                for at in range(0, batch.num_rows, STORED_ROWS):
+                    writer.write_batch(batch.slice(at, STORED_ROWS))
+            if writer:
+                writer.close()
+        if writer:
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    return sorted(r["name"] for r in logs.mapInArrow(save, "name string").collect())
+
+
+def lines_of(folder, names):
+    """Batches of stored lines."""
+    system, path = place(folder)
+    for name in names:
+        with system.open_input_stream(f"{path}/{name}", compression=None) as file:
+            yield from pa.ipc.open_stream(file)
+
+
+def shares(batches):
+    """Tables of at most about SHARE_RULES rules."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= SHARE_RULES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _spread(logs, like, total, out):
+    folder, columns = run_dir(logs.sparkSession, "lines"), out.names[1:]
+    needed = list(dict.fromkeys([*columns, "log", "resource"]))
+    names = stored(logs.where("log is not null").select(*needed), folder)
+    wanted = min(logs.sparkSession.sparkContext.defaultParallelism, total // LEAST_RULES)
+    tasks = max(1, wanted, math.ceil(total / SHARE_RULES))
 
     def run(batches):
-        for batch in batches:
-            for row, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.unique(np.concatenate([np.zeros(0, np.int64), *(grams((line or "").encode(), n) for n in sizes)]))
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), row)), pa.array(own)], names=["_row", "gram"])
-
-    held = lines.select("_row", "log").mapInArrow(run, "_row long, gram long")
-    near = salted_join(held, index, ["gram"]).select("_row", "keyword", F.col("rule_id"), "own")
-    met = near.join(lines, "_row").where(F.contains("log", "keyword") & (F.col("own").isNull() | (F.col("own") == F.col("resource"))))
-    return met.select("rule_id", *logs.columns)
+        for rules in shares(batches):
+            known = Share(*(rules.column(i).combine_chunks() for i in range(3)))
+            for batch in lines_of(folder, names):
+                lines, resources, shown = batch["log"], batch["resource"], batch.select(columns)
+                wide = max(64, -(-shown.nbytes // batch.num_rows), int(pc.max(pc.binary_length(lines)).as_py()) if "log" in columns else 0)
+                for line, rule in known.hits(lines, resources, max(1, OUT_BYTES // wide)):
+                    if len(line):
+                        own = shown.take(pa.array(line))
+                        yield pa.RecordBatch.from_arrays([known.rule_ids.take(pa.array(rule)), *own.columns], names=out.names)
+
+    dealt = like.select("keyword", "rule_id", "resource").repartition(tasks, "rule_id", "keyword")
+    return dealt.mapInArrow(run, out)

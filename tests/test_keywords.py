@@ -51,3 +51,24 @@ def test_the_plan_has_no_test_of_every_rule(spark):
     plan = keywords.detect_keywords(logs, rules.where("op = 'like' and keyword <> ''"), spread=False)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "NestedLoop" not in text and "filter(" not in text.lower().replace("filter (", "")
+
+
+@pytest.mark.parametrize("rules_at_once", [1, 7, 10_000])
+def test_shares_of_rules_give_the_same_rows(spark, monkeypatch, rules_at_once):
+    """Shares, blocks and hits of any size, with the columns asked for alone."""
+    monkeypatch.setattr(keywords, "SHARE_RULES", rules_at_once)
+    monkeypatch.setattr(keywords, "BLOCK", 37)
+    monkeypatch.setattr(keywords, "OUT_BYTES", 1_000)
+    logs, rules = tables(spark, 5)
+    want = detect.detect_logs(logs, rules).select("rule_id", "seq")
+    assert rows(keywords.detect_keywords(logs, rules, spread=True, columns=["seq"])) == rows(want)
+
+
+def test_many_keywords_ship_neither_n_grams_nor_lines(spark):
+    """Each line holds the rarest n-gram of each keyword, and no keyword: nothing but the rules is shuffled."""
+    logs = spark.createDataFrame([("abcd bcde cdef " * 20 + str(i), None, i) for i in range(50)], LOGS)
+    rules = spark.createDataFrame([(f"r{i}", None, "like", f"abcd{i:05d}") for i in range(200)], RULES)
+    found = keywords.detect_keywords(logs, rules, spread=True)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan and "_row" not in plan

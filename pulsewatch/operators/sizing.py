@@ -1,5 +1,6 @@
 """Joins that broadcast only what was measured small, and salt hot keys otherwise."""
 
+import math
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
 NULL_SALTS = 256
+#: Rows a task sorts at once, about.
+TASK_ROWS = 500_000
 
 
 def row_bytes(schema):
@@ -35,6 +38,22 @@ def fits_broadcast(df, max_rows=None, max_bytes=None):
     return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
+def tasks_for(spark, rows):
+    """How many tasks sort so many rows; None where few rows may be left to Spark.
+
+    Adaptive execution makes tasks of equal compressed bytes, and rows that compress well come
+    to many times that in memory. A number of partitions that is asked for is left alone.
+    """
+    tasks = math.ceil(rows / TASK_ROWS)
+    return None if tasks <= 1 else max(tasks, spark.sparkContext.defaultParallelism)
+
+
+def dealt(df, keys, rows):
+    """`df`, of about so many rows, partitioned by keys into tasks of about TASK_ROWS rows."""
+    tasks = tasks_for(df.sparkSession, rows)
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def keyed_join(big, small, keys, how="inner", derived=False, bounded_by=None):
     """Equi-join of a large frame with a usually small one, on equally named keys.
 
@@ -53,9 +72,12 @@ def keyed_join(big, small, keys, how="inner", derived=False, bounded_by=None):
     return salted_join(big, small, keys, how)
 
 
-def salted_join(big, small, keys, how="inner", hot_rows=None, salts=None):
-    """Shuffled equi-join in which hot keys of `big` are split over many tasks."""
+def salted_join(big, small, keys, how="inner", hot_rows=None, salts=None, rows=None):
+    """Shuffled equi-join in which hot keys of `big` are split over many tasks. `rows`, where known,
+    is about how many rows `big` has, and sizes the tasks."""
     left, right = salted_sides(big, small, keys, hot_rows, salts)
+    if rows is not None:
+        left, right = (dealt(side, [*keys, "_salt"], rows) for side in (left, right))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

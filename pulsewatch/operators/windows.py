@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulsewatch.functions.times import duration, epoch_micros, instant, micros
-from pulsewatch.operators.sizing import keyed_join
+from pulsewatch.operators.sizing import dealt, keyed_join
 
 KEYS = ("resource", "metric")
 
@@ -147,8 +147,10 @@ def trailing_stats(metrics, span, keys=KEYS, parts=6):
     so the largest group is one key within one block and work grows with the rows. A row
     asks for its tail by a copy of itself in that block, and a block's mids come along as a
     row of their own; one window there answers, without a join. Parts are merged pairwise.
+    Tasks are sized by rows, which are counted first.
     """
     keys = list(keys)
+    total = metrics.count()
     span_us = micros(span)
     width = -(-span_us // parts)
     parts = -(-span_us // width)
@@ -159,7 +161,7 @@ def trailing_stats(metrics, span, keys=KEYS, parts=6):
     ).withColumn("_b", block)
     by = Window.partitionBy(*keys, "_b")
     upto = by.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    headed = rows.withColumn("_head", _moments_over(upto))
+    headed = dealt(rows, [*keys, "_b"], total).withColumn("_head", _moments_over(upto))
     asks = headed.select(
         *keys,
         (F.col("_t") - span_us).alias("_t"),
@@ -192,6 +194,7 @@ def trailing_stats(metrics, span, keys=KEYS, parts=6):
             )
         )
     together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), gathered)
+    together = dealt(together, [*keys, "_b"], 2 * total)
     # The mids come first, then the newest rows; a row at the range's very start counts.
     newest = by.orderBy((F.col("_kind") == 0).desc(), F.desc("_t"), "_kind")
     newest = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,7 +7,7 @@ from conftest import METRICS, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsewatch.operators import windows
+from pulsewatch.operators import sizing, windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -77,6 +77,15 @@ def test_trailing_range_of_any_span(make, span):
     agree(windows.trailing_stats(df, f"{int(span.total_seconds() * 1e6)} microseconds"), framed(df, span))
 
 
+def test_tasks_of_trailing_ranges_are_sized_by_rows(make, monkeypatch):
+    """Rows that compress to next to nothing are not put together into one task."""
+    monkeypatch.setattr(sizing, "TASK_ROWS", 50)
+    df = make(METRICS, sample(500, 7, 7200))
+    found = windows.trailing_stats(df, "10 minutes")
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    agree(found, framed(df, dt.timedelta(minutes=10)))
+
+
 @pytest.mark.parametrize("odd", [math.nan, math.inf, -math.inf])
 def test_one_odd_value_stays_in_the_ranges_that_hold_it(make, odd):
     data = [(T0 + dt.timedelta(minutes=i), i, "a", "m", odd if i == 50 else float(i % 7)) for i in range(101)]

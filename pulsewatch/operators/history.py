@@ -41,7 +41,8 @@ def detect_as_of(metrics, changes, keys=KEYS, value="value", ts="ts"):
     two stretches of 2^c it touches, and a metric row asks, for the classes its key has, for the
     stretch it lies in. Key, class and stretch are equal for all that match, and what meets there
     and does not match is of the order of what does, so no row meets the whole history of its key. Hot
-    keys and stretches are split over many tasks. Spans without an end are cut at the newest metric.
+    keys and stretches are split over many tasks, which are sized by the rows that ask. Spans without
+    an end are cut at the newest metric.
     """
     keys = list(keys)
     spans = cut_lineage(validity(changes, (*keys, "op", "threshold")))
@@ -54,9 +55,11 @@ def detect_as_of(metrics, changes, keys=KEYS, value="value", ts="ts"):
     touched = F.array_distinct(F.array(F.expr("shiftright(_from, _class)"), F.expr("shiftright(_end - 1, _class)")))
     filed = classed.withColumn("_stretch", F.explode(touched)).drop("_end")
     classes = filed.groupBy(*keys).agg(F.collect_set("_class").alias("_classes"))
-    asked = keyed_join(rows, classes, keys, derived=True).withColumn("_class", F.explode("_classes")).drop("_classes")
+    classes = cut_lineage(classes)
+    asking = rows.groupBy(*keys).count().join(classes, keys).agg(F.sum(F.col("count") * F.size("_classes"))).first()[0]
+    asked = keyed_join(rows, classes, keys).withColumn("_class", F.explode("_classes")).drop("_classes")
     asked = asked.withColumn("_stretch", F.expr("shiftright(_at, _class)"))
-    met = salted_join(asked, filed, [*keys, "_class", "_stretch"], hot_rows=HOT_ROWS)
+    met = salted_join(asked, filed, [*keys, "_class", "_stretch"], hot_rows=HOT_ROWS, rows=asking or 0)
     held = met.where((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to")))
     judged = held.withColumn("detect", compare(F.col(value), F.col("op"), F.col("threshold")))
     return judged.select(*metrics.columns, "rule_id", "op", "threshold", "detect")

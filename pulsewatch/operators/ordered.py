@@ -1,7 +1,7 @@
 """Order-dependent calculations that survive one key holding most of the rows.
 
 A plain window sorts a whole key in one task. Here the largest group is measured
-first. Within GROUP_ROWS the plain window is used; past it the rows are range
+first. Within GROUP_ROWS the plain window is used, in tasks sized by rows; past it the rows are range
 partitioned by (keys, order), materialised once, and every partition becomes a slice.
 Each slice is worked out on its own, and a small table with one row per key and slice
 carries the running state from slice to slice.
@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulsewatch.operators.sizing import dealt
 from pulsewatch.session import cut_lineage
 
 GROUP_ROWS = 5_000_000
@@ -29,7 +30,7 @@ def slices(df, keys, order, limit=None):
     sizes = df.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all"))
     size = sizes.first()
     if (size["most"] or 0) <= limit:
-        return df, list(keys), False
+        return (dealt(df, keys, size["all"] or 0) if keys else df), list(keys), False
     n = max(2, math.ceil(2 * size["all"] / limit))
     keyed = df.withColumn("_k", F.struct(*keys) if keys else F.lit(0))
     ranged = keyed.repartitionByRange(n, "_k", *order)

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pulsewatch.functions.predicates import compare
-from pulsewatch.operators import history, ordered
+from pulsewatch.operators import history, ordered, sizing
 
 T0 = dt.datetime(2024, 1, 1)
 ROWS = "ts timestamp, seq long, resource string, metric string, value double"
@@ -66,3 +66,12 @@ def test_empty_tables(spark):
     data, changes = tables(spark, 9, 5, 5)
     assert history.detect_as_of(data, changes.limit(0)).collect() == []
     assert history.detect_as_of(data.limit(0), changes).collect() == []
+
+
+def test_tasks_are_sized_by_the_rows_that_ask(spark, monkeypatch):
+    """A small table, past the rows of a task, is joined in more tasks than Spark's setting has."""
+    monkeypatch.setattr(sizing, "TASK_ROWS", 20)
+    data, changes = tables(spark, 3)
+    found = history.detect_as_of(data, changes)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert rows(found) == rows(brute(data, changes))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulsewatch.session import run_dir
 
 BLOCK_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def read(spark, sf_dir, table):
@@ -21,6 +22,12 @@ def parallelism(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark, most=BATCH_BYTES):
+    """From now on the session sends workers batches of about `most` bytes, not of up to 10,000 rows whatever
+    their length: an executor holds each several times over, for all of its tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def block_count(docs, text="text", block_bytes=BLOCK_BYTES):
     """How many blocks of about `block_bytes` of text the documents need."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -11,6 +11,7 @@ comes from prefix sums and is looked up among the sorted hashes of the pieces.
   step, chosen as a vectorised maximum over the same probes.
 """
 
+import gc
 import heapq
 import re
 import struct
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pulsewatch.llm.common import mixed, read, received, shipped
+from pulsewatch.llm.common import mixed, read, received, shipped, small_batches
 from pulsewatch.llm.superkmers import BASE, INVERSE, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -353,10 +354,14 @@ def encode(docs, model=MODEL, id_col="doc_id", text_col="text"):
     `model` is a path the driver reads; the pieces, of which there is a fixed number, are
     broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = shipped(docs.sparkSession, load(model))
 
     def run(batches):
         known = received(shared)
+        # What earlier steps of the same worker have left.
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         encoder = Encoder(known)
         for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             all_ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from pulsewatch.llm import pieces
+from pulsewatch.llm import common, pieces
 from tests.llm.helpers import AWKWARD, frame, noisy
 
 needs_model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no model file")
@@ -96,3 +96,18 @@ def test_joining_matches_one_pair_at_a_time(seed):
     matrix = pieces.Words(model, words)
     assert matrix.joined() == [slow(w) for w in words]
     assert [matrix.spell(r, pieces.join_long(model, w)) for r, w in enumerate(words)] == [slow(w) for w in words]
+
+
+@needs_model
+def test_workers_get_batches_of_bounded_bytes(spark, monkeypatch):
+    """Long rows come a few at a time, not 10,000 at once."""
+    seen = []
+    monkeypatch.setattr(pieces, "small_batches", lambda s: (common.small_batches(s, 100_000), seen.append(1)))
+    docs = spark.createDataFrame([(i, "some words " * 1_000) for i in range(100)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        assert pieces.encode(docs).where("round_trip").count() == 100 and seen
+        most = docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long").count()
+        assert most > 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)

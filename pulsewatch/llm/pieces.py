@@ -16,6 +16,7 @@ import heapq
 import re
 import struct
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,14 @@ class Words:
                 out.append(self.model.unknown)
         return out
 
+    def spellings(self, rows, cuts):
+        """The same for many words, cut into equally many parts: those with a piece for each part at once."""
+        ids = self.model.ids[self.probe(rows[:, None], cuts[:, :-1], cuts[:, 1:])]
+        out = ids.tolist()
+        for i in np.flatnonzero((ids < 0).any(axis=1)).tolist():
+            out[i] = self.spell(rows[i], cuts[i].tolist())
+        return out
+
     def joined(self):
         """BPE: all words join their best pair, leftmost first, until they have none."""
         n, rows = len(self.strings), np.arange(len(self.strings))
@@ -190,8 +199,9 @@ class Words:
             else:
                 best = np.argmax(score, axis=1)
                 done = np.isneginf(score[np.arange(len(rows)), best])
-            for r, c in zip(rows[done].tolist(), cuts[done].tolist()):
-                out[r] = self.spell(r, c)
+            if done.any():
+                for r, ids in zip(rows[done].tolist(), self.spellings(rows[done], cuts[done])):
+                    out[r] = ids
             if done.all():
                 break
             rows, cuts, score, best = rows[~done], cuts[~done], score[~done], best[~done]
@@ -275,12 +285,23 @@ class Encoder:
 
     def __init__(self, model):
         self.model = model
-        self.clear()
-
-    def clear(self):
         self.number = {}
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
+
+    def forget(self):
+        """Keep the units that came in more than one batch, at most half of all places; older uses count half."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > MOST_CACHED // 2:
+            most = np.argsort(-self.uses[kept], kind="stable")[: MOST_CACHED // 2]
+            kept = np.sort(kept[most])
+        names = list(self.number)
+        self.number = {names[i]: n for n, i in enumerate(kept.tolist())}
+        begin, self.size, self.uses = self.begin[kept], self.size[kept], self.uses[kept] // 2
+        ends = np.cumsum(self.size)
+        self.begin = ends - self.size
+        self.flat = self.flat[np.repeat(begin - self.begin, self.size) + np.arange(self.size.sum())]
 
     def learn(self, units):
         by_length = {}
@@ -302,7 +323,8 @@ class Encoder:
         begins = len(self.flat) + np.cumsum(sizes) - sizes
         self.number.update(zip(names, range(len(self.number), len(self.number) + len(names))))
         self.begin, self.size = np.r_[self.begin, begins], np.r_[self.size, sizes]
-        self.flat = np.r_[self.flat, np.array([i for ids in found for i in ids], np.int32)]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))]
+        self.uses = np.r_[self.uses, np.zeros(len(found), np.int32)]
 
     def units(self, text):
         if not text:
@@ -314,11 +336,14 @@ class Encoder:
         """(ids of all texts end to end, how many each has)."""
         cut = [self.units(t) for t in texts]
         if len(self.number) > MOST_CACHED:
-            self.clear()
+            self.forget()
         new = set().union(*cut).difference(self.number) if cut else set()
         if new:
             self.learn(sorted(new))
-        at = np.fromiter((self.number[u] for own in cut for u in own), np.int64, sum(map(len, cut)))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        came = np.zeros(len(self.uses), bool)
+        came[at] = True
+        self.uses += came
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         place = np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)

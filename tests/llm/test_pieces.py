@@ -111,3 +111,31 @@ def test_workers_get_batches_of_bounded_bytes(spark, monkeypatch):
         assert most > 5
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_words_of_known_pieces_are_spelled_together(monkeypatch):
+    """Only words with a character that has no piece are spelled one by one."""
+    model, alone, spell = small_model(3, pieces.BPE), [], pieces.Words.spell
+    monkeypatch.setattr(pieces.Words, "spell", lambda words, row, cuts: (alone.append(row), spell(words, row, cuts))[1])
+    words = ["abab", "baab", "abda", "aaaa"]
+    found = pieces.Words(model, words).joined()
+    assert alone == [2]
+    monkeypatch.undo()
+    assert found == [pieces.Words(model, [w]).spell(0, pieces.join_long(model, w)) for w in words]
+
+
+def test_units_that_come_again_are_kept(monkeypatch):
+    """When the places are full, units of several batches stay and are not encoded anew."""
+    monkeypatch.setattr(pieces, "MOST_CACHED", 40)
+    model, pick, learned = small_model(4, pieces.BPE), random.Random(4), []
+    encoder = pieces.Encoder(model)
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda units: (learned.extend(units), learn(units)))
+    common = ["ab", "abc", "ca", "cab"]
+    for _ in range(30):
+        texts = [" ".join(common)] + ["".join(pick.choice("abcd") for _ in range(9)) for _ in range(15)] + ["", None]
+        flat, sizes = encoder.encode(texts)
+        fresh = pieces.Encoder(model).encode(texts)
+        assert flat.tolist() == fresh[0].tolist() and sizes.tolist() == fresh[1].tolist()
+        assert len(encoder.number) <= 40 + 20
+    assert all(learned.count(u) == 1 for u in encoder.units(" ".join(common)))

@@ -1,5 +1,7 @@
 """Registered queries on large rule tables, on rules over time, and on keyed state."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from pulsewatch.functions.averages import user_avg_sql
@@ -154,20 +156,28 @@ def detect_as_of(spark, sf_dir):
 
 
 DELAY = "6 hours"
+FILE_ROWS = 250_000
 
 
 def shuffled_event_files(spark, sf_dir, base, delay=DELAY, pieces=5):
-    """The events as files in an order that is off by up to `delay`, one file a micro-batch."""
+    """The events in an order that is off by up to `delay`, in `pieces` micro-batches of equally many
+    files, each of about `FILE_ROWS`."""
     events = given.table(spark, sf_dir, "events")
     late = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(micros(delay)))
     placed = events.withColumn("_at", late)
-    first, last = placed.agg(F.min("_at"), F.max("_at")).first()
+    first, last, rows = placed.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
     number = F.least(F.floor((F.col("_at") - first) * pieces / F.lit(max(1, last - first))), F.lit(pieces - 1))
+    path, files = f"{base}/events", max(1, math.ceil(rows / pieces / FILE_ROWS))
+    reader = spark.read.schema(given.SCHEMAS["events"])
     for n in range(pieces):
-        part = placed.where(number == n).orderBy(F.xxhash64("event_id", F.lit(n))).drop("_at")
-        part.coalesce(1).write.mode("append").parquet(f"{base}/events")
-    files = spark.readStream.schema(given.SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
-    return files.parquet(f"{base}/events").withColumn("ts", F.col("ts").cast("timestamp"))
+        part = placed.where(number == n).repartition(files, "event_id")
+        part = part.sortWithinPartitions(F.xxhash64("event_id", F.lit(n))).drop("_at")
+        part.write.mode("append").parquet(path)
+        # Tasks without rows write no file, and a micro-batch takes a number of files.
+        for _ in range(len(reader.parquet(path).inputFiles()), files * (n + 1)):
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(given.SCHEMAS["events"]).option("maxFilesPerTrigger", files)
+    return stream.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(

@@ -3,13 +3,16 @@
 Detections wait in the state of their rule until the watermark has passed them. A timer then
 takes them out in the full order of `continuous_alarms`, goes on with the rule's run, and emits
 each row with the run it ends. So the answer does not depend on where micro-batches end or on the
-order of arrival within the delay. State is kept in RocksDB and comes back after a restart.
+order of arrival within the delay. State is kept in RocksDB and comes back after a restart. Rows
+wait in packs of many, not one by one, and are sorted and counted as arrays.
 """
 
 import sys
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -21,8 +24,24 @@ from pulsewatch.streaming.live import ALARM_COLUMNS, as_alarms, per_batch, versi
 from pulsewatch.streaming.streaks import full_order
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COUNTED = "rule_id string, detect boolean, at long, seq long, metric string, value double, streak long"
-WAITING = "at long, seq long, metric string, value double, detect boolean"
+WAITING = "pack binary"
+PACK_ROWS = 10_000
+#: Null sequences and null or NaN values are told by flags, as a data frame keeps neither apart.
+PACKED = pa.schema(
+    [
+        pa.field("at", pa.int64()),
+        pa.field("has_seq", pa.bool_()),
+        pa.field("seq", pa.int64()),
+        pa.field("metric", pa.string()),
+        pa.field("kind", pa.int32()),
+        pa.field("value", pa.float64()),
+        pa.field("detect", pa.bool_()),
+    ]
+)
+NULL, NUMBER, NAN = 0, 1, 2
+COUNTED = (
+    "rule_id string, at long, has_seq boolean, seq long, metric string, kind int, value double, detect boolean, streak long"
+)
 
 
 def null_first(x):
@@ -32,9 +51,53 @@ def null_first(x):
     return (2, 0) if x != x else (1, x)
 
 
-def place(row):
-    """The full order of a rule's rows; of equal ones those that do not detect come first."""
-    return (row[0], null_first(row[1]), null_first(row[2]), null_first(row[3]), row[4])
+def flagged(detections):
+    kind = F.when(F.col("value").isNull(), NULL).when(F.isnan("value"), NAN).otherwise(NUMBER)
+    return detections.withColumns(
+        {
+            "has_seq": F.col("seq").isNotNull(),
+            "seq": F.coalesce("seq", F.lit(0)),
+            "kind": kind,
+            "value": F.when(kind == NUMBER, F.col("value")).otherwise(0.0),
+        }
+    )
+
+
+def unflagged(counted):
+    value = F.when(F.col("kind") == NUMBER, F.col("value")).when(F.col("kind") == NAN, F.lit(float("nan")))
+    return counted.withColumns({"seq": F.when(F.col("has_seq"), F.col("seq")), "value": value})
+
+
+def packs(rows):
+    """A table of rows as Arrow streams of at most `PACK_ROWS`."""
+    for low in range(0, rows.num_rows, PACK_ROWS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, PACKED) as out:
+            out.write_table(rows.slice(low, PACK_ROWS))
+        yield sink.getvalue().to_pybytes()
+
+
+def unpacked(found):
+    return pa.concat_tables([PACKED.empty_table(), *(pa.ipc.open_stream(p).read_all() for p in found)])
+
+
+def in_order(rows):
+    """The rows of a rule in their full order; of equal ones those that do not detect come first."""
+    names = rows.column("metric").to_pylist()
+    rank = {m: n for n, m in enumerate(sorted(set(names), key=null_first))}
+    column = {c: rows.column(c).to_numpy() for c in PACKED.names if c != "metric"}
+    column["metric"] = np.fromiter(map(rank.get, names), np.int64, len(names))
+    return rows.take(np.lexsort([column[c] for c in reversed(PACKED.names)]))
+
+
+def run_lengths(detect, at, length, last, idle=None):
+    """The run each of some rows in order ends, after a run of `length` whose last row was at `last`."""
+    place = np.arange(len(at))
+    anew = np.full(len(at), -1 - length)
+    if idle is not None:
+        anew = np.where(np.diff(at, prepend=last) > idle, place - 1, anew)
+    # The place of the last row that is not in the run.
+    return place - np.maximum.accumulate(np.where(detect, anew, place))
 
 
 class OrderedRuns(StatefulProcessor):
@@ -49,41 +112,46 @@ class OrderedRuns(StatefulProcessor):
         self.run = handle.getValueState("run", "length long, last long")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(r.at, r.seq, r.metric, r.value, r.detect) for r in rows]
-        self.waiting.appendList(new)
-        self.wake(min(r[0] for r in new))
+        first = []
+        for part in rows:
+            first.append(self.keep(pa.Table.from_pandas(part[PACKED.names], PACKED, preserve_index=False)))
+        self.wake(min(first))
         return iter(())
 
+    def keep(self, rows):
+        """Let rows wait; the time of the first."""
+        for pack in packs(rows):
+            self.waiting.appendValue((pack,))
+        return int(rows.column("at").to_numpy().min())
+
     def wake(self, at):
         """A timer for when the watermark (in milliseconds) has passed a time (in microseconds)."""
         self.handle.registerTimer(-(-at // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, later = [], []
-        for r in self.waiting.get():
-            (ready if r[0] <= passed else later).append(tuple(r))
+        rows = unpacked(bytes(pack) for (pack,) in self.waiting.get())
+        ready = rows.column("at").to_numpy() <= passed
         known = self.run.get() if self.run.exists() else None
-        if not ready:
+        if not ready.any():
             # All rows to come are later still, and start a run anew.
             if self.idle is not None and known is not None and known[1] + self.idle <= passed:
                 self.run.clear()
             return
-        if later:
-            self.waiting.put(later)
-            self.wake(min(r[0] for r in later))
-        else:
-            self.waiting.clear()
-        ready.sort(key=place)
-        length, last = (0, ready[0][0]) if known is None else known
-        for at, seq, metric, value, detect in ready:
-            if self.idle is not None and at - last > self.idle:
-                length = 0
-            length, last = length + 1 if detect else 0, at
-            yield Row(rule_id=key[0], detect=detect, at=at, seq=seq, metric=metric, value=value, streak=length)
-        self.run.update((length, last))
+        self.waiting.clear()
+        if not ready.all():
+            self.wake(self.keep(rows.filter(pa.array(~ready))))
+        rows = in_order(rows.filter(pa.array(ready)))
+        at = rows.column("at").to_numpy()
+        length, last = (0, int(at[0])) if known is None else known
+        streak = run_lengths(rows.column("detect").to_numpy(), at, length, last, self.idle)
+        for low in range(0, len(at), PACK_ROWS):
+            part = rows.slice(low, PACK_ROWS).to_pandas()
+            part.insert(0, "rule_id", pd.Series([key[0]] * len(part), dtype=object))
+            yield part.assign(streak=streak[low : low + PACK_ROWS])
+        self.run.update((int(streak[-1]), int(at[-1])))
         if self.idle is not None:
-            self.wake(last + self.idle)
+            self.wake(int(at[-1]) + self.idle)
 
     def close(self):
         pass
@@ -106,8 +174,10 @@ def ordered_runs(detections, delay, idle=None):
     """
     use_state_store(detections.sparkSession)
     placed = full_order(detections).withColumn("at", epoch_micros("occur_timestamp")).withWatermark("occur_timestamp", delay)
+    columns = ["rule_id", "occur_timestamp", *PACKED.names]
     processor = OrderedRuns(None if idle is None else micros(idle))
-    counted = placed.groupBy("rule_id").transformWithState(processor, COUNTED, "Append", "EventTime")
+    grouped = flagged(placed).select(*columns).groupBy("rule_id")
+    counted = unflagged(grouped.transformWithStateInPandas(processor, COUNTED, "Append", "EventTime"))
     return counted.withColumn("occur_timestamp", F.timestamp_micros("at")).select("rule_id", "detect", *ORDER, "streak")
 
 

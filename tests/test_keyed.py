@@ -1,10 +1,14 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from pulsewatch.operators import continuous
+from pulsewatch.plans import rule_queries
 from pulsewatch.plans.tables import rule_rows
 from pulsewatch.sources.tables import read_batches
 from pulsewatch.streaming import keyed, live
@@ -81,3 +85,100 @@ def test_idle_rules_are_forgotten(spark, tmp_path):
 def test_order_of_nulls_and_nans():
     values = [2.0, float("nan"), None, -1.0]
     assert sorted(values, key=keyed.null_first)[:3] == [None, -1.0, 2.0]
+
+
+class Held:
+    """State of one key in memory: a list, or one value."""
+
+    def __init__(self):
+        self.rows = []
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def update(self, row):
+        self.rows = [row]
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class HeldList(Held):
+    def get(self):
+        return iter(self.rows)
+
+
+class HeldValue(Held):
+    def get(self):
+        return self.rows[0]
+
+
+class Handle:
+    def __init__(self):
+        self.list, self.value, self.timers = HeldList(), HeldValue(), []
+        self.getListState, self.getValueState = lambda *_: self.list, lambda *_: self.value
+        self.registerTimer = self.timers.append
+
+
+class Passed:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_rows_wait_in_packs():
+    """State is read and written by thousands of rows, not one by one, and nothing is lost in them."""
+    n, handle, runs = 25_000, Handle(), keyed.OrderedRuns()
+    runs.init(handle)
+    order = np.random.default_rng(1).permutation(n)
+    arrived = pd.DataFrame(
+        {"at": order * 1000, "has_seq": order % 3 > 0, "seq": order, "metric": [None if i % 5 == 0 else "m" for i in order.tolist()],
+         "kind": order % 3, "value": 0.0, "detect": order % 10 > 0}
+    )
+    runs.handleInputRows(("r",), iter([arrived[:12_000], arrived[12_000:]]), None)
+    assert len(handle.list.rows) <= 5 and handle.timers == [0]
+    first = pd.concat(runs.handleExpiredTimer(("r",), Passed(17_000), None))
+    assert len(handle.list.rows) == 1 and handle.timers == [0, 17_001]
+    rest = pd.concat(runs.handleExpiredTimer(("r",), Passed(n), None))
+    assert not handle.list.rows and handle.value.get() == (9, (n - 1) * 1000)
+    out = pd.concat([first, rest])
+    assert out["seq"].tolist() == list(range(n)) and len(first) == 17_001
+    assert out["streak"].tolist() == [i % 10 for i in range(n)]
+    assert out["metric"].isna().tolist() == [i % 5 == 0 for i in range(n)]
+
+
+@pytest.mark.parametrize("idle", [None, 3])
+def test_run_lengths_equal_those_row_by_row(idle):
+    pick = random.Random(3)
+    for _ in range(50):
+        at = sorted(pick.randint(10, 60) for _ in range(pick.randint(1, 30)))
+        detect = [pick.random() < 0.8 for _ in at]
+        length, last = pick.randint(0, 4), pick.randint(5, 10)
+        run, before, expect = length, last, []
+        for t, held in zip(at, detect):
+            run = (0 if idle is not None and t - before > idle else run) + 1 if held else 0
+            before = t
+            expect.append(run)
+        assert keyed.run_lengths(np.array(detect), np.array(at), length, last, idle).tolist() == expect
+
+
+def test_micro_batches_of_several_files(spark, tmp_path, monkeypatch):
+    """Large pieces are written by several tasks, and a micro-batch still holds just its piece."""
+    whole = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # Ids that differ in few places: some tasks have no rows.
+    few = whole.withColumn("event_id", (F.col("event_id") % 3).cast("long"))
+    few.write.parquet(f"{tmp_path}/few/events.parquet")
+    for name, sf_dir in (("plain", "/root/testdata/sf0.001"), ("few", f"{tmp_path}/few")):
+        found = {}
+        for size in (1_000_000, max(1, whole.count() // 30)):
+            monkeypatch.setattr(rule_queries, "FILE_ROWS", size)
+            base, seen = f"{tmp_path}/{name}-{size}", {}
+            stream = rule_queries.shuffled_event_files(spark, sf_dir, base)
+            handle = lambda batch, n: seen.setdefault(n, sorted(map(str, batch.collect())))
+            live.per_batch(stream, handle, f"{base}/checkpoint", available_now=True).awaitTermination()
+            found[size] = seen, len(spark.read.parquet(f"{base}/events").inputFiles())
+        (one, files), (several, more) = found.values()
+        assert files == 5 and more == 5 * 7
+        assert one == several and sum(map(len, one.values())) == whole.count()

@@ -36,6 +36,8 @@ BATCH_CHARS = 1 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: Hashes are looked up from the first key with the same leading bits on.
+LEADING = 18
 
 
 def messages(raw):
@@ -81,6 +83,9 @@ class Model:
         order = np.argsort(keys)
         self.keys = np.r_[keys[order], np.uint64(2**64 - 1)]
         self.ids = np.r_[np.array(usable, np.int64)[order], -1]
+        leading = np.arange(1 << LEADING, dtype=np.uint64) << np.uint64(64 - LEADING)
+        self.first = np.searchsorted(self.keys[:-1], leading)
+        self.steps = int(np.diff(self.first, append=len(order)).max()) - 1
         self.key_scores = np.r_[np.array([self.scores[i] for i in usable])[order], -np.inf]
         self.longest = max(map(len, strings), default=1)
         self.by_string = dict(zip(strings, usable))
@@ -162,7 +167,9 @@ class Words:
     def probe(self, rows, start, end):
         """Place among the piece keys of the substrings [start, end) of some words; the last one if none."""
         key = mixed((self.sums[rows, end] - self.sums[rows, start]) * self.back[start])
-        at = np.searchsorted(self.model.keys[:-1], key)
+        at = self.model.first[key >> np.uint64(64 - LEADING)]
+        for _ in range(self.model.steps):
+            at += self.model.keys[at] < key
         return np.where(self.model.keys[at] == key, at, len(self.model.keys) - 1)
 
     def spell(self, row, cuts):

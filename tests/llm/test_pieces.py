@@ -2,6 +2,7 @@ import os
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from pulsewatch.llm import common, pieces
@@ -139,3 +140,17 @@ def test_units_that_come_again_are_kept(monkeypatch):
         assert flat.tolist() == fresh[0].tolist() and sizes.tolist() == fresh[1].tolist()
         assert len(encoder.number) <= 40 + 20
     assert all(learned.count(u) == 1 for u in encoder.units(" ".join(common)))
+
+
+def test_probes_find_the_places_of_binary_search(monkeypatch):
+    """Also where many keys share their leading bits, for the first and last keys, and without any."""
+    monkeypatch.setattr(pieces, "LEADING", 3)
+    model = small_model(5, pieces.BPE)
+    words = ["".join(x) for n in (1, 2, 3) for x in combinations("abcd▁" * 2, n)]
+    for length in (1, 2, 3):
+        own = pieces.Words(model, [w for w in words if len(w) == length])
+        found = own.probe(np.arange(len(own.strings)), 0, length)
+        assert [model.ids[i] for i in found] == [model.by_string.get(w, -1) for w in own.strings]
+    assert 0 < model.steps < len(model.by_string)
+    none = pieces.Model(["<unk>"], [0.0], [pieces.UNKNOWN], pieces.BPE)
+    assert pieces.Words(none, ["ab", "b "]).joined() == [[0, 0], [0, 0]]

@@ -114,10 +114,11 @@ def components(edges, label="components", max_rounds=60):
         lower = down.join(low, "src")
         small = lower.select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(lower.select("src", F.col("m").alias("dst")))
         after = stored(small.where("src <> dst").distinct(), label)
-        inner = after.join(after.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        chained = after.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         current = after
-        if inner.isEmpty() and chained.isEmpty():
+        # Settled when no node has several edges up, or edges both up and down.
+        ends = F.array(*[F.struct(F.col(c).alias("node"), F.lit(up).alias("up")) for c, up in (("src", 1), ("dst", 0))])
+        ends = after.select(F.explode(ends).alias("end")).groupBy("end.node")
+        if ends.agg(F.sum("end.up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 or (up > 0 and n > up)").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

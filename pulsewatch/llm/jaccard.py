@@ -252,7 +252,9 @@ def verified(pairs, sets, num, den):
     size = lambda c: F.size(c).cast("long")
     one = sets.select(F.col("digest").alias("src"), F.col("shingles").alias("a"))
     two = sets.select(F.col("digest").alias("dst"), F.col("shingles").alias("b"))
-    met = salted_join(salted_join(pairs, one, ["src"], hot_rows=HOT_PAIRS), two, ["dst"], hot_rows=HOT_PAIRS)
+    met = salted_join(pairs, one, ["src"], hot_rows=HOT_PAIRS)
+    # A set is there once, so the pairs themselves tell how often it is met.
+    met = salted_join(met, two, ["dst"], hot_rows=HOT_PAIRS, counted=pairs)
     near = den * F.least(size("a"), size("b")) >= num * F.greatest(size("a"), size("b"))
     common = size(F.array_intersect("a", "b"))
     return met.where(near).where(den * common >= num * (size("a") + size("b") - common)).select("src", "dst")
@@ -297,18 +299,19 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, s
     rows = stored(shingled(docs, width, num, den, frequent, id_col, text_col), "shingles")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "classes")
-    sets = rows.where("signatures is not null").select("digest", "shingles", "signatures").dropDuplicates(["digest"])
+    sets = rows.where("signatures is not null").select("digest", "shingles", "signatures", F.col("n_shingles").alias("size"))
+    sets = sets.dropDuplicates(["digest"])
     sets = stored(sets.join(classes.select("digest", "copies"), "digest"), "sets")
 
     # A hair wider than the factor, so that rounding cannot part sets by two classes.
     unit = math.log(den / num) * (1 + 1e-9) if num < den else 1.0
-    sets = sets.withColumn("size_class", F.floor(F.log(F.size("shingles").cast("double")) / unit))
+    sets = sets.withColumn("size_class", F.floor(F.log(F.col("size").cast("double")) / unit))
     either = F.array("size_class", F.col("size_class") + 1)
     signed = sets.select("digest", F.explode("signatures").alias("sign"), either.alias("either"))
     signed = signed.select("digest", "sign", F.explode("either").alias("at")).select("digest", F.xxhash64("sign", "at").alias("bucket"))
     first = signed.groupBy("bucket").agg(F.min("digest").alias("dst"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = stored(signed.join(first.where("dst <> last"), "bucket").select("bucket", "digest", "dst", "n"), "buckets")
-    star = shared.select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct()
+    star = stored(shared.select(F.col("digest").alias("src"), "dst").where("src <> dst").distinct(), "star")
     near = stored(verified(star, sets, num, den), "near")
     cluster = components(near, "clusters").withColumnRenamed("node", "digest").withColumnRenamed("component", "cluster")
     cluster = stored(cluster, "cluster")
@@ -320,8 +323,9 @@ def jaccard_join(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE, s
         F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.sum(code).alias("code"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("code2")
     )
     open_buckets = spans.where("low <> high").groupBy("n", "code", "code2").agg(F.min("bucket").alias("bucket")).select("bucket")
-    sizes = sets.select("digest", F.size("shingles").alias("size"))
-    mixed_sets = told.join(open_buckets, "bucket").join(sizes, "digest")
+    # Stored step by step: the driver keeps a plan, and all its versions, for as long as one is at work.
+    open_buckets = stored(open_buckets, "open")
+    mixed_sets = stored(told.join(open_buckets, "bucket").join(sets.select("digest", "size"), "digest"), "spread")
     # The largest cluster of a bucket, and how many sets are outside it.
     held = mixed_sets.groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("own"), F.first("n").alias("n"))
     main = held.groupBy("bucket").agg(F.max(F.struct("own", "cluster")).alias("m"), F.first("n").alias("all"))
@@ -449,7 +453,7 @@ def keep_one(docs, width=5, num=80, den=100, frequent=FREQUENT, tile=TILE):
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     name = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")]
     # Losers and rows that stay once; where they are measured few, the documents do not move.
-    out = stored(judged.where(~stays).select(*name, F.lit(False).alias("_once")).union(judged.where(stays & (F.col("n") > 1)).select(*name, F.lit(True).alias("_once"))), "judged")
+    out = stored(judged.where(~stays | (F.col("n") > 1)).select(*name, stays.alias("_once")), "judged")
     if fits_broadcast(out):
         out = F.broadcast(out)
     # A name no column of the documents has.

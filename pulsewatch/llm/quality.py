@@ -158,12 +158,14 @@ def places(bag, vocabulary):
 
 def choose_words(bags, y, most, least_docs):
     """The words that tell the classes apart best (chi-squared), in at least `least_docs` texts."""
-    sizes = [len(b) for b in bags]
-    names, where = np.unique(np.concatenate([np.zeros(0, np.int64), *bags]), return_inverse=True)
-    if not len(names):
-        return names
-    c = np.bincount(where).astype(float)
-    a = np.bincount(where, np.repeat(y, sizes))
+    if not any(map(len, bags)):
+        return np.zeros(0, np.int64)
+    names, c = np.unique(np.concatenate(bags), return_counts=True)
+    c, a = c.astype(float), np.zeros(len(names))
+    # Words of the one class are among those of both.
+    own, n = np.unique(np.concatenate([b[:0] if told == 0 else b for b, told in zip(bags, y)]), return_counts=True)
+    a[np.searchsorted(names, own)] = n
+    names = names.astype(np.int64)
     share = float(np.mean(y))
     expected = c * share
     gap = (a - expected) ** 2 / (expected * (1 - share))
@@ -349,29 +351,32 @@ def summed(free, asks):
         return pa.table({"key": table.column("key")[:1], "low": table.column("low")[:1], "part": pa.array([part.tobytes()], pa.binary())})
 
     strips = free.select(*asks, "shape").mapInArrow(run, "key long, low long, part binary")
-    found = strips.groupBy("key", "low").applyInArrow(add, "key long, low long, part binary").collect()
+    found = strips.groupBy("key", "low").applyInArrow(add, "key long, low long, part binary").toArrow()
     out = {t: {view: np.zeros(2 + len(w) + len(w) ** 2) for view, w in ask.weights.items()} for t, ask in asks.items()}
-    for r in found:
-        t, view = keys[r["key"]]
-        part = np.frombuffer(r["part"])
-        out[t][view][r["low"] : r["low"] + len(part)] = part
+    for key, low, strip in zip(found.column("key").to_pylist(), found.column("low").to_pylist(), found.column("part")):
+        t, view = keys[key]
+        part = np.frombuffer(strip.as_buffer())
+        out[t][view][low : low + len(part)] = part
     shared.destroy()
     return out
 
 
 def features(rows, extra):
-    """Words and outlines of rows (`extra`, _t, _l, _s), next to `extra`, languages and sources."""
+    """Words and outlines of rows (`extra`, _t, _l, _s), next to `extra`, languages and sources.
+
+    Hashes of words travel as the 32 bits they have.
+    """
 
     def run(batches):
         for batch in batches:
             raw = [(t or "").encode() for t in batch.column(len(extra)).to_pylist()]
-            bags = pa.array([words(t) for t in raw], pa.list_(pa.int64()))
+            bags = pa.array([words(t).astype(np.uint32).view(np.int32) for t in raw], pa.list_(pa.int32()))
             shapes = pa.array([outline(t) for t in raw], pa.list_(pa.float64()))
             told = batch.columns[: len(extra)] + batch.columns[len(extra) + 1 :]
             yield pa.RecordBatch.from_arrays([*told, bags, shapes], [*extra, "_l", "_s", "bag", "shape"])
 
     kinds = ", ".join(f"{c} long" for c in extra)
-    return rows.select(*extra, "_t", "_l", "_s").mapInArrow(run, f"{kinds}, _l string, _s string, bag array<long>, shape array<double>")
+    return rows.select(*extra, "_t", "_l", "_s").mapInArrow(run, f"{kinds}, _l string, _s string, bag array<int>, shape array<double>")
 
 
 def arrays(table, extra):
@@ -380,7 +385,7 @@ def arrays(table, extra):
     columns = {c: table.column(c).to_pylist() for c in [*extra, "_l", "_s", "shape"]}
     rows = []
     for i in range(table.num_rows):
-        bag = table.column("bag")[i].values.to_numpy()
+        bag = table.column("bag")[i].values.to_numpy().view(np.uint32)
         rows.append({**{c: columns[c][i] for c in columns}, "bag": bag})
     return sorted(rows, key=lambda r: r["doc_id"])
 
@@ -446,6 +451,10 @@ def train(docs, labels, labelled=LABELLED, rounds=ROUNDS, id_col="doc_id", text_
             answers = summed(free, dict(asks))
             for target, answer in answers.items():
                 go_on(target, answer)
+    # The driver does not keep what it has learned from.
+    del rows, own, bags, shapes
+    learners.clear()
+    pa.default_memory_pool().release_unused()
     return out
 
 

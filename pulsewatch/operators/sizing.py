@@ -72,28 +72,31 @@ def keyed_join(big, small, keys, how="inner", derived=False, bounded_by=None):
     return salted_join(big, small, keys, how)
 
 
-def salted_join(big, small, keys, how="inner", hot_rows=None, salts=None, rows=None):
+def salted_join(big, small, keys, how="inner", hot_rows=None, salts=None, rows=None, counted=None):
     """Shuffled equi-join in which hot keys of `big` are split over many tasks. `rows`, where known,
-    is about how many rows `big` has, and sizes the tasks."""
-    left, right = salted_sides(big, small, keys, hot_rows, salts)
+    is about how many rows `big` has, and sizes the tasks. `counted`: see `salted_sides`."""
+    left, right = salted_sides(big, small, keys, hot_rows, salts, counted)
     if rows is not None:
         left, right = (dealt(side, [*keys, "_salt"], rows) for side in (left, right))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def salted_sides(big, small, keys, hot_rows=None, salts=None):
+def salted_sides(big, small, keys, hot_rows=None, salts=None, counted=None):
     """Both sides with a `_salt` column to join on next to the keys.
 
     Rows of hot keys in `big` are spread over as many salts as they fill tasks of `hot_rows`
     (or `salts`, where given), and `small` is copied to each of them; other keys keep a
-    single salt. Rows with a null key, which match nothing, are spread as well.
+    single salt. Rows with a null key, which match nothing, are spread as well. Where `big` is the
+    outcome of real work, `counted` names a frame that has the keys as often and only columns of
+    `big`; hot keys are found and rows are spread by it, and `big` is not worked out twice.
     """
+    counted = big if counted is None else counted
     keys = list(keys)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     many = F.lit(salts) if salts else F.ceil(F.col("count") / hot_rows)
     # At most rows(big) / hot_rows keys can be hot, which bounds this broadcast.
-    hot = big.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, many.cast("int").alias("_many"))
-    plain = [f.name for f in big.schema if f.dataType.typeName() not in ("map", "variant")]
+    hot = counted.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, many.cast("int").alias("_many"))
+    plain = [f.name for f in counted.schema if f.dataType.typeName() not in ("map", "variant")]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = F.when(no_key, F.lit(NULL_SALTS)).otherwise(F.coalesce("_many", F.lit(1)))
     left = big.join(F.broadcast(hot), keys, "left").withColumn(

@@ -117,3 +117,26 @@ def test_very_long_texts(spark):
     rows = [(1, long), (2, long + " more"), (3, "short"), (4, long[: len(long) // 2])]
     found = jaccard.jaccard_join(frame(spark, rows), width=3, num=90, den=100)
     assert got(found) == brute(rows, 3, 90, 100)
+
+
+def test_no_plan_is_large(spark, monkeypatch):
+    """The driver holds a plan with all versions it takes on; one of 187 lines took it past its memory."""
+    lines, plain = {}, jaccard.stored
+
+    def stored(df, label):
+        lines[label] = max(lines.get(label, 0), len(df._jdf.queryExecution().executedPlan().toString().splitlines()))
+        return plain(df, label)
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    jaccard.keep_one(frame(spark, families(3) + AWKWARD))
+    assert {"near", "mixed", "across", "judged"} <= lines.keys() and max(lines.values()) <= 80, lines
+
+
+def test_sets_in_many_pairs_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 2)
+    sets = [(f"s{i}", list(range(i % 3, 20))) for i in range(9)]
+    pairs = [(a, b) for a, _ in sets[:3] for b, _ in sets] + [("s8", "s0"), ("s7", "s8")]
+    found = jaccard.verified(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(sets, "digest string, shingles array<long>"), 95, 100)
+    of = {n: set(x) for n, x in sets}
+    want = [(a, b) for a, b in pairs if 100 * len(of[a] & of[b]) >= 95 * len(of[a] | of[b])]
+    assert sorted(map(tuple, found.collect())) == sorted(want)

@@ -137,3 +137,21 @@ def test_very_long_and_empty_texts(spark):
     told = spark.createDataFrame(labels[:100], LABELS)
     found = quality.classify(frame(spark, docs + [(7000, "fox " * 200_000), (7001, ""), (7002, None)]), told)
     assert {r["doc_id"] for r in found.collect()} >= {7000, 7001, 7002}
+
+
+def test_hashes_come_to_the_driver_as_32_bits(spark):
+    texts = [(i, " ".join(f"word{i * j}" for j in range(40))) for i in range(20)]
+    rows = spark.createDataFrame([(i, t, "en", "src0") for i, t in texts], "doc_id long, _t string, _l string, _s string")
+    found = quality.features(rows, ["doc_id"])
+    assert dict(found.dtypes)["bag"] == "array<int>"
+    got = quality.arrays(found.toArrow(), ["doc_id"])
+    assert [r["bag"].tolist() for r in got] == [quality.words(t.encode()).tolist() for _, t in texts]
+    assert max(r["bag"].max() for r in got) >= 1 << 31
+
+
+def test_words_that_tell_classes_apart():
+    bags = [np.array(x, np.uint32) for x in ([1, 2, 4_000_000_000], [1, 2, 3], [], [1, 4_000_000_000], [1, 3])]
+    y = np.array([1.0, 0, 1, 1, 0])
+    assert quality.choose_words(bags, y, 2, 2).tolist() == [3, 4_000_000_000]
+    assert quality.choose_words(bags, y, 9, 2).tolist() == [1, 2, 3, 4_000_000_000]
+    assert quality.choose_words([bags[2]], y[:1], 9, 1).tolist() == []

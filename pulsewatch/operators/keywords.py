@@ -7,8 +7,8 @@ the keywords that nearly occur, not lines times rules.
 
 Rules too many for every task are dealt out instead, in packs, and each task passes the stored lines by its
 share of them: there a keyword is filed under its head, its first bytes, up to HEADS[-1] of them, and no n-gram is
-shipped. Heads are mixed into numbers and a share has those of a range, so that of all shares a place of a line is
-looked up in one. Rules that look for the same keyword are searched for once, and where sums are asked for, what
+shipped. Heads have numbers, their keys, and a share has those of a range, so that of all shares a place of a line
+is looked up in one. Rules that look for the same keyword are searched for once, and where sums are asked for, what
 was found is summed up by keyword before it is given to each of them.
 """
 
@@ -34,13 +34,13 @@ GRAM = 4
 #: Bytes at the start of a keyword it is filed under in a share of the rules: the most it has.
 HEADS = (1, 2, 3, 4, 8, 12)
 #: Rules a task holds at once, rules below which no task is added, and lines stored and searched together.
-SHARE_RULES = 1_500_000
+SHARE_RULES = 1_200_000
 LEAST_RULES = 50_000
 STORED_ROWS = 512
 #: Places of lines whose keywords are compared together, and those looked up together, which a cache holds.
 BLOCK = 1 << 17
 SCAN = 1 << 15
-#: Slots, by the first bits of a mixed head, that keywords are counted by.
+#: Keywords are counted by so many first bits of the keys of their heads.
 SLOT_BITS = 14
 #: Keywords compared with places at once, rules packed together, and rows of sums given back together.
 PAIRS = 1 << 21
@@ -235,25 +235,35 @@ def heads(words, begin, n, out=None):
     return np.multiply(own, np.uint64(0x9E3779B97F4A7C15), out=out)
 
 
+def keys(words, begin, n, out=None, other=None):
+    """Numbers that places are dealt out by: the first and the last four of n bytes mixed, in 32 bits. See `heads`."""
+    fours = np.ndarray((len(words),), "<u4", words.base, 0, (1,))
+    last = slice(begin.start + n - 4, begin.stop + n - 4) if isinstance(begin, slice) else begin + (n - 4)
+    if n < 4:
+        return np.multiply(np.bitwise_and(fours[begin], np.uint32((1 << 8 * n) - 1), out=out), np.uint32(0x9E3779B1), out=out)
+    own, other = np.multiply(fours[begin], np.uint32(0x9E3779B1), out=out), np.multiply(fours[last], np.uint32(0x85EBCA77), out=other)
+    return np.bitwise_xor(own, other, out=own)
+
+
 def spans(begin, count):
     """The numbers of some spans one after another: `count` from `begin` on each."""
     return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def mixes(strings):
-    """The mixed head of each of some strings (not empty)."""
+def slots_of(strings):
+    """The slots of some strings (not empty): the first bits of the keys of their heads."""
     data, ends = texts_of(strings)
     begin, words = np.r_[0, ends[:-1]], eights(data)
     place = np.searchsorted(HEADS, ends - begin, "right") - 1
-    out = np.zeros(len(begin), np.uint64)
+    out = np.zeros(len(begin), np.int64)
     for i in np.unique(place).tolist():
         own = np.flatnonzero(place == i)
-        out[own] = heads(words, begin[own], HEADS[i])
+        out[own] = keys(words, begin[own], HEADS[i]) >> np.uint32(32 - SLOT_BITS)
     return out
 
 
 class Filed:
-    """Keywords by their first n bytes, all with mixes from `low` to `low + reach`.
+    """Keywords by their first n bytes, whose keys are from `low` to `low + reach`.
 
     Rows are sorted by the mix and have all that is compared side by side: the mix, the last eight bytes
     of the head and of the keyword, and its size and number. Of up to eight bytes the mix is one to one,
@@ -261,7 +271,7 @@ class Filed:
     """
 
     def __init__(self, words, begin, size, numbers, n, low, reach):
-        self.n, self.low, self.reach = n, np.uint64(low), np.uint64(reach)
+        self.n, self.low, self.reach = n, np.uint32(low), np.uint32(reach)
         mixed = heads(words, begin, n)
         order = np.argsort(mixed)
         begin, size = begin[order], size[order]
@@ -272,13 +282,12 @@ class Filed:
         self.rows[:, 1] = words[begin + max(0, n - 8)]
         self.rows[:, 0] = mixed = mixed[order]
         del order, begin, size
-        self.shift = np.uint64(max(0, reach.bit_length() - min(28, len(mixed).bit_length() + 1)))
-        many = (reach >> int(self.shift)) + 1
-        self.firsts = np.zeros(many + 1, np.int32)
-        np.cumsum(np.bincount(self.slots(mixed), minlength=many), out=self.firsts[1:], dtype=np.int32)
+        self.bits = min(28, len(mixed).bit_length() + 1)
+        self.firsts = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(self.slots(mixed), minlength=1 << self.bits), out=self.firsts[1:], dtype=np.int32)
 
     def slots(self, mixed):
-        return ((mixed - self.low) >> self.shift).view(np.int64)
+        return (mixed >> np.uint64(64 - self.bits)).view(np.int64)
 
     @staticmethod
     def tails(words, at, size, whole):
@@ -288,18 +297,16 @@ class Filed:
         return words[at + np.maximum(size - 8, 0)] << (np.maximum(8 - size, 0) << 3).view(np.uint64)
 
     def near(self, words, low, high):
-        """Places from low to high whose mix is in reach, and the mixes there."""
-        mixed, off, there = np.empty(SCAN, np.uint64), np.empty(SCAN, np.uint64), np.empty(SCAN, bool)
-        at, of = [], []
+        """Places from low to high whose key is in reach, and the mixed heads there."""
+        key, other, there, at = np.empty(SCAN, np.uint32), np.empty(SCAN, np.uint32), np.empty(SCAN, bool), []
         for begin in range(low, high, SCAN):
             size = min(SCAN, high - begin)
-            own = heads(words, slice(begin, begin + size), self.n, mixed[:size])
-            np.subtract(own, self.low, out=off[:size])
-            np.less_equal(off[:size], self.reach, out=there[:size])
-            found = np.flatnonzero(there[:size])
-            at.append(found + begin)
-            of.append(own[found])
-        return np.concatenate(at), np.concatenate(of)
+            own = keys(words, slice(begin, begin + size), self.n, key[:size], other[:size])
+            np.subtract(own, self.low, out=own)
+            np.less_equal(own, self.reach, out=there[:size])
+            at.append(np.flatnonzero(there[:size]) + begin)
+        at = np.concatenate(at)
+        return at, heads(words, at, self.n)
 
     def pairs(self, words, low, high):
         """(keyword, place, size) where the head and the last eight bytes are those of the keyword, by place."""
@@ -329,12 +336,12 @@ class Filed:
 class Share:
     """Some rules in memory: their distinct keywords filed under their heads, and the rules of each.
 
-    Rules of one keyword and one resource are a kind: they meet the same lines. Mixed heads are all from
+    Rules of one keyword and one resource are a kind: they meet the same lines. Keys of heads are all from
     `low` to `low + reach`. The list of tables is emptied, and what is not needed any more is let go at
     once, as tasks beside this one do the same.
     """
 
-    def __init__(self, tables, low=0, reach=(1 << 64) - 1):
+    def __init__(self, tables, low=0, reach=(1 << 32) - 1):
         rules = pa.concat_tables(tables)
         tables.clear()
         coded = rules.column(0).dictionary_encode()
@@ -479,12 +486,15 @@ def stored(logs, folder):
         name, writer = uuid.uuid4().hex, None
         with system.open_output_stream(f"{path}/{name}", compression=None) as file:
             for batch in batches:
-                options = pa.ipc.IpcWriteOptions(compression="zstd")
+                # Read by each task: what is fast to read.
+                options = pa.ipc.IpcWriteOptions(compression="lz4")
                 writer = writer or pa.ipc.new_stream(file, batch.schema, options=options)
                 for at in range(0, batch.num_rows, STORED_ROWS):
                     writer.write_batch(batch.slice(at, STORED_ROWS))
             if writer:
                 writer.close()
+        batch = None
+        pa.default_memory_pool().release_unused()
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
@@ -499,11 +509,6 @@ def lines_of(folder, names):
             yield from pa.ipc.open_stream(file)
 
 
-def slots_of(keywords):
-    """The slots of some keywords."""
-    return (mixes(keywords) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-
-
 def counted(batches):
     """How many rules there are by kind, and by slot where they look for a keyword, with their bytes and longest."""
     rules, size, longest = (np.zeros((REST + 1, 1 << SLOT_BITS), np.int64) for _ in range(3))
@@ -515,6 +520,9 @@ def counted(batches):
                 np.add.at(rules[kind], slot, 1)
                 np.add.at(size[kind], slot, own.column(2).to_numpy())
                 np.maximum.at(longest[kind], slot, pc.binary_length(own.column(1)).to_numpy().astype(np.int64))
+    # Workers stay beside those of the next step.
+    batch = own = None
+    pa.default_memory_pool().release_unused()
     kinds, slots = np.nonzero(rules)
     shown = [kinds.astype(np.int32), slots.astype(np.int32), *(x[kinds, slots] for x in (rules, size, longest))]
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in shown], names=["kind", "slot", "n", "bytes", "longest"])
@@ -524,9 +532,9 @@ def dealing(counts, tasks):
     """How rules are dealt out that are counted by slot: (first part and parts of each slot, ranges of the parts).
 
     Parts have slots that lie together, with about as many rules as each other. A slot with more than that is
-    divided among parts of its own, all with its range. Ranges are (low, reach) of mixed heads.
+    divided among parts of its own, all with its range. Ranges are (low, reach) of keys.
     """
-    per, width = max(1, sum(counts) / tasks), (1 << 64) // len(counts)
+    per, width = max(1, sum(counts) / tasks), (1 << 32) // len(counts)
     of, ranges, at = np.tile([0, 1], (len(counts), 1)), [], 0
     while at < len(counts):
         end = at + 1
@@ -575,8 +583,7 @@ def packs(batches, of):
             held, size = [], 0
     if size:
         yield packed(held)
-    # The worker stays beside those of the next step.
-    held = None
+    held = batch = None
     pa.default_memory_pool().release_unused()
 
 

@@ -73,6 +73,9 @@ def many_keywords(spark, sf_dir):
                         span = max(1, len(text) - 12) if text is not None else 0
                         words += [text[(p := n * 37 % span) : p + 12 + n % 9] for n in numbers] if span else [None] * len(numbers)
                     yield pa.RecordBatch.from_arrays([ids, owns, pa.array(words, pa.string())], names=["rule_id", "resource", "keyword"])
+            # The worker stays beside those of the next step.
+            batch = docs = None
+            pa.default_memory_pool().release_unused()
 
         return docs.mapInArrow(run, "rule_id string, resource string, keyword string").withColumn("op", F.lit(op))
 

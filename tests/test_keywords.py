@@ -156,7 +156,7 @@ def test_rules_with_one_head_are_divided():
     counts = [10] * 100 + [1000] + [0] * 27
     of, ranges = keywords.dealing(counts, 10)
     assert of[100].tolist() == [5, 5] and len(set(ranges[5:])) == 1 and len(ranges) == 10
-    width = (1 << 64) // len(counts)
+    width = (1 << 32) // len(counts)
     assert all(ranges[f][0] <= i * width and (i + 1) * width - 1 <= sum(ranges[f]) for i, (f, w) in enumerate(of.tolist()) if counts[i])
     assert keywords.dealing([0] * 8, 4)[1] == []
 

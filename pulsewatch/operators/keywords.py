@@ -351,7 +351,7 @@ class Share:
         self.rule_ids = rules.column(1).combine_chunks()
         del rules, coded
         pa.default_memory_pool().release_unused()
-        self.resources = {r: i for i, r in enumerate(own.dictionary.to_pylist())}
+        self.resources = own.dictionary
         many = len(own.dictionary) + 1
         number *= many
         number += own.indices.fill_null(-1).to_numpy() + 1
@@ -396,7 +396,7 @@ class Share:
         pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         which = pairs // max(1, len(lines))
         line = pairs - which * len(lines)
-        where = np.array([self.resources.get(r, -2) if r is not None else -2 for r in resources.to_pylist()], np.int32)
+        where = pc.index_in(resources, self.resources).fill_null(-2).to_numpy()
         begin = self.first[which].astype(np.int64)
         many = self.first[which + 1] - begin
         kind, on = spans(begin, many), np.repeat(line, many)

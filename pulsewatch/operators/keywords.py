@@ -12,6 +12,7 @@ is looked up in one. Rules that look for the same keyword are searched for once,
 was found is summed up by keyword before it is given to each of them.
 """
 
+import ctypes
 import functools
 import math
 import sys
@@ -245,6 +246,14 @@ def keys(words, begin, n, out=None, other=None):
     return np.bitwise_xor(own, other, out=own)
 
 
+def let_go():
+    """Gives free memory back to the system, as a worker stays beside those of other tasks and of the next step."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def spans(begin, count):
     """The numbers of some spans one after another: `count` from `begin` on each."""
     return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -350,7 +359,7 @@ class Share:
         own = rules.column(2).combine_chunks().dictionary_encode()
         self.rule_ids = rules.column(1).combine_chunks()
         del rules, coded
-        pa.default_memory_pool().release_unused()
+        let_go()
         self.resources = own.dictionary
         many = len(own.dictionary) + 1
         number *= many
@@ -363,7 +372,7 @@ class Share:
         del kinds, kind
         data, ends = texts_of(words)
         del words
-        pa.default_memory_pool().release_unused()
+        let_go()
         self.words, self.begin = eights(data), np.r_[0, ends[:-1]].astype(np.int64)
         size = ends - self.begin
         place = np.searchsorted(HEADS, size, "right") - 1
@@ -371,6 +380,8 @@ class Share:
         self.filed = [Filed(self.words, self.begin[m], size[m], m, n, low, reach) for n, m in members]
         if all(filed.longest <= filed.n + 8 for filed in self.filed):
             self.words = self.begin = None
+        del data, ends, size, place, members
+        let_go()
 
     def occur(self, words, ends):
         """(keyword, line) of every place in some lines where a keyword stands."""
@@ -494,7 +505,7 @@ def stored(logs, folder):
             if writer:
                 writer.close()
         batch = None
-        pa.default_memory_pool().release_unused()
+        let_go()
         if writer:
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
@@ -520,9 +531,8 @@ def counted(batches):
                 np.add.at(rules[kind], slot, 1)
                 np.add.at(size[kind], slot, own.column(2).to_numpy())
                 np.maximum.at(longest[kind], slot, pc.binary_length(own.column(1)).to_numpy().astype(np.int64))
-    # Workers stay beside those of the next step.
     batch = own = None
-    pa.default_memory_pool().release_unused()
+    let_go()
     kinds, slots = np.nonzero(rules)
     shown = [kinds.astype(np.int32), slots.astype(np.int32), *(x[kinds, slots] for x in (rules, size, longest))]
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in shown], names=["kind", "slot", "n", "bytes", "longest"])
@@ -584,7 +594,7 @@ def packs(batches, of):
     if size:
         yield packed(held)
     held = batch = None
-    pa.default_memory_pool().release_unused()
+    let_go()
 
 
 def shares(batches):

@@ -73,9 +73,8 @@ def many_keywords(spark, sf_dir):
                         span = max(1, len(text) - 12) if text is not None else 0
                         words += [text[(p := n * 37 % span) : p + 12 + n % 9] for n in numbers] if span else [None] * len(numbers)
                     yield pa.RecordBatch.from_arrays([ids, owns, pa.array(words, pa.string())], names=["rule_id", "resource", "keyword"])
-            # The worker stays beside those of the next step.
             batch = docs = None
-            pa.default_memory_pool().release_unused()
+            keywords.let_go()
 
         return docs.mapInArrow(run, "rule_id string, resource string, keyword string").withColumn("op", F.lit(op))
 
@@ -95,7 +94,8 @@ def many_keywords(spark, sf_dir):
 def log_rule_many(spark, sf_dir):
     """A hundred log rules a document against all documents, by the keyword index."""
     hits = keywords.detect_keywords(given.logs(spark, sf_dir), many_keywords(spark, sf_dir), totals="seq")
-    found = hits.groupBy("rule_id").agg(F.sum("hits").alias("hits"), F.min("first").alias("first_seq"), F.sum("total").alias("seqs"))
+    # Few rules have several parts, so that adding them up before the shuffle would only hold them twice.
+    found = hits.repartition("rule_id").groupBy("rule_id").agg(F.sum("hits").alias("hits"), F.min("first").alias("first_seq"), F.sum("total").alias("seqs"))
     return found
 
 
